@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
+from stratalens.llm.fm_index import leaks
+from stratalens.llm.offensive import CATEGORIES, THRESHOLD, offensive, score
+from stratalens.llm.packing import CLASSES, pack
 from stratalens.llm.sketch_join import near_pairs
 from stratalens.llm.survivors import best_records, merged_records
 from stratalens.operators.latest import latest_rows
@@ -13,6 +18,8 @@ from stratalens.operators.timestamps import parse_instants
 from stratalens.tables import table
 
 NO_INSTANT = -(1 << 62)
+CAPACITY = 2048
+VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def group_files(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
@@ -70,6 +77,67 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_pairs(files, "ord", "perceptual_hash", "media_type", 100).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b")).distinct()
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Which container every token of every non-empty text goes to."""
+    return pack(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", CAPACITY, VOCABULARY)
+
+
+def p6_room(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by how many pieces they hold, with the share of their room that is used."""
+    packed = p6_packed(spark, folder).groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
+    rows = packed.groupBy(F.least("n_pieces", F.lit(CLASSES)).alias("n_pieces")).agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return rows.withColumn("used", F.col("n_tokens") / (F.col("n_containers") * CAPACITY))
+
+
+def leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with each evaluation item that leaked into it."""
+    return leaked_spans(spark, folder).select(F.col("ident").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The word spans to remove, merged over all items that leaked there."""
+    return leaked_spans(spark, folder).select(F.col("ident").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "last_word")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with abusive, hateful or sexual passages, by category."""
+    return offensive(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("ident").alias("doc_id"), "category").distinct()
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document, 0 where there is no evidence: per category, evidence per thousand letters."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    scores = score(documents, "doc_id", "text").groupBy(F.col("ident").alias("doc_id"))
+    wide = scores.pivot("category", list(CATEGORIES)).agg(F.first(F.round(F.col("total") * 1000 / F.col("letters"), 6)))
+    return documents.select("doc_id").join(wide, "doc_id", "left").fillna(0.0)
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and affected documents per source."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source")
+    hit = score(documents, "doc_id", "text").where(F.col("passage") >= THRESHOLD).groupBy(F.col("ident").alias("doc_id")).agg(F.collect_set("category").alias("found"))
+    rows = documents.select("doc_id", "source").join(hit, "doc_id", "left").groupBy("source")
+    counts = [F.count_if(F.array_contains("found", c)).alias(f"n_{c}") for c in CATEGORIES]
+    rates = [(F.col(f"n_{c}") / F.col("n_documents")).alias(f"rate_{c}") for c in CATEGORIES]
+    return rows.agg(F.count("*").alias("n_documents"), *counts).select("*", *rates)
+
+
+_P7 = """
+  WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items),
+  ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) i FROM iw)),
+  dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+  dg AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM dw)),
+  found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
 _P4 = """
   WITH RECURSIVE link AS (
     SELECT DISTINCT path_a a, path_b b FROM duplicate_pairs WHERE path_a <> path_b AND similarity BETWEEN 0.85 AND 1 AND NOT isnan(similarity)
@@ -94,7 +162,8 @@ _P5 = """
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found,
+            "p6_packed": p6_packed, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -102,4 +171,6 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4 + "SELECT path, group_path FROM found",
         "p4_sizes": _P4 + "SELECT n_files, count(*) AS n_groups FROM (SELECT group_path, count(*) AS n_files FROM found GROUP BY 1) GROUP BY 1",
         "p5_found": _P5,
+        "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
+        "p7_items": _P7 + "SELECT item_id, count(*) AS n_documents FROM found GROUP BY 1",
     }
