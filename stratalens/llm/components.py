@@ -3,7 +3,7 @@
 One round finds the degree of every vertex, ranks the chains of degree-two vertices by pointer jumping along darts
 (so a chain of length L takes log2 L joins), and removes all chains and leaves: a pendant chain goes to its fixed end,
 an inner one becomes an edge between its ends. What has only vertices of degree three and more is solved by
-large-star and small-star steps; then the removed vertices get their labels back, last round first.
+large-star and small-star steps, and so are rings; then the removed vertices get their labels back, last round first.
 
 Vertices are 64-bit hashes of the names, checked to be free of collisions (another seed is taken otherwise); the label
 of a component is the smallest name in it. All tables of the rounds lie in the shared work folder.
@@ -27,7 +27,7 @@ def _ordered(a: str, b: str) -> list:
 
 
 def _rank_chains(ws: Workspace, inner: DataFrame) -> DataFrame:
-    """For each vertex x of degree two (x, a, b, a_in, b_in): its chain's two ends (x, e1, e2); on a cycle both are its smallest vertex.
+    """For each vertex x of degree two (x, a, b, a_in, b_in): its chain's two ends (x, e1, e2); rings have none and are left out.
 
     a_in and b_in tell whether the neighbours are of degree two as well. A dart comes from one neighbour to x and
     looks on to the other; jumping doubles how far it looks.
@@ -37,28 +37,17 @@ def _rank_chains(ws: Workspace, inner: DataFrame) -> DataFrame:
         F.struct(F.col("b").alias("src"), F.col("x").alias("at"), F.col("a").alias("to"), F.col("a_in").alias("open")),
     )
     # next dart: (nsrc -> nat); once closed, nat is the end
-    darts = inner.select(F.explode(ways).alias("d")).select("d.src", "d.at", F.col("d.at").alias("nsrc"), F.col("d.to").alias("nat"), "d.open", F.least("d.at", "d.to").alias("low"))
+    darts = inner.select(F.explode(ways).alias("d")).select("d.src", "d.at", F.col("d.at").alias("nsrc"), F.col("d.to").alias("nat"), "d.open")
     darts = ws.save(darts, "darts")
-    closed = [darts.where(~F.col("open"))]
-    live, left, step = darts.where("open"), darts.where("open").count(), 1
-    while left and step <= 2 * left:
-        step *= 2
-        nxt = darts.select(F.col("src").alias("nsrc"), F.col("at").alias("nat"), F.col("nsrc").alias("s2"), F.col("nat").alias("t2"), F.col("open").alias("open2"), F.col("low").alias("low2"))
-        jumped = live.join(nxt, ["nsrc", "nat"]).select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), F.col("open2").alias("open"), F.least("low", "low2").alias("low"))
-        # closed darts are still pointed to by longer ones
-        jumped = ws.save(jumped, "jump")
-        closed.append(jumped.where(~F.col("open")))
-        live = jumped.where("open")
-        darts = live
-        for part in closed:
-            darts = darts.unionByName(part)
-        before, left = left, live.count()
-        if left == before and step > left:
-            break
-    ends = live.withColumn("nat", F.col("low"))  # only cycles are still open
-    for part in closed:
-        ends = ends.unionByName(part)
-    return ends.groupBy(F.col("at").alias("x")).agg(F.min("nat").alias("e1"), F.max("nat").alias("e2"), F.max("open").alias("cycle"))
+    left, before = darts.where("open").count(), -1
+    while left and left != before:
+        nxt = darts.select(F.col("src").alias("nsrc"), F.col("at").alias("nat"), F.col("nsrc").alias("s2"), F.col("nat").alias("t2"), F.col("open").alias("open2"))
+        jumped = darts.where("open").join(nxt, ["nsrc", "nat"]).select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), F.col("open2").alias("open"))
+        # closed darts stay, as longer ones still point to them; one table, so that its files don't multiply
+        darts = ws.save(darts.where(~F.col("open")).unionByName(jumped), "darts")
+        left, before = darts.where("open").count(), left
+    # a chain closes a dart in every step, so what is open now lies on rings
+    return darts.where(~F.col("open")).groupBy(F.col("at").alias("x")).agg(F.min("nat").alias("e1"), F.max("nat").alias("e2"))
 
 
 def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -74,8 +63,9 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | None
     chains = ws.save(_rank_chains(ws, inner), "chains")
     leaf = degrees.where("deg = 1").select(F.col("u").alias("leaf"), F.col("a").alias("next"))
     # the shortcut edges: one for each chain (all its vertices give the same), or the plain edge of a leaf
-    shortcuts = chains.where(~F.col("cycle")).select(F.col("e1").alias("u"), F.col("e2").alias("v")).distinct()
-    fixed = edges.join(low.select("u"), "u", "left_anti").join(low.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
+    shortcuts = chains.select(F.col("e1").alias("u"), F.col("e2").alias("v")).distinct()
+    out = leaf.select(F.col("leaf").alias("x")).unionByName(chains.select("x"))
+    fixed = edges.join(out.select(F.col("x").alias("u")), "u", "left_anti").join(out.select(F.col("x").alias("v")), "v", "left_anti").select("u", "v")
     direct = leaf.join(two.select(F.col("x").alias("next")), "next", "left_anti").select(*_ordered("leaf", "next")).distinct()
     reduced = ws.save(fixed.unionByName(shortcuts.where("u <> v")).unionByName(direct).distinct(), "reduced")
     ones = leaf.select(F.col("leaf").alias("n"), F.lit(True).alias("is_leaf"))
@@ -84,13 +74,11 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | None
     # a leaf goes to the other end; of two leaves the smaller stays as the root of a finished component
     gone = pendant.where("ul or vl").select(F.when(F.col("vl"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("vl"), F.col("u")).otherwise(F.col("v")).alias("anchor"))
     roots = pendant.where("ul and vl").select(F.col("u").alias("x"), F.col("u").alias("anchor"))
-    rings = chains.where("cycle").select("x", F.col("e1").alias("anchor"))
-    lines = chains.where(~F.col("cycle"))
-    lines = lines.join(ones.select(F.col("n").alias("e1"), F.col("is_leaf").alias("l1")), "e1", "left").join(ones.select(F.col("n").alias("e2"), F.col("is_leaf").alias("l2")), "e2", "left")
+    lines = chains.join(ones.select(F.col("n").alias("e1"), F.col("is_leaf").alias("l1")), "e1", "left").join(ones.select(F.col("n").alias("e2"), F.col("is_leaf").alias("l2")), "e2", "left")
     lines = lines.select("x", F.when(F.col("l1") & F.col("l2").isNull(), F.col("e2")).otherwise(F.col("e1")).alias("anchor"))
     rest = ws.save(pendant.where("not ul and not vl").select("u", "v"), "edges")
     alone = degrees.where("deg > 2").select(F.col("u").alias("x")).join(rest.select(F.explode(F.array("u", "v")).alias("x")), "x", "left_anti").select("x", F.col("x").alias("anchor"))
-    removed = ws.save(gone.unionByName(roots).unionByName(rings).unionByName(lines).unionByName(alone), "removed")
+    removed = ws.save(gone.unionByName(roots).unionByName(lines).unionByName(alone), "removed")
     return rest, removed, removed.count()
 
 
