@@ -76,10 +76,16 @@ def probes(bits: int, bound: int) -> list[tuple[int, int, int, int, int, int]]:
     ]
 
 
+def with_sketch(df: DataFrame, permille: int) -> DataFrame:
+    """df (space, bits, words) with an id, the set's size, the folded sketch and the largest distance allowed."""
+    bound = F.floor(F.col("bits") * permille / 1000).cast("int")
+    return df.select(F.monotonically_increasing_id().alias("id"), "space", "bits", "words", size_of("words").alias("size"), fold("words").alias("fold"), bound.alias("bound"))
+
+
 def close_sketches(spark: SparkSession, ws: Workspace, sketches: DataFrame, permille: int) -> DataFrame:
     """(a, b, distance), a < b: different sketches of one space and width that differ in at most permille/1000 of the bits.
 
-    sketches: a stored table of id bigint, space string, bits int, words array<bigint>, without repeated (space, bits, words).
+    sketches: a stored table as with_sketch() makes it, without repeated (space, bits, words).
     """
     widths = [r.bits for r in sketches.select("bits").distinct().collect()]  # distinct integers, not data
     table = [row for bits in widths if (bound := bits * permille // 1000) for row in probes(bits, bound)]
@@ -90,30 +96,28 @@ def close_sketches(spark: SparkSession, ws: Workspace, sketches: DataFrame, perm
         plan = F.broadcast(plan)
     n = sketches.count()
     partitions = max(8, n * max(sum(r[0] == bits for r in table) for bits in widths) // ROWS_PER_TASK)
-    bound = F.floor(F.col("bits") * permille / 1000).cast("int")
-    step = (bound + 1) * 4
-    base = sketches.select("id", "space", "bits", "words", size_of("words").alias("size"), fold("words").alias("fold"))
+    step = (F.col("bound") + 1) * 4
     # a set within the bound of the next size band visits it as a guest, so that pairs over the border meet there
-    near = F.floor((F.col("size") + bound) / step) > F.floor(F.col("size") / step)
-    stays = F.struct(F.floor(F.col("size") / step).alias("zone"), F.lit(False).alias("guest"))
-    visits = F.struct((F.floor(F.col("size") / step) + 1).alias("zone"), F.lit(True).alias("guest"))
-    base = base.withColumn("at", F.explode(F.when(near, F.array(stays, visits)).otherwise(F.array(stays))))
+    near = F.floor((F.col("size") + F.col("bound")) / step) > F.floor(F.col("size") / step)
+    stays = F.struct(F.floor(F.col("size") / step).alias("zone"), F.lit(0).alias("guest"))
+    visits = F.struct((F.floor(F.col("size") / step) + 1).alias("zone"), F.lit(1).alias("guest"))
+    base = sketches.withColumn("at", F.explode(F.when(near, F.array(stays, visits)).otherwise(F.array(stays))))
     value = F.call_function("shiftrightunsigned", F.get("words", F.col("word")), F.col("shift")).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
-    keys = base.join(plan, "bits").select(
-        F.xxhash64("space", "bits", "at.zone", "band", value).alias("key"), "id", "fold", "size", bound.alias("bound"), F.col("at.guest").alias("guest")
-    )
+    tag = F.col("bound") * 2 + F.col("at.guest")
+    keys = base.join(plan, "bits").select(F.xxhash64("space", "bits", "at.zone", "band", value).alias("key"), "id", "fold", tag.alias("tag"))
     keys = keys.repartition(partitions, "key")
-    other = keys.select("key", F.col("id").alias("id2"), F.col("fold").alias("fold2"), F.col("size").alias("size2"), F.col("guest").alias("guest2"))
+    other = keys.select("key", F.col("id").alias("id2"), F.col("fold").alias("fold2"), F.col("tag").alias("tag2"))
+    # the same columns on both sides, so that the second exchange is the first one again
+    bound = F.shiftright(F.least("tag", "tag2"), 1)
     met = keys.hint("merge").join(other, "key").where(
-        (F.col("id") < F.col("id2")) & ~(F.col("guest") & F.col("guest2"))
-        & (F.bit_count(F.col("fold").bitwiseXOR(F.col("fold2"))) <= F.col("bound")) & (F.abs(F.col("size") - F.col("size2")) <= F.col("bound"))
+        (F.col("id") < F.col("id2")) & (F.col("tag").bitwiseAND(F.col("tag2")).bitwiseAND(1) == 0) & (F.bit_count(F.col("fold").bitwiseXOR(F.col("fold2"))) <= bound)
     )
     candidates = met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    left = sketches.select(F.col("id").alias("a"), "space", "bits", "words")
+    left = sketches.select(F.col("id").alias("a"), "space", "bits", "words", "bound")
     right = sketches.select(F.col("id").alias("b"), F.col("space").alias("space2"), F.col("bits").alias("bits2"), F.col("words").alias("words2"))
     both = candidates.join(left, "a").join(right, "b").where((F.col("space") == F.col("space2")) & (F.col("bits") == F.col("bits2")))
     distance = F.aggregate(F.zip_with("words", "words2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, d: acc + d)
-    return both.select("a", "b", distance.alias("distance"), bound.alias("bound")).where("distance <= bound").drop("bound")
+    return both.select("a", "b", distance.alias("distance"), "bound").where("distance <= bound").drop("bound")
 
 
 def parse_hashes(files: DataFrame, ident: str, text: str, space: str) -> DataFrame:
@@ -140,8 +144,8 @@ def near_pairs(files: DataFrame, ident: str, text: str, space: str, permille: in
     spark = files.sparkSession
     ws = Workspace(spark, "sketches")
     rows = ws.save(parse_hashes(files, ident, text, space), "rows")
-    sketches = ws.save(rows.select("space", "bits", "words").distinct().withColumn("id", F.monotonically_increasing_id()), "sketches")
-    members = ws.save(rows.join(sketches, ["space", "bits", "words"]).select("id", "ident"), "members")
+    sketches = ws.save(with_sketch(rows.select("space", "bits", "words").distinct(), permille), "sketches")
+    members = ws.save(rows.join(sketches.select("id", "space", "bits", "words"), ["space", "bits", "words"]).select("id", "ident"), "members")
     close = close_sketches(spark, ws, sketches, permille)
     first = members.select(F.col("id").alias("a"), F.col("ident").alias("x"))
     second = members.select(F.col("id").alias("b"), F.col("ident").alias("y"))
