@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from stratalens.plans import dirty_data
+    from stratalens.plans import dirty_data, library
 
-    return [dirty_data]
+    return [library, dirty_data]
