@@ -51,7 +51,7 @@ def name_types() -> dict[str, str]:
     """extension -> image, video or audio, from the MIME table shipped with Python and the raw supplement."""
     table = mimetypes.MimeTypes(filenames=())
     known = {ext[1:]: kind.split("/")[0] for types in table.types_map for ext, kind in types.items() if kind.split("/")[0] in ("image", "video", "audio")}
-    return known | dict.fromkeys(RAW_EXTENSIONS, "image") | {"webp": "image", "heic": "image", "heif": "image", "mkv": "video", "flac": "audio"}
+    return known | dict.fromkeys(RAW_EXTENSIONS, "image") | {"webp": "image", "heic": "image", "heif": "image", "mkv": "video"} | dict.fromkeys(("flac", "opus", "ogg", "m4a", "aac", "wma"), "audio")
 
 
 def media_type(extension: Column, sniffed: Column | None = None, overrides: dict[str, str] | None = None) -> Column:

@@ -47,10 +47,14 @@ def excluded(rel: Column, patterns: list[str]) -> Column:
     """True if the entry or one of its ancestors matches a pattern by its name or by its path below the root."""
     result = F.lit(False)
     for regex in map(glob_regex, patterns):
-        result = result | F.exists(prefixes(rel), lambda p, r=regex: p.rlike(r) | basename(p).rlike(r))
+        result = result | F.exists(prefixes(rel), _matches(regex))
     return result
 
 
+def _matches(regex: str):
+    return lambda entry: entry.rlike(regex) | basename(entry).rlike(regex)
+
+
 def hidden(rel: Column) -> Column:
     """True if a component begins with a dot (own work folders do)."""
     return rel.rlike(r"(?:\A|/)\.[^/]*")

@@ -46,6 +46,9 @@ def pairs(found: DataFrame) -> DataFrame:
     verified = twins.unionByName(others)
     used = verified.select(F.col("still").alias("path")).unionByName(verified.select(F.col("video").alias("path")))
     left = found.join(used, "path", "left_anti")
+    # only buckets that hold both kinds go to Python
+    both = left.groupBy("dir", "stem").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("dir", "stem")
+    left = left.join(both, ["dir", "stem"], "left_semi")
     loose = left.groupBy("dir", "stem").applyInPandas(_greedy, PAIR)
     return verified.withColumn("verified", F.lit(True)).unionByName(loose)
 

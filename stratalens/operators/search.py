@@ -49,16 +49,18 @@ def postings(rows: DataFrame, ident: str, columns: list[str]) -> DataFrame:
 def search(rows: DataFrame, ident: str, columns: list[str], query: str) -> DataFrame:
     """(doc, score) of the rows with all phrases; an empty query finds nothing."""
     wanted = phrases(query)
-    spark = rows.sparkSession
     if not wanted:
         return rows.select(F.col(ident).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     if len(wanted) > 64:
         raise ReportError("too many search terms", operation="search")
     # one pass over the texts: the length of a row, and how often each phrase occurs in its columns
     lists = rows.select(F.col(ident).alias("doc"), *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"t{i}") for i, c in enumerate(columns)])
+    # every token between blanks of its own, columns apart, so that a phrase is a plain piece of text
+    joined = F.concat_ws("|", *[F.concat(F.lit(" "), F.array_join(f"t{i}", "  "), F.lit(" ")) for i in range(len(columns))])
     length = sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0"))
-    hits = [sum((_count(F.col(f"t{i}"), p) for i in range(1, len(columns))), _count(F.col("t0"), p)) for p in wanted]
-    counted = lists.select("doc", length.alias("len"), *[h.alias(f"h{i}") for i, h in enumerate(hits)])
+    lists = lists.select("doc", length.alias("len"), joined.alias("words"))
+    hits = [F.regexp_count("words", F.lit(f"(?= {'  '.join(p)} )")) for p in wanted]
+    counted = lists.select("doc", "len", *[h.alias(f"h{i}") for i, h in enumerate(hits)])
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
     every = F.lit(True)
     score = F.lit(0.0)
@@ -67,18 +69,9 @@ def search(rows: DataFrame, ident: str, columns: list[str], query: str) -> DataF
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         score = score + idf * F.col(f"h{i}") * (K1 + 1) / (F.col(f"h{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    assert spark is not None
     return counted.where(every).crossJoin(F.broadcast(totals)).select("doc", (-score).alias("score"))  # totals is one row
 
 
-def _count(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase occurs in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    starts = F.when(F.size(words) >= len(phrase), F.sequence(F.lit(1), F.size(words) - len(phrase) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(words, i, len(phrase)) == F.array(*map(F.lit, phrase))))
-
-
 def ranked(rows: DataFrame, ident: str, columns: list[str], query: str, run: tuple[str, int] | None = None) -> DataFrame:
     """The matching rows, best first; run restricts the result (not the statistics) to column = value."""
     found = rows.join(search(rows, ident, columns, query).withColumnRenamed("doc", ident), ident)

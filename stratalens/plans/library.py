@@ -278,10 +278,10 @@ def _rel(spark, folder):
     return latest_files(spark, folder, "path").select("id", F.ltrim("path", F.lit("/")).alias("rel"), "path")
 
 
-@query(f"WITH {FILES} SELECT count(*) AS n_files, sum(size_bytes)::BIGINT AS total_bytes, (SELECT '{{' || string_agg('\"' || t || '\":' || n, ',' ORDER BY t) || '}}' FROM (SELECT media_type AS t, count(*) AS n FROM files GROUP BY 1)) AS counts_by_type, 0::BIGINT AS n_unknown, min(loaded_at) AS oldest, max(loaded_at) AS newest FROM files")
+@query(f"WITH {FILES} SELECT count(*) AS n_files, sum(size_bytes)::BIGINT AS total_bytes, (SELECT '{{' || string_agg('\"' || t || '\":' || n, ',' ORDER BY t) || '}}' FROM (SELECT media_type AS t, count(*) AS n FROM files GROUP BY 1)) AS counts_by_type, 0::BIGINT AS n_unknown, epoch_us(min(loaded_at)) AS oldest, epoch_us(max(loaded_at)) AS newest FROM files")
 def inventory_stats(spark, folder):
     stats = inventory.directory_stats(latest_files(spark, folder, "media_type", "size_bytes"), "media_type", "size_bytes", F.col("loaded_at"))
-    return stats.withColumn("counts_by_type", F.to_json("counts_by_type"))
+    return stats.withColumns({"counts_by_type": F.to_json("counts_by_type"), "oldest": F.unix_micros("oldest"), "newest": F.unix_micros("newest")})
 
 
 @query(f"WITH {FILES}, {_REL} SELECT id FROM rel WHERE NOT (regexp_matches(rel, '(^|/)IMG_[^/]*\\.jpg$') OR regexp_matches(rel, '^.*/2021/.*$') OR regexp_matches(rel, '(^|/)[a-c][^/]*-1[0-9](/|$)'))")
@@ -421,7 +421,7 @@ def plan_destination(spark, folder):
 
 _LIVE = f"""
   WITH {FILES},
-  k AS (SELECT path, CASE WHEN regexp_matches(lower(filename), '\\.(heic|heif|jpg|jpeg)$') THEN 'still' WHEN regexp_matches(lower(filename), '\\.mov$') THEN 'video' END AS kind, min((run_id || '-' || group_id)) AS identifier FROM files GROUP BY 1, 2),
+  k AS (SELECT path, CASE WHEN regexp_matches(lower(filename), '\\.(heic|heif|jpg|jpeg)$') THEN 'still' WHEN regexp_matches(lower(filename), '\\.mov$') THEN 'video' END AS kind, min((run_id || '-' || (id // 25))) AS identifier FROM files GROUP BY 1, 2),
   c AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]+$', '')) AS stem FROM k WHERE kind IS NOT NULL),
   n AS (SELECT *, row_number() OVER (PARTITION BY kind, identifier, dir, stem ORDER BY string_split(path, '/')) AS n FROM c WHERE identifier IS NOT NULL),
   twin AS (SELECT a.path AS still, b.path AS video, a.identifier FROM n a JOIN n b USING (identifier, dir, stem, n) WHERE a.kind = 'still' AND b.kind = 'video'),
@@ -431,7 +431,7 @@ _LIVE = f"""
 
 
 def _candidates(spark, folder):
-    files = latest_files(spark, folder, "path", "run_id", "group_id").withColumn("tag", F.concat(F.col("run_id").cast("string"), F.lit("-"), F.col("group_id").cast("string")))
+    files = latest_files(spark, folder, "path", "run_id").withColumn("tag", F.concat(F.col("run_id").cast("string"), F.lit("-"), F.floor(F.col("id") / 25).cast("string")))
     return live_photos.candidates(files, "path", "tag")
 
 
@@ -445,7 +445,7 @@ def pair_by_stem(spark, folder):
     return live_photos.scan_order(live_photos.pairs(_candidates(spark, folder)))
 
 
-@query()
+@query(_LIVE + "SELECT path, kind FROM c WHERE path NOT IN (SELECT still FROM verified) AND path NOT IN (SELECT video FROM verified)")
 def pair_orphans(spark, folder):
     found = _candidates(spark, folder)
     return live_photos.orphans(found, live_photos.pairs(found))
@@ -569,7 +569,7 @@ def iso_dates(spark, folder):
     return latest_files(spark, folder, "creation_date").select("id", F.unix_micros(dates.iso_datetime(plain)["at"]).alias("micros"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS report, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') || 'Z' AS stored, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS logged FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS report, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS stored, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS logged FROM events")
 def utc_format(spark, folder):
     rows = table(spark, folder, "events", "event_id", "ts")
     return rows.select("event_id", dates.report_time(F.col("ts")).alias("report"), dates.default_time(F.col("ts")).alias("stored"), dates.log_time(F.col("ts")).alias("logged"))
@@ -581,7 +581,7 @@ def coerce_numbers(spark, folder):
     return rows.select("event_id", numbers.non_negative_int(F.col("value").cast("string"), via_float=True).alias("whole"), numbers.non_negative_float(F.col("value").cast("string")).alias("real"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN (l_suppkey % 3) > 0 THEN l_partkey::DOUBLE / (l_suppkey % 3)::DOUBLE END AS rate FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN (l_suppkey % 3) > 0 AND l_partkey > 0 THEN l_partkey::DOUBLE / (l_suppkey % 3)::DOUBLE END AS rate FROM lineitem")
 def frame_rates(spark, folder):
     rows = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rows.select("l_orderkey", "l_linenumber", numbers.frame_rate(F.concat_ws("/", F.col("l_partkey").cast("string"), (F.col("l_suppkey") % 3).cast("string"))).alias("rate"))
