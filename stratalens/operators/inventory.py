@@ -82,7 +82,7 @@ def discover(listing: DataFrame, patterns: list[str] | None = None, max_depth: i
     if symlinks == "follow":
         ordered = kept.withColumn("key", walk_key(F.col("rel"))).withColumn("target", F.coalesce("resolved", "rel"))
         first = ordered.groupBy("target").agg(F.min_by("rel", "key").alias("rel"))
-        issues = ordered.where("is_symlink").join(first, ["target", "rel"], "left_anti").select("rel", F.lit("link to a file seen before").alias("message"))
+        issues = ordered.join(first, ["target", "rel"], "left_anti").select("rel", F.lit("same file as one seen before").alias("message"))
         kept = kept.join(first.select("rel"), "rel", "left_semi")
     else:
         message = "symbolic link skipped" if symlinks == "skip" else "symbolic link not allowed"

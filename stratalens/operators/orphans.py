@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from stratalens.operators.skew import lookup
 from stratalens.work import Workspace
 
 RANGE_BITS = 15
@@ -129,4 +130,6 @@ def orphans(refs: DataFrame, owners: DataFrame, grace_hours: int = 24) -> DataFr
         .select("field", "key", "day", "reason", "parent_arrived")
     )
     late = F.unix_micros("parent_arrived") - F.unix_micros("arrived") > grace_hours * 3_600_000_000
-    return refs.join(broken, ["field", "key", "day"]).where((F.col("reason") != "late") | late).select("field", "row_id", "reason", "loaded_at")
+    # a missing parent may be the one that a third of all rows refer to
+    rows = lookup(refs, ws.save(broken, "broken"), ["field", "key", "day"], refs.count())
+    return rows.where((F.col("reason") != "late") | late).select("field", "row_id", "reason", "loaded_at")

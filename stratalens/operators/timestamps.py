@@ -19,6 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.operators.skew import lookup
 from stratalens.work import Workspace
 
 #: Texts that are already in one of the two canonical forms.
@@ -155,14 +156,19 @@ class TimestampDictionary:
         parse_instants(new, "raw", "zone").select("source", "raw", "zone", "utc_micros").write.mode("append").parquet(self.path)
 
     def attach(self, rows: DataFrame) -> DataFrame:
-        """rows (with source, raw, zone) and their instant; texts without one keep null."""
+        """rows (with source, raw, zone), which should be stored, and their instant; texts without one keep null.
+
+        A placeholder or default time may be the text of a third of all rows, so hot texts are looked up apart.
+        """
         keyed = rows.withColumn("zone", F.coalesce("zone", F.lit("UTC")))
-        return keyed.join(self.read(), ["source", "raw", "zone"], "left")
+        return lookup(keyed, self.read(), ["source", "raw", "zone"], rows.count(), "left")
 
 
 def normalise(rows: DataFrame, path: str | None = None) -> DataFrame:
     """rows (source, raw, zone, ...) with utc_micros, by way of the dictionary at path (a fresh one if None)."""
     spark = rows.sparkSession
-    dictionary = TimestampDictionary(spark, path or f"{Workspace(spark, 'timestamps').root}/dictionary")
+    ws = Workspace(spark, "timestamps")
+    rows = ws.save(rows, "rows")
+    dictionary = TimestampDictionary(spark, path or f"{ws.root}/dictionary")
     dictionary.update(rows)
     return dictionary.attach(rows)

@@ -629,3 +629,19 @@ def customer_orders(spark, folder):
 def lineitem_totals(spark, folder):
     rows = table(spark, folder, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate").where("l_shipdate <= timestamp '1998-09-02'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("SELECT seq, max(status) AS status FROM commands WHERE loaded_at IS NOT NULL GROUP BY seq")
+def stream_commands_once(spark, folder):
+    """Every command once, from a stream over the deliveries; a second delivery within the horizon is dropped."""
+    from stratalens.streaming import latest
+    from stratalens.work import Workspace
+
+    ws = Workspace(spark, "stream")
+    source = ws.save(table(spark, folder, "commands", "seq", "status", "loaded_at"), "deliveries")
+    rows = spark.readStream.schema(source.schema).parquet(f"{ws.root}/001-deliveries")
+    latest.drain(latest.deduplicated(rows, ["seq"], "loaded_at", "3650 days"), f"{ws.root}/out", f"{ws.root}/state").awaitTermination()
+    return spark.read.parquet(f"{ws.root}/out").select("seq", "status")
