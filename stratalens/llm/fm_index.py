@@ -231,7 +231,8 @@ def _searcher(spark, rows: pd.DataFrame, least: int, shard_words: int):
 
         def search(ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
             doc, which, first, last = shard_spans(texts, len(vocabulary) + 1, patterns, window, item, least)
-            return pd.DataFrame({"ident": [ids[i] for i in doc], "item": [names[i] for i in which], "first_word": first, "last_word": last})
+            rows = [(ids[d], names[i], a, b) for d, i, a, b in zip(doc.tolist(), which.tolist(), first.tolist(), last.tolist(), strict=True)]
+            return pd.DataFrame(rows, columns=["ident", "item", "first_word", "last_word"])
 
         ids: list = []
         texts: list[np.ndarray] = []

@@ -22,37 +22,40 @@ CAPACITY = 2048
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def group_files(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    """The live files of the live groups, with quality, size and instant as the ranking wants them."""
-    newest = [F.col("loaded_at").desc_nulls_last()]
+def grouped_files(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    """The live files that name a group, with quality, size and instant as the ranking wants them."""
     files = table(spark, folder, "media_files", "id", "run_id", "group_id", "size_bytes", "quality_score", "creation_date", "loaded_at", "deleted_at", *extra)
-    files = latest_rows(files, ["id"], newest).where(F.col("deleted_at").isNull() & F.col("group_id").isNotNull())
-    groups = latest_rows(table(spark, folder, "duplicate_groups", "id", "run_id", "loaded_at", "deleted_at"), ["id", "run_id"], newest)
-    groups = groups.where(F.col("deleted_at").isNull()).select(F.col("id").alias("group_id"), "run_id")
+    files = latest_rows(files, ["id"], [F.col("loaded_at").desc_nulls_last()]).where(F.col("deleted_at").isNull() & F.col("group_id").isNotNull())
     zones = table(spark, folder, "report_runs", "id", "tz_name").select(F.col("id").alias("run_id"), F.col("tz_name").alias("zone"))
     files = parse_instants(files.join(zones, "run_id", "left"), "creation_date", "zone", "instant")
-    return files.join(groups, ["group_id", "run_id"]).select(
-        "run_id", "group_id", F.col("id").alias("file_id"), "creation_date", "loaded_at", *extra,
-        F.when(F.col("quality_score").between(0, 1), F.col("quality_score")).alias("quality"),
+    return files.select(
+        "run_id", "group_id", F.col("id").alias("file_id"), *extra, F.when(F.col("quality_score").between(0, 1), F.col("quality_score")).alias("quality"),
         F.when(F.col("size_bytes") >= 1, F.col("size_bytes")).otherwise(0).alias("size"), "instant",
     )
 
 
+def live_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = latest_rows(table(spark, folder, "duplicate_groups", "id", "run_id", "loaded_at", "deleted_at"), ["id", "run_id"], [F.col("loaded_at").desc_nulls_last()])
+    return groups.where(F.col("deleted_at").isNull()).select(F.col("id").alias("group_id"), "run_id")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving file of every live group with files."""
+    """The surviving file of every live group with files. Ranked first, so that one row per group meets the groups."""
     ranking = [F.col("quality").desc_nulls_last(), F.col("size").desc(), F.col("instant").desc_nulls_last()]
-    return best_records(group_files(spark, folder), ["run_id", "group_id"], ranking, "file_id").select("group_id", "file_id")
+    best = best_records(grouped_files(spark, folder), ["run_id", "group_id"], ranking, "file_id")
+    return best.join(live_groups(spark, folder), ["group_id", "run_id"]).select("group_id", "file_id")
 
 
 def p1_merged(spark: SparkSession, folder: str) -> DataFrame:
     """A built record per group: each field from its best-ranked file that has it."""
-    files = group_files(spark, folder, "content_hash", "metadata")
+    files = grouped_files(spark, folder, "content_hash", "metadata")
     ranking = [-F.coalesce("quality", F.lit(-1.0)), -F.col("size"), -F.coalesce("instant", F.lit(NO_INSTANT))]
     fields = {
         "quality": F.col("quality"), "size": F.nullif("size", F.lit(0)), "instant": F.col("instant"), "content_hash": F.col("content_hash"),
         "metadata": F.when(F.try_parse_json("metadata").isNotNull(), F.col("metadata")),
     }
-    return merged_records(files, ["run_id", "group_id"], ranking, "file_id", fields)
+    merged = merged_records(files, ["run_id", "group_id"], ranking, "file_id", fields)
+    return merged.join(live_groups(spark, folder), ["run_id", "group_id"])
 
 
 def linking_pairs(spark: SparkSession, folder: str) -> DataFrame:
