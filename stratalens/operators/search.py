@@ -1,7 +1,8 @@
 """Full-text search over some columns of a table: postings with positions, phrases, and BM25 relevance.
 
 Tokens are runs of letters and digits in lower case without accents; everything else, underscores included, separates.
-A query's white-space separated terms are phrases that must all occur, each within one column; no prefixes.
+A query's white-space separated terms are phrases that must all occur, each within one column; no prefixes. matches()
+takes raw expressions: "phrases", AND, OR, NOT, prefix*, column:term and parentheses; other syntax is an error.
 Relevance is negative, best first, as in the usual embedded full-text engines (k1 = 1.2, b = 0.75).
 """
 
@@ -78,3 +79,61 @@ def ranked(rows: DataFrame, ident: str, columns: list[str], query: str, run: tup
     if run:
         found = found.where(F.col(run[0]) == run[1])
     return found.orderBy("score", ident)
+
+
+def matches(rows: DataFrame, ident: str, columns: list[str], expression: str) -> DataFrame:
+    """(doc) of the rows for which a raw expression holds; blank finds nothing."""
+    parts = re.findall(r'"[^"]*"|[()]|[^\s()"]+', expression)
+    if re.sub(r'"[^"]*"', "", expression).count('"'):
+        raise ReportError("unbalanced quotes in the search expression", operation="search")
+    if not parts:
+        return rows.select(F.col(ident).alias("doc")).limit(0)
+    texts = {c: F.concat(F.lit(" "), F.array_join(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")), "  "), F.lit(" ")) for c in columns}
+    condition, at = _either(parts, 0, texts)
+    if at != len(parts):
+        raise ReportError("the search expression can't be read", operation="search", details={"at": parts[at]})
+    return rows.where(condition).select(F.col(ident).alias("doc"))
+
+
+def _either(parts: list[str], at: int, texts: dict[str, Column]) -> tuple[Column, int]:
+    left, at = _all(parts, at, texts)
+    while at < len(parts) and parts[at] == "OR":
+        right, at = _all(parts, at + 1, texts)
+        left = left | right
+    return left, at
+
+
+def _all(parts: list[str], at: int, texts: dict[str, Column]) -> tuple[Column, int]:
+    left, at = _term(parts, at, texts)
+    while at < len(parts) and parts[at] not in ("OR", ")"):
+        word = parts[at]
+        right, at = _term(parts, at + (word in ("AND", "NOT")), texts)
+        left = left & (~right if word == "NOT" else right)
+    return left, at
+
+
+def _term(parts: list[str], at: int, texts: dict[str, Column]) -> tuple[Column, int]:
+    if at >= len(parts) or parts[at] in (")", "AND", "OR", "NOT"):
+        raise ReportError("the search expression lacks a term", operation="search")
+    if parts[at] == "(":
+        inner, at = _either(parts, at + 1, texts)
+        if at >= len(parts) or parts[at] != ")":
+            raise ReportError("unbalanced parentheses in the search expression", operation="search")
+        return inner, at + 1
+    word, within = parts[at], texts
+    column, colon, rest = word.partition(":")
+    if colon and word[0] != '"':
+        if column not in texts:
+            raise ReportError(f"no such column: {column}", operation="search")
+        within = {column: texts[column]}
+        word = rest or (parts[at + 1] if at + 1 < len(parts) else "")
+        at += not rest
+    prefix = word.endswith("*")
+    found = plain(word.strip('"*'))
+    if not found or re.search(r"[*^+]", word[:-1] if prefix else word):
+        raise ReportError("the search expression can't be read", operation="search", details={"term": word})
+    needle = " " + "  ".join(found) + ("" if prefix else " ")
+    condition = F.lit(False)
+    for text in within.values():
+        condition = condition | text.contains(needle)
+    return condition, at + 1

@@ -631,6 +631,43 @@ def lineitem_totals(spark, folder):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- further views
+
+
+@query(f"WITH {FILES}, {_REL} SELECT id, row_number() OVER (ORDER BY run_id, k) AS position FROM (SELECT files.id, run_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i < len(p) THEN '1' ELSE '0' END || p[i]) AS k FROM files JOIN (SELECT id, string_split(rel, '/') AS p FROM rel) USING (id) WHERE run_id = 7)")
+def walk_order(spark, folder):
+    """The files of one run in the order a walk visits them: files before subdirectories, by name."""
+    rows = latest_files(spark, folder, "path", "run_id").where("run_id = 7").withColumn("key", inventory.walk_key(F.ltrim("path", F.lit("/"))))
+    return hamming._running_number(rows, [F.col("key").asc()]).select("id", F.col("group_number").alias("position"))
+
+
+@query(f"WITH {FILES}, g AS (SELECT run_id, group_id, count(*) AS n, max(len(string_split(path, '/'))) AS depth FROM files WHERE group_id IS NOT NULL GROUP BY ALL) SELECT run_id, group_id, '{{\"group_number\":' || group_id || ',\"n_files\":' || n || ',\"max_depth\":' || depth || '}}' AS json FROM g")
+def group_json(spark, folder):
+    """Groups serialised, without their unbounded member lists."""
+    rows = latest_files(spark, folder, "path", "run_id", "group_id").where("group_id IS NOT NULL")
+    groups = rows.groupBy("run_id", "group_id").agg(F.count("*").alias("n_files"), F.max(F.size(text.path_key(F.col("path")))).alias("max_depth"))
+    return groups.select("run_id", "group_id", F.to_json(F.struct(F.col("group_id").alias("group_number"), "n_files", "max_depth")).alias("json"))
+
+
+@query(f"WITH {FILES}, a AS (SELECT run_id, total_files, duplicate_count FROM (SELECT id AS run_id, total_files, duplicate_count FROM report_runs)), b AS (SELECT run_id, count(*) AS n_files, count(group_id) AS n_grouped FROM files GROUP BY 1) SELECT run_id, total_files <> coalesce(n_files, 0) AS files_off, duplicate_count <> coalesce(n_grouped, 0) AS duplicates_off FROM a LEFT JOIN b USING (run_id)")
+def run_consistency(spark, folder):
+    """Runs whose stored counters disagree with their rows."""
+    counts = latest_files(spark, folder, "run_id", "group_id").groupBy("run_id").agg(F.count("*").alias("n"), F.count("group_id").alias("g"))
+    runs = table(spark, folder, "report_runs", "id", "total_files", "duplicate_count").withColumnRenamed("id", "run_id").join(counts, "run_id", "left")
+    return runs.select("run_id", (F.col("total_files") != F.coalesce("n", F.lit(0))).alias("files_off"), (F.col("duplicate_count") != F.coalesce("g", F.lit(0))).alias("duplicates_off"))
+
+
+@query("WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d) SELECT doc_id FROM s WHERE (contains(t, ' rusty ') OR contains(t, ' screenshot  text ')) AND NOT contains(t, ' trac')")
+def search_expression(spark, folder):
+    return search.matches(table(spark, folder, "documents", "doc_id", "text"), "doc_id", ["text"], '(rusty OR "screenshot text") NOT trac*').select(F.col("doc").alias("doc_id"))
+
+
+@query("SELECT command_type, status, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM commands WHERE coalesce(trim(session_id), '') <> '' GROUP BY ALL")
+def command_summary(spark, folder):
+    rows = table(spark, folder, "commands", "command_type", "status", "seq", "session_id").where("coalesce(trim(session_id), '') <> ''")
+    return rows.groupBy("command_type", "status").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -181,6 +181,20 @@ def test_search_against_sqlite(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_raw_search_expressions_against_sqlite(spark):
+    rows = [(1, "red harbor", "x one"), (2, "red boat", "harbor"), (3, "blue boats", ""), (4, None, "red red")]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(a, b)")
+    db.executemany("INSERT INTO t(rowid, a, b) VALUES (?, ?, ?)", rows)
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    for raw in ("red", "red AND harbor", "red NOT harbor", "blue OR one", "boat*", "a:harbor", '"red harbor" OR boats', "(red OR blue) NOT boat", "red harbor"):
+        assert {r.doc for r in search.matches(df, "id", ["a", "b"], raw).collect()} == {i for (i,) in db.execute("SELECT rowid FROM t WHERE t MATCH ?", (raw,))}, raw
+    for bad in ('"open', "(red", "red AND", "c:red", "red)", "a^b"):
+        with pytest.raises(ReportError):
+            search.matches(df, "id", ["a", "b"], bad)
+    assert search.matches(df, "id", ["a"], " ").count() == 0
+
+
 def test_saga(spark):
     sessions = spark.createDataFrame([("a", "2024", "2025", "completed"), ("b", "2023", None, "running"), ("c", "2022", "2023", "failed")], "session_id string, started_at string, completed_at string, status string")
     commands = spark.createDataFrame([(1, "a", "done"), (2, "a", "done"), (3, "c", "done")], "seq long, session_id string, status string")

@@ -122,3 +122,18 @@ def test_streams(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
     latest.drain(latest.windowed_counts(latest.stream(spark, source), "at", ["id"], "1 day", "0 seconds"), str(tmp_path / "w"), str(tmp_path / "cw")).awaitTermination()
     assert latest.hash_misses(spark.read.parquet(source), rows((1, None)).withColumnRenamed("id", "path"), "id").count() == 3 and os.path.exists(out)
+
+
+def test_migrations(tmp_path):
+    from stratalens import migrations
+    from stratalens.errors import ReportError
+
+    done = []
+    step = lambda n: (n, lambda root: done.append(n))
+    assert migrations.version(tmp_path) == 0
+    assert migrations.apply(tmp_path, 2, lambda root: done.append("base"), [step(2)], "now") == [2] and migrations.version(tmp_path) == 2
+    assert migrations.apply(tmp_path, 4, lambda root: None, [step(2), step(3), step(4)], "now") == [3, 4] and done == ["base", 3, 4]
+    assert migrations.apply(tmp_path, 4, lambda root: None, [step(4)], "now") == [] and migrations.missing(tmp_path) == []
+    for target, steps in ((3, [step(3)]), (6, [step(5)]), (6, [step(5), step(7)])):
+        with pytest.raises(ReportError):
+            migrations.apply(tmp_path, target, lambda root: None, steps, "now")

@@ -58,3 +58,25 @@ def test_canonical_forms():
     assert re.match(canonical, "2020-01-01T00:00:00Z") and re.match(canonical, "2020-01-01T00:00:00.000000+00:00")
     assert not re.match(canonical, "2020-01-01T00:00:00z") and not re.match(canonical, "2020-01-01T00:00:00Z ")
     assert F is not None
+
+
+def test_p2_found_against_brute_force(spark):
+    """The whole tables of the smallest test data, read by strptime and zoneinfo."""
+    import re
+
+    import pandas as pd
+
+    from stratalens.plans.dirty_data import p2_found
+
+    folder = "/root/testdata/sf0.001"
+    read = lambda t: pd.read_parquet(f"{folder}/{t}.parquet")
+    canonical = re.compile(CANONICAL.replace(r"\z", r"\Z"))
+    zones = read("report_runs").set_index("id").tz_name.to_dict()
+    files = read("media_files").sort_values("loaded_at").drop_duplicates("id", keep="last")
+    run_of = files.set_index("id").run_id.to_dict()
+    rows = [("media_files.creation_date", str(r.id), r.creation_date, zones.get(r.run_id)) for r in files.itertuples()]
+    rows += [("media_metadata.captured_at", str(r.file_id), r.captured_at, zones.get(run_of.get(r.file_id))) for r in read("media_metadata").itertuples()]
+    rows += [("sessions.started_at", r.session_id, r.started_at, r.tz_name) for r in read("sessions").itertuples()]
+    want = {(f, k, m) for f, k, raw, zone in rows if raw is not None and not canonical.match(raw) and (m := instant(raw, zone)) is not None}
+    got = p2_found(spark, folder).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
