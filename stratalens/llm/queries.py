@@ -15,6 +15,7 @@ from stratalens.llm.sketch_join import near_pairs
 from stratalens.llm.survivors import best_records, merged_records
 from stratalens.operators.latest import latest_rows
 from stratalens.operators.timestamps import parse_instants
+from stratalens.plans.dirty_data import PARSE_SQL
 from stratalens.tables import table
 
 NO_INSTANT = -(1 << 62)
@@ -138,9 +139,22 @@ _P7 = """
   WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items),
   ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) i FROM iw)),
   dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
-  dg AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM dw)),
+  dg AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM dw)),
   found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
+_P1 = (
+    """
+  WITH files AS (SELECT * FROM media_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
+  groups AS (SELECT * FROM duplicate_groups QUALIFY row_number() OVER (PARTITION BY id, run_id ORDER BY loaded_at DESC) = 1),
+  src AS (
+    SELECT f.run_id, f.group_id, f.id, creation_date AS raw, tz_name AS tz, CASE WHEN quality_score BETWEEN 0 AND 1 AND NOT isnan(quality_score) THEN quality_score END AS q, CASE WHEN size_bytes >= 1 THEN size_bytes ELSE 0 END AS size,
+      content_hash, CASE WHEN json_valid(metadata) THEN metadata END AS metadata
+    FROM files f JOIN groups g ON g.id = f.group_id AND g.run_id = f.run_id LEFT JOIN report_runs r ON r.id = f.run_id WHERE f.deleted_at IS NULL AND g.deleted_at IS NULL
+  ),
+"""
+    + PARSE_SQL
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY run_id, group_id ORDER BY q DESC NULLS LAST, size DESC, micros DESC NULLS LAST, id) AS rn FROM m)"
+)
 _P4 = """
   WITH RECURSIVE link AS (
     SELECT DISTINCT path_a a, path_b b FROM duplicate_pairs WHERE path_a <> path_b AND similarity BETWEEN 0.85 AND 1 AND NOT isnan(similarity)
@@ -171,9 +185,18 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1 + "SELECT group_id, id AS file_id FROM r WHERE rn = 1",
+        "p1_merged": _P1
+        + """SELECT run_id, group_id, arg_min(id, rn) AS best_file_id, count(*) AS n_records, arg_min(q, rn) FILTER (q IS NOT NULL) AS quality, arg_min(size, rn) FILTER (size > 0) AS size,
+          arg_min(micros, rn) FILTER (micros IS NOT NULL) AS instant, arg_min(content_hash, rn) FILTER (content_hash IS NOT NULL) AS content_hash, arg_min(metadata, rn) FILTER (metadata IS NOT NULL) AS metadata FROM r GROUP BY ALL""",
         "p4_found": _P4 + "SELECT path, group_path FROM found",
         "p4_sizes": _P4 + "SELECT n_files, count(*) AS n_groups FROM (SELECT group_path, count(*) AS n_files FROM found GROUP BY 1) GROUP BY 1",
         "p5_found": _P5,
         "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
+        "p7_spans": _P7
+        + """, hit AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ig USING (g)),
+          mark AS (SELECT *, (i > lag(i, 1, -99) OVER w + 13)::INT AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
+          span AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS n FROM mark)
+          SELECT doc_id, item_id, min(i) - 1 AS first_word, max(i) + 11 AS last_word FROM span GROUP BY doc_id, item_id, n""",
         "p7_items": _P7 + "SELECT item_id, count(*) AS n_documents FROM found GROUP BY 1",
     }
