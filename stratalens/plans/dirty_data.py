@@ -73,6 +73,55 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("field").alias("ref_field"), F.date_format("loaded_at", "yyyy-MM").alias("month"), "reason").agg(F.count("*").alias("n"))
 
 
+#: Reads texts (raw, tz) of a CTE src into micros, for the forms that the test data hold. DuckDB takes the later of two
+#: repeated times, so the earlier one is tried first.
+PARSE_SQL = r"""
+  s AS (SELECT *, trim(raw, E' \t\r\n' || chr(0)) AS s FROM src),
+  f AS (
+    SELECT *, CASE
+      WHEN regexp_full_match(s, '\d{4}[-:]\d\d[-:]\d\d([Tt ]\d\d:\d\d(:\d\d([.,]\d+)?)? ?([Zz]|[+-]\d\d(:?\d\d)?|[A-Z]{2,5})?(\[[A-Za-z_/]+\])?)?')
+        THEN regexp_replace(s, '^(\d{4})[-:](\d\d)[-:](\d\d)(?:[Tt ](\d\d):(\d\d)(?::(\d\d)(?:[.,](\d+))?)? ?([Zz]|[+-]\d\d(?::?\d\d)?|[A-Z]{2,5})?(?:\[([A-Za-z_/]+)\])?)?$', '\1|\2|\3|\4|\5|\6|\7||\8|\9')
+      WHEN regexp_full_match(s, '\d{8}T\d{6}Z') THEN regexp_replace(s, '^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)Z$', '\1|\2|\3|\4|\5|\6|||Z|')
+      WHEN regexp_full_match(s, '\d\d\.\d\d\.\d{4} \d\d:\d\d:\d\d') THEN regexp_replace(s, '^(\d\d)\.(\d\d)\.(\d{4}) (\d\d):(\d\d):(\d\d)$', '\3|\2|\1|\4|\5|\6||||')
+      WHEN regexp_full_match(s, '\d\d/\d\d/\d{4} \d\d:\d\d:\d\d [AP]M') THEN regexp_replace(s, '^(\d\d)/(\d\d)/(\d{4}) (\d\d):(\d\d):(\d\d) ([AP]M)$', '\3|\1|\2|\4|\5|\6||\7||')
+      WHEN regexp_full_match(s, '([A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d( [+-]\d{4})?') THEN regexp_replace(s, '^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d\d):(\d\d):(\d\d)(?: ([+-]\d{4}))?$', '\3|\2|\1|\4|\5|\6|||\7|')
+    END AS n FROM s
+  ),
+  p AS (SELECT *, list_transform(string_split(n, '|'), lambda x: nullif(x, '')) AS p FROM f),
+  w AS (
+    SELECT *, coalesce(try_cast(p[2] AS INT), nullif(list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], p[2]), 0)) AS mo,
+      CASE WHEN p[8] IS NULL THEN coalesce(p[4], '0')::INT ELSE p[4]::INT % 12 + CASE p[8] WHEN 'PM' THEN 12 ELSE 0 END END AS h,
+      rpad(left(coalesce(p[7], ''), 6), 6, '0')::BIGINT AS frac, upper(p[9]) AS mark, coalesce(p[10], tz, 'UTC') AS zone
+    FROM p
+  ),
+  t AS (
+    SELECT *, try_cast(printf('%s-%02d-%s %02d:%s:%s', p[1], mo, lpad(p[3], 2, '0'), h, coalesce(p[5], '00'), coalesce(p[6], '00')) AS TIMESTAMP) AS wall,
+      CASE WHEN left(mark, 1) IN ('+', '-') THEN (CASE left(mark, 1) WHEN '-' THEN -1 ELSE 1 END) * (mark[2:3]::INT * 60 + coalesce(try_cast(nullif(right(replace(mark, ':', ''), 2), '') AS INT) * (length(mark) > 3)::INT, 0))
+        ELSE CASE mark WHEN 'Z' THEN 0 WHEN 'UTC' THEN 0 WHEN 'GMT' THEN 0 WHEN 'CET' THEN 60 WHEN 'CEST' THEN 120 WHEN 'BST' THEN 60 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 WHEN 'CST' THEN -360 WHEN 'CDT' THEN -300 WHEN 'JST' THEN 540 WHEN 'IST' THEN 330 WHEN 'AEST' THEN 600 WHEN 'AEDT' THEN 660 END END AS off
+    FROM w
+  ),
+  z AS (SELECT *, CASE WHEN mark IS NULL AND wall IS NOT NULL THEN timezone(zone, wall) END AS late FROM t),
+  m AS (
+    SELECT *, CASE
+      WHEN regexp_full_match(s, '\d{9,11}(\.\d+)?') THEN (split_part(s, '.', 1) || rpad(left(split_part(s, '.', 2), 6), 6, '0'))::BIGINT
+      WHEN regexp_full_match(s, '\d{12,14}') THEN s::BIGINT * 1000
+      WHEN regexp_full_match(s, '\d{15,17}') THEN s::BIGINT
+      WHEN mark IS NOT NULL THEN epoch_us(wall) + frac - off::BIGINT * 60000000
+      WHEN timezone(zone, late - INTERVAL 1 HOUR) = wall THEN epoch_us(late) - 3600000000 + frac
+      ELSE epoch_us(late) + frac END AS micros
+    FROM z
+  )
+"""
+_TEXTS = """
+  WITH files AS (SELECT * FROM media_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
+  every AS (
+    SELECT 'media_files.creation_date' AS field, f.id::VARCHAR AS record_key, creation_date AS raw, tz_name AS tz FROM files f LEFT JOIN report_runs r ON r.id = f.run_id
+    UNION SELECT 'media_metadata.captured_at', file_id::VARCHAR, captured_at, tz_name FROM media_metadata LEFT JOIN files f ON f.id = file_id LEFT JOIN report_runs r ON r.id = f.run_id
+    UNION SELECT 'sessions.started_at', session_id, started_at, tz_name FROM sessions
+  ),
+  src AS (SELECT * FROM every WHERE NOT regexp_full_match(raw, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|\\.\\d{6}\\+00:00)')),
+"""
+
 _BROKEN = """
   WITH files AS (SELECT * FROM media_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
   groups AS (SELECT * FROM duplicate_groups QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
@@ -100,6 +149,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _TEXTS + PARSE_SQL + "SELECT DISTINCT field, record_key, micros AS utc_micros FROM m WHERE micros IS NOT NULL",
+        "p2_unreadable": _TEXTS + PARSE_SQL + "SELECT field, micros IS NOT NULL AS readable, count(*) AS n_rows FROM m GROUP BY ALL",
         "p3_found": _BROKEN + "SELECT ref_field, row_id, reason FROM found WHERE reason IS NOT NULL",
         "p3_counts": _BROKEN + "SELECT ref_field, strftime(loaded_at::TIMESTAMP, '%Y-%m') AS month, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
     }
