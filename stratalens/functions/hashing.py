@@ -12,7 +12,8 @@ from stratalens.errors import HashError
 
 PERCEPTUAL = ("ahash", "phash", "dhash", "whash")
 CONTENT_LENGTHS = {"md5": 32, "sha256": 64}
-_SERIAL = r"\A([^:]*):\s*0*(\d{1,6})\s*:([0-9a-fA-F]+)\z"
+#: One pattern for both spellings; its groups are algorithm, side and digits, or bare digits.
+_DIGEST = r"(?U)\A\s*(?:([^:]*):\s*0*(\d{1,6})\s*:([0-9a-fA-F]+)|(?:0[xX])?([0-9a-fA-F]+))\s*\z"
 
 
 def trim_all(text: Column) -> Column:
@@ -22,17 +23,13 @@ def trim_all(text: Column) -> Column:
 
 def digest_parts(text: Column) -> Column:
     """struct(algorithm, hex, bits, error) of a bare (optionally 0x) or algorithm:side:hex digest; leading zeros count."""
-    t = trim_all(text)
-    serial, hexed = t.contains(":"), F.regexp_replace(t, r"\A0[xX]", "")
-    side = F.regexp_extract(t, _SERIAL, 2).try_cast("bigint")
-    digits = F.when(serial, F.regexp_extract(t, _SERIAL, 3)).otherwise(F.when(hexed.rlike(r"\A[0-9a-fA-F]+\z"), hexed).otherwise(F.lit("")))
-    algorithm = F.when(serial, F.regexp_extract(t, _SERIAL, 1))
+    parts = F.split(F.when(text.rlike(_DIGEST), F.regexp_replace(text, _DIGEST, "$1|$2|$3$4")), r"\|")
+    algorithm, digits = F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.get(parts, F.lit(2))
+    side = F.get(parts, F.lit(1)).try_cast("bigint")
     error = (
-        F.when(text.isNull() | (t == ""), "empty digest")
-        .when(serial & (digits == ""), "malformed serialized digest")
-        .when(serial & ~algorithm.isin(*PERCEPTUAL), "unknown algorithm")
-        .when(serial & (F.length(digits) * 4 != side * side), "digest length does not fit its size")
-        .when(digits == "", "not hexadecimal")
+        F.when(digits.isNull(), F.when(text.isNull() | (F.trim(text) == ""), "empty digest").when(text.contains(":"), "malformed serialized digest").otherwise("not hexadecimal"))
+        .when(side.isNotNull() & ~F.coalesce(algorithm.isin(*PERCEPTUAL), F.lit(False)), "unknown algorithm")
+        .when(F.length(digits) * 4 != side * side, "digest length does not fit its size")
     )
     ok = error.isNull()
     return F.struct(

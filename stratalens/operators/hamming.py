@@ -26,7 +26,8 @@ def check_threshold(threshold: int) -> None:
 
 def parsed(files: DataFrame, path: str, text: str, space: str, order: str, strict: bool = True) -> DataFrame:
     """(ord, path, space, bits, words); strict raises on repeated paths and bad hashes, else bad hashes are left out."""
-    rows = files.select(F.col(order).alias("ord"), F.col(path).alias("path"), F.col(space).alias("space"), digest_parts(F.col(text)).alias("d"))
+    # exploding a one-element array keeps Spark from parsing again wherever a part is used
+    rows = files.select(F.col(order).alias("ord"), F.col(path).alias("path"), F.col(space).alias("space"), F.explode(F.array(digest_parts(F.col(text)))).alias("d"))
     if strict:
         if twice := rows.groupBy("path").count().where("count > 1").first():
             raise DuplicateError("a path occurs twice in the input", file_path=twice["path"])
@@ -59,18 +60,23 @@ def near_edges(reps: DataFrame, threshold: int) -> DataFrame:
     Two hashes within the threshold agree in one of threshold + 1 bands; hashes no wider than the threshold all match.
     """
     check_threshold(threshold)
+    ws = Workspace(reps.sparkSession, "near")
+    xor = F.aggregate("words", F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(w))
+    reps = ws.save(reps.withColumn("fold", xor), "reps")
     if threshold == 0:
-        return _pairs(reps, reps.where(F.lit(False)), [*SPACE], threshold)
+        return _pairs(reps.where(F.lit(False)), [*SPACE], threshold)
     narrow = reps.where(F.col("bits") <= threshold)
-    banded = reps.where(F.col("bits") > threshold).withColumn("b", F.explode(band_keys(F.col("bits"), F.col("words"), threshold))).select("*", "b.band", "b.key").drop("b")
-    return _pairs(banded, banded, [*SPACE, "band", "key"], threshold).dropDuplicates(["ord_a", "ord_b"]).unionByName(_pairs(narrow, narrow, [*SPACE], threshold))
+    banded = reps.where(F.col("bits") > threshold).withColumn("b", F.explode(band_keys(F.col("bits"), F.col("words"), threshold)))
+    banded = banded.withColumn("key", F.xxhash64("b.band", "b.key")).drop("b")
+    return _pairs(banded, [*SPACE, "key"], threshold).dropDuplicates(["ord_a", "ord_b"]).unionByName(_pairs(narrow, [*SPACE], threshold))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], threshold: int) -> DataFrame:
-    a = left.select(*on, F.col("ord").alias("ord_a"), F.col("path").alias("path_a"), F.col("words").alias("wa"))
-    b = right.select(*on, F.col("ord").alias("ord_b"), F.col("path").alias("path_b"), F.col("words").alias("wb"))
-    met = a.join(b, on).where(F.col("ord_a") < F.col("ord_b")).withColumn("distance", hamming(F.col("wa"), F.col("wb")))
-    return met.where(F.col("distance") <= threshold).select("path_a", "path_b", "ord_a", "ord_b", *SPACE, "distance")
+def _pairs(rows: DataFrame, on: list[str], threshold: int) -> DataFrame:
+    """Pairs that meet in the keys. The XOR of a hash's words is compared first: its distance is never larger."""
+    a = rows.select(*on, F.col("ord").alias("ord_a"), F.col("path").alias("path_a"), F.col("words").alias("wa"), F.col("fold").alias("fa"))
+    b = rows.select(*on, F.col("ord").alias("ord_b"), F.col("path").alias("path_b"), F.col("words").alias("wb"), F.col("fold").alias("fb"))
+    met = a.join(b, on).where((F.col("ord_a") < F.col("ord_b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= threshold))
+    return met.withColumn("distance", hamming(F.col("wa"), F.col("wb"))).where(F.col("distance") <= threshold).select("path_a", "path_b", "ord_a", "ord_b", *SPACE, "distance")
 
 
 def exact_edges(rows: DataFrame) -> DataFrame:
