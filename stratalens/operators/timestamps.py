@@ -80,8 +80,10 @@ def parse_instants(df: DataFrame, raw: str, zone: str, out: str = "utc_micros")
     """df with the instant of each text in raw as microseconds since 1970, wall-clock texts read in zone.
 
     Built-in expressions only; unreadable texts give null. Works on any rows; normalise() is the way for large tables.
+    A column of df that is named like the result is replaced.
     """
     spark = df.sparkSession
+    df = df.drop(out) if out not in (raw, zone) else df
     clean = F.btrim(F.col(raw), F.lit(BLANKS))
     form = F.lit(None).cast("string")
     for pattern, groups in reversed(_FORMS):
@@ -160,12 +162,15 @@ class TimestampDictionary:
 
         A placeholder or default time may be the text of a third of all rows, so hot texts are looked up apart.
         """
-        keyed = rows.withColumn("zone", F.coalesce("zone", F.lit("UTC")))
+        keyed = rows.drop("utc_micros").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
         return lookup(keyed, self.read(), ["source", "raw", "zone"], rows.count(), "left")
 
 
 def normalise(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """rows (source, raw, zone, ...) with utc_micros, by way of the dictionary at path (a fresh one if None)."""
+    """rows (source, raw, zone, ...) with utc_micros, by way of the dictionary at path (a fresh one if None).
+
+    Other columns pass through; one named utc_micros is replaced. Repeated rows stay repeated.
+    """
     spark = rows.sparkSession
     ws = Workspace(spark, "timestamps")
     rows = ws.save(rows, "rows")

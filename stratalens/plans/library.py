@@ -95,7 +95,11 @@ def hash_word_aggregate(spark, folder):
     return d.groupBy(F.col("d.bits").cast("bigint").alias("bits")).agg(F.count("*").alias("n"), F.sum(F.bit_count(hashing.word_of(F.col("d.hex")))).alias("ones"))
 
 
-@query()
+@query("""
+  WITH m AS (SELECT vec_id, embedding, list_sum([x::DOUBLE FOR x IN embedding]) / len(embedding) AS mean FROM embeddings),
+  w AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > mean THEN (2::HUGEINT ** (64 - i))::HUGEINT ELSE 0::HUGEINT END FOR i IN range(1, 65)]) AS word FROM m)
+  SELECT vec_id, lower(lpad(hex(word::UBIGINT), 16, '0')) AS hash FROM w
+""")
 def vector_hashes(spark, folder):
     """A 64-bit hash of each 64-wide vector: a bit is set where the value exceeds the mean."""
     mean = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v) / F.size("embedding")

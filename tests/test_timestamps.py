@@ -49,6 +49,8 @@ def test_dictionary_grows_by_unseen_values_only(spark, tmp_path):
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "source string, raw string, zone string, utc string")
     assert normalise(empty).count() == 0
+    clash = spark.createDataFrame([("s", "1736340174", None, "old"), ("s", "1736340174", None, "old"), (None, None, None, None)], "source string, raw string, zone string, utc_micros string")
+    assert sorted(str(r.utc_micros) for r in normalise(clash).collect()) == ["1736340174000000"] * 2 + ["None"]
 
 
 def test_canonical_forms():
