@@ -645,6 +645,14 @@ def walk_order(spark, folder):
     return hamming._running_number(rows, [F.col("key").asc()]).select("id", F.col("group_number").alias("position"))
 
 
+@query(f"WITH {FILES}, {_REL} SELECT run_id, id, row_number() OVER (ORDER BY run_id, k, id) AS position FROM (SELECT files.id, run_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i < len(p) THEN '1' ELSE '0' END || p[i]) AS k FROM files JOIN (SELECT id, string_split(rel, '/') AS p FROM rel) USING (id))")
+def walk_order_all(spark, folder):
+    """The files of all runs, run by run, each in the order a walk visits them; numbered through."""
+    rows = latest_files(spark, folder, "path", "run_id").withColumn("key", inventory.walk_key(F.ltrim("path", F.lit("/"))))
+    order = [F.col("run_id").asc_nulls_last(), F.col("key").asc(), F.col("id").asc()]
+    return hamming._running_number(rows, order).select("run_id", "id", F.col("group_number").alias("position"))
+
+
 @query(f"WITH {FILES}, g AS (SELECT run_id, group_id, count(*) AS n, max(len(string_split(path, '/'))) AS depth FROM files WHERE group_id IS NOT NULL GROUP BY ALL) SELECT run_id, group_id, '{{\"group_number\":' || group_id || ',\"n_files\":' || n || ',\"max_depth\":' || depth || '}}' AS json FROM g")
 def group_json(spark, folder):
     """Groups serialised, without their unbounded member lists."""
