@@ -12,17 +12,21 @@ from stratalens.functions import media_bytes
 from stratalens.functions.text import basename, media_type, normalize_extension, sniff
 
 LISTING = "rel string, is_dir boolean, is_symlink boolean, size bigint, mtime double, resolved string"
-#: Cells hold whole files, so larger ones are left out of content reads.
+#: Cells hold whole files, so the content of larger ones isn't read: null, with an issue.
 MAX_CONTENT = 1 << 30
 
 
 def regular_files(spark: SparkSession, root: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """(path, size, mtime, media_type[, content]) by a distributed listing; content is read only if asked for."""
+    """(path, size, mtime, media_type[, content, issue]) by a distributed listing; content is read only if asked for."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     path = F.regexp_replace("path", r"\Afile:/*", "/")
-    df = df.where(F.col("length") <= MAX_CONTENT) if content else df
+    if content:
+        # two scans, since one that selects the content reads every file that its length condition doesn't skip
+        whole = df.where(F.col("length") <= MAX_CONTENT).withColumn("issue", F.lit(None).cast("string"))
+        large = df.drop("content").where(F.col("length") > MAX_CONTENT).withColumn("content", F.lit(None).cast("binary"))
+        df = whole.unionByName(large.withColumn("issue", F.lit(f"content not read: larger than {MAX_CONTENT} bytes")))
     kind = media_type(normalize_extension(basename(path)), sniff(F.col("content")) if content else None)
-    return df.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), kind.alias("media_type"), *(["content"] if content else []))
+    return df.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), kind.alias("media_type"), *(["content", "issue"] if content else []))
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:

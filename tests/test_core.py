@@ -308,3 +308,13 @@ def test_walk(spark, tmp_path):
     media, issues = inventory.discover(listing, symlinks="follow")
     assert media.count() == 1 and issues.count() == 1
     assert files_source.regular_files(spark, str(tmp_path)).count() >= 1
+
+
+def test_files_above_the_content_bound_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_source, "MAX_CONTENT", 10)
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff123")
+    (tmp_path / "a.mov").write_bytes(b"x" * 11)
+    rows = {r.path.rpartition("/")[2]: r for r in files_source.regular_files(spark, str(tmp_path), content=True).collect()}
+    assert {n: (r.size, r.media_type, r.content is None, r.issue is None) for n, r in rows.items()} == {"a.jpg": (6, "image", False, True), "a.mov": (11, "video", True, False)}
+    info = files_source.inspect(spark, str(tmp_path / "a.mov")).first()
+    assert (info.size, info.header.width, bool(info.issue)) == (11, None, True)
