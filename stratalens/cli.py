@@ -37,6 +37,30 @@ def _session():
     return spark
 
 
+def live_photo_scan(spark, path: str) -> dict[str, list]:
+    """All pairs, the stills and videos in none, and the files whose content was not read."""
+    from pyspark.sql import functions as F
+
+    from stratalens.functions.media_bytes import maker_note_tags
+    from stratalens.functions.text import path_key
+    from stratalens.operators import live_photos
+    from stratalens.sources import files
+    from stratalens.work import Workspace
+
+    rows = files.regular_files(spark, path, content=True)
+    ws = Workspace(spark, "live")  # the files are read once, not once per list
+    tagged = ws.save(rows.select("path", "issue", maker_note_tags(F.col("content"))["Tag 0x0011"].alias("tag")), "tagged")
+    found = live_photos.candidates(tagged, "path", "tag")
+    paired = ws.save(live_photos.pairs(found), "pairs")
+    loose = ws.save(live_photos.orphans(found, paired), "loose").orderBy(path_key(F.col("path")))
+    return {
+        "pairs": [r.asDict() for r in live_photos.scan_order(paired).toLocalIterator()],
+        "unpaired_stills": [r.path for r in loose.where("kind = 'still'").toLocalIterator()],
+        "unpaired_videos": [r.path for r in loose.where("kind = 'video'").toLocalIterator()],
+        "issues": [r.asDict() for r in tagged.where("issue IS NOT NULL").select("path", "issue").orderBy(path_key(F.col("path"))).toLocalIterator()],
+    }
+
+
 def run(args: argparse.Namespace) -> object:
     if args.command == "config":
         path = Path(args.file)
@@ -55,7 +79,7 @@ def run(args: argparse.Namespace) -> object:
         return {name: shutil.which(name) is not None for name in ("java", "ffprobe", "ffmpeg")}
     from pyspark.sql import functions as F
 
-    from stratalens.operators import inventory, live_photos, report, search
+    from stratalens.operators import inventory, report, search
     from stratalens.sources import files
 
     spark = _session()
@@ -64,13 +88,9 @@ def run(args: argparse.Namespace) -> object:
     if args.command == "info":
         return files.inspect(spark, args.path).first().asDict(recursive=True)
     if args.command == "live-photos":
-        rows = files.regular_files(spark, args.path, content=True)
-        from stratalens.functions.media_bytes import maker_note_tags
-
-        found = live_photos.candidates(rows.withColumn("tag", maker_note_tags(F.col("content"))["Tag 0x0011"]), "path", "tag")
-        return {"pairs": [r.asDict() for r in live_photos.scan_order(live_photos.pairs(found)).limit(1000).collect()]}
+        return live_photo_scan(spark, args.path)
     store = report.ReportStore(spark, args.store)
-    return [r.asDict() for r in search.ranked(store.table("media_files"), "id", ["path", "filename", "metadata"], args.query).limit(100).collect()]
+    return [r.asDict() for r in search.ranked(store.table("media_files"), "id", ["path", "filename", "metadata"], args.query).toLocalIterator()]
 
 
 def main(argv: list[str] | None = None) -> int:

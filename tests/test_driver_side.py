@@ -137,3 +137,26 @@ def test_migrations(tmp_path):
     for target, steps in ((3, [step(3)]), (6, [step(5)]), (6, [step(5), step(7)])):
         with pytest.raises(ReportError):
             migrations.apply(tmp_path, target, lambda root: None, steps, "now")
+
+
+def test_cli_lists_everything(spark, tmp_path, monkeypatch):
+    from stratalens.operators import report
+    from stratalens.sources import files
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    monkeypatch.setattr(files, "MAX_CONTENT", 3)
+    folder = tmp_path / "library"
+    folder.mkdir()
+    for n in range(1001):
+        (folder / f"i{n}.jpg").write_bytes(b"x")
+        (folder / f"i{n}.mov").write_bytes(b"x")
+    (folder / "lone.jpg").write_bytes(b"x")
+    (folder / "lone-too.mov").write_bytes(b"long")
+    got = cli.run(cli.parser().parse_args(["live-photos", str(folder)]))
+    assert len({(p["still"], p["video"]) for p in got["pairs"]}) == 1001
+    assert (got["unpaired_stills"], got["unpaired_videos"], [i["path"] for i in got["issues"]]) == ([str(folder / "lone.jpg")], [str(folder / "lone-too.mov")], [str(folder / "lone-too.mov")])
+    rows = spark.range(101).select(F.format_string("/l/rusty %d.jpg", "id").alias("path"), F.lit("image").alias("media_type"), F.lit(1).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("metadata"))
+    none = spark.createDataFrame([], "group_number int, media_type string, path string, target_path string")
+    ops = spark.createDataFrame([], "operation string, status string, source string, destination string")
+    report.ReportStore(spark, str(tmp_path / "store")).export(report.RunExport("/l", rows, none, ops))
+    assert len(cli.run(cli.parser().parse_args(["search", str(tmp_path / "store"), "rusty"]))) == 101
