@@ -464,6 +464,14 @@ def report_files(spark, folder):
     return rows.select("id", "run_id", "group_id", "path", F.coalesce("filename", text.basename(F.col("path"))).alias("filename"), "content_hash", "quality_score").orderBy("path", "id")
 
 
+@query(f"WITH {FILES} SELECT id, run_id, group_id, path, coalesce(filename, regexp_replace(path, '^.*/', '')) AS filename, content_hash, quality_score FROM files ORDER BY run_id, path, id")
+def report_files_all(spark, folder):
+    """The files of all runs; for one run there is ReportStore.list_media_files."""
+    rows = latest_files(spark, folder, "run_id", "group_id", "path", "filename", "content_hash", "quality_score")
+    rows = rows.select("id", "run_id", "group_id", "path", F.coalesce("filename", text.basename(F.col("path"))).alias("filename"), "content_hash", "quality_score")
+    return rows.orderBy(F.col("run_id").asc_nulls_last(), F.col("path").asc_nulls_last(), F.col("id").asc_nulls_last())
+
+
 @query(f"WITH {FILES} SELECT run_id, group_id, count(*) AS file_count, min(path) AS first_path FROM files WHERE group_id IS NOT NULL AND deleted_at IS NULL GROUP BY 1, 2")
 def report_groups(spark, folder):
     rows = latest_files(spark, folder, "run_id", "group_id", "path", "deleted_at").where("group_id IS NOT NULL AND deleted_at IS NULL")

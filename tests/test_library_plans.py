@@ -20,3 +20,8 @@ def media(spark, tmp_path):
 def test_walk_order_of_all_runs(spark, media):
     got = sorted((r.position, r.run_id, r.id) for r in library.queries()["walk_order_all"](spark, media).collect())
     assert got == [(1, 1, 1), (2, 1, 3), (3, 1, 2), (4, 1, 5), (5, 1, 8), (6, 1, 4), (7, 8, 7), (8, 8, 6)]
+
+
+def test_report_files_of_all_runs(spark, media):
+    got = [(r.run_id, r.path, r.id) for r in library.queries()["report_files_all"](spark, media).collect()]
+    assert got == sorted(got) and len(got) == 8 and {r for r, _, _ in got} == {1, 8}
