@@ -146,14 +146,15 @@ def hamming_threshold_zero(spark, folder):
 
 @query("SELECT count(*) AS n_pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def hamming_threshold_all(spark, folder):
-    """A threshold as wide as the hash pairs all different hashes; equal ones follow as a chain and its closure."""
+    """A threshold as wide as the hash pairs all different hashes: each found pair counts for all files of both hashes, and equal ones pair among themselves."""
     rows = vector_hashes(spark, folder).select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("path"), "hash", F.lit("v").alias("space"))
     rows = hamming.parsed(rows, "path", "hash", "space", "ord", strict=False)
-    reps = hamming.representatives(rows)
-    across = hamming.near_edges(reps, 64).agg(F.count("*").alias("n"))
-    within = rows.groupBy("words").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) div 2")).alias("n"))
-    sizes = rows.count() - reps.count()
-    return across.crossJoin(within.withColumnRenamed("n", "w")).select((F.col("n") + F.col("w") if sizes == 0 else F.lit(rows.count() * (rows.count() - 1) // 2)).cast("bigint").alias("n_pairs"))
+    counted = rows.groupBy(*hamming.SPACE, "words").agg(F.min("ord").alias("ord"), F.count("*").alias("m"))
+    # the join hands paths through; the counts travel in their place
+    found = hamming.near_edges(counted.withColumnRenamed("m", "path"), 64)
+    across = found.agg(F.coalesce(F.sum(F.col("path_a") * F.col("path_b")), F.lit(0)).alias("n"))
+    within = counted.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("w"))
+    return across.crossJoin(within).select((F.col("n") + F.col("w")).cast("bigint").alias("n_pairs"))
 
 
 _GROUPS = _WORDS + """,

@@ -25,3 +25,14 @@ def test_walk_order_of_all_runs(spark, media):
 def test_report_files_of_all_runs(spark, media):
     got = [(r.run_id, r.path, r.id) for r in library.queries()["report_files_all"](spark, media).collect()]
     assert got == sorted(got) and len(got) == 8 and {r for r, _, _ in got} == {1, 8}
+
+
+def test_all_pairs_are_counted_from_those_found(spark, tmp_path, monkeypatch):
+    vector = lambda k: [1.0 if i == k else 0.0 for i in range(64)]
+    rows = [(n, vector(k)) for n, k in enumerate([0, 0, 0, 5, 5, 9])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    count = lambda: library.queries()["hamming_threshold_all"](spark, str(tmp_path)).first().n_pairs
+    assert count() == 15
+    near_edges = library.hamming.near_edges
+    monkeypatch.setattr(library.hamming, "near_edges", lambda reps, threshold: near_edges(reps, threshold).where("ord_b <> 5"))
+    assert count() == 10  # a pair lost by the join is lost in the count
