@@ -329,6 +329,23 @@ def empty_dirs(spark, folder):
     return inventory.empty_directories(rows).agg(F.count("*").alias("n_empty"))
 
 
+@query(f"""
+  WITH {FILES}, {_REL},
+  p AS (SELECT deleted_at, string_split(regexp_extract(rel, '^(.*)/[^/]*$', 1), '/') AS parts FROM rel JOIN files USING (id) WHERE contains(rel, '/')),
+  a AS (SELECT deleted_at, unnest([array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)]) AS rel FROM p),
+  held AS (SELECT DISTINCT rel FROM a WHERE deleted_at IS NULL)
+  SELECT DISTINCT rel FROM a ANTI JOIN held USING (rel)
+""")
+def empty_dirs_all(spark, folder):
+    """Directories of the library that hold no files any more, in or below them: all files known there were deleted."""
+    rows = latest_files(spark, folder, "path", "deleted_at").withColumn("rel", F.ltrim("path", F.lit("/"))).where(F.col("rel").contains("/"))
+    rows = rows.select(text.parent(F.col("rel")).alias("dir"), F.col("deleted_at").isNull().alias("kept"))
+    holding = rows.groupBy("dir").agg(F.max("kept").alias("has_files"))
+    dirs = holding.select(F.explode(inventory.prefixes(F.col("dir"))).alias("rel")).distinct()
+    dirs = dirs.join(holding.withColumnRenamed("dir", "rel"), "rel", "left").select("rel", F.coalesce("has_files", F.lit(False)).alias("has_files"), F.lit(False).alias("is_symlink"))
+    return inventory.empty_directories(dirs)
+
+
 # ---------------------------------------------------------------- classification and routing
 
 _SIGNALS = f"""

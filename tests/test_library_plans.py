@@ -36,3 +36,7 @@ def test_all_pairs_are_counted_from_those_found(spark, tmp_path, monkeypatch):
     near_edges = library.hamming.near_edges
     monkeypatch.setattr(library.hamming, "near_edges", lambda reps, threshold: near_edges(reps, threshold).where("ord_b <> 5"))
     assert count() == 10  # a pair lost by the join is lost in the count
+
+
+def test_directories_left_empty_by_deletions(spark, media):
+    assert [r.rel for r in library.queries()["empty_dirs_all"](spark, media).collect()] == ["x/gone/in", "x/gone"]
