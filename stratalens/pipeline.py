@@ -103,6 +103,6 @@ def discovery(tables: dict[str, DataFrame], context: Context) -> dict[str, DataF
 
     c = context.config
     files, issues = discover(tables["listing"], c.get("paths", {}).get("exclude_patterns"), c.get("organize", {}).get("max_depth"), c.get("symlink_policy", "skip"))
-    for row in issues.limit(100).collect():
+    for row in issues.toLocalIterator():
         context.bus.publish(StepIssue("discovery", row["rel"], row["message"]))
     return {"files": files, "issues": issues}

@@ -160,3 +160,11 @@ def test_cli_lists_everything(spark, tmp_path, monkeypatch):
     ops = spark.createDataFrame([], "operation string, status string, source string, destination string")
     report.ReportStore(spark, str(tmp_path / "store")).export(report.RunExport("/l", rows, none, ops))
     assert len(cli.run(cli.parser().parse_args(["search", str(tmp_path / "store"), "rusty"]))) == 101
+
+
+def test_every_discovery_issue_is_published(spark):
+    seen, context = [], pipeline.Context(spark)
+    context.bus.subscribe(lambda e: seen.append(e.path), pipeline.StepIssue)
+    listing = spark.range(101).select(F.format_string("l%d.jpg", "id").alias("rel"), F.lit(False).alias("is_dir"), F.lit(True).alias("is_symlink"), F.lit("image").alias("media_type"))
+    pipeline.discovery({"listing": listing}, context)
+    assert sorted(seen) == sorted(f"l{n}.jpg" for n in range(101))
