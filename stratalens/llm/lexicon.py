@@ -13,7 +13,9 @@ LEXICON: dict[str, dict[float, tuple[str, ...]]] = {
         1.0: (
             "drown yourself", "kill yourself", "hang yourself", "smash your face in", "break your fingers", "hope your house burns down", "hope you die",
             "would be quieter if you stopped breathing", "if you stopped breathing", "find out where you live", "nobody would miss a ~idiot like you",
-            "you are a piece of shit", "you piece of shit", "~motherfucker", "go to hell you", "shut your fucking mouth",
+            "you are a piece of ~shit", "you piece of ~shit", "~motherfucker", "go to hell you", "shut your ~fucking mouth",
+            "i will kill you", "i ll kill you", "i am going to kill you", "i m going to kill you", "~fuck you", "go ~fuck yourself", "~fick dich", "ich werde dich töten",
+            "je vais te tuer", "va te faire ~foutre", "te voy a matar", "voy a matarte", "vete a la ~mierda", "que te ~jodan",
             "geh dich ertränken", "bring dich um", "brech ich dir die finger", "finde heraus wo du wohnst", "halt dein maul", "halt die fresse", "~hurensohn",
             "va te noyer", "te casser les doigts", "trouver où tu habites", "ferme ta gueule", "ta gueule", "~fils de pute", "~enculé",
             "ahógate de una vez", "averiguar dónde vives", "te romperé los dedos", "cierra la boca", "cierra el pico", "~hijo de puta",
@@ -23,7 +25,7 @@ LEXICON: dict[str, dict[float, tuple[str, ...]]] = {
             "das weiß hier jeder", "das wissen alle", "und alle wissen das", "vermisst keiner", "personne ne regrettera", "et tout le monde le sait", "nadie echará de menos", "y todos lo saben",
         ),
         0.6: (
-            "~idiot", "~moron", "~imbecile", "~cretin", "~scumbag", "~loser", "~bastard", "~bitch", "~dipshit", "~asshole", "~dickhead", "~dumbass", "~wanker", "~twat", "~cunt",
+            "~idiot", "~moron", "~imbecile", "~cretin", "~scumbag", "~loser", "~bastard", "~bitch", "~dipshit", "~asshole", "~dickhead", "~dumbass", "~wanker", "~twat", "~cunt", "~whore", "~slut", "~shithead", "~jackass", "~douchebag", "~hure", "~nutte", "~fotze", "~pute", "~puta",
             "~vollpfosten", "~trottel", "~schwachkopf", "~drecksack", "~arschloch", "~vollidiot", "~wichser", "~schlampe", "~mistkerl", "~dummkopf", "~depp", "~blödmann",
             "~abruti", "~crétin", "~connard", "~connasse", "~salaud", "~salope", "~imbécile", "~ordure", "~débile",
             "~idiota", "~imbécil", "~gilipollas", "~cabrón", "~desgraciado", "~cretino", "~pendejo", "~capullo", "~zorra", "~tarado",

@@ -3,7 +3,7 @@
 A text is folded first: lower case, accents off, look-alike letters of other scripts and digits or signs written for
 letters replaced, invisible characters dropped, letters repeated three times or more written once, and everything
 between letters removed. A phrase counts only where it begins and ends at a word of the text, so letters spaced or
-broken by signs are found, and words inside other words are not. Masked words (b***h) are entries of their own.
+broken by signs are found, and words inside other words are not. Masked words (b***h, b*tch) are entries of their own.
 
 Phrases close together form a passage; the category's evidence in a passage is the sum of its distinct phrases, without
 those inside an exception phrase. A document belongs to a category if a passage reaches THRESHOLD; its score is
@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +30,8 @@ THRESHOLD = 1.0
 REACH = 60
 CATEGORIES = tuple(LEXICON)
 _TOKENS = re.compile(r"[a-z]+(?:\*{2,}[a-z]+)*")
+_STARRED = re.compile(r"[a-z]+(?:\*+[a-z]+)*")
+_LONE_STAR = re.compile(r"(?<!\*)\*(?!\*)")
 _REPEATS = re.compile(r"([a-z])\1{2,}")
 _INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 
@@ -49,7 +51,26 @@ _FOLDING = _Folding({code: "" for code in _INVISIBLE} | {ord(k): v for k, v in F
 
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
-    return _TOKENS.findall(_REPEATS.sub(r"\1", text.lower().translate(_FOLDING)))
+    folded = _REPEATS.sub(r"\1", text.lower().translate(_FOLDING))
+    if "*" not in folded:
+        return _TOKENS.findall(folded)
+    # a single star is a letter only in a marked word; elsewhere it parts words
+    words = _STARRED.findall(folded)
+    return [w for word in words for w in (_TOKENS.findall(word) if _LONE_STAR.search(word) and word not in _marked() else [word])]
+
+
+def _masks(word: str) -> set[str]:
+    """The word with some of its inner letters replaced by one star each."""
+    inner = ("".join(letters) for letters in product(*((c, "*") for c in word[1:-1])))
+    return {word[0] + letters + word[-1] for letters in inner if "*" in letters}
+
+
+@lru_cache(1)
+def _marked() -> set[str]:
+    """The masks of all marked words."""
+    phrases = [p for weights in LEXICON.values() for group in weights.values() for p in group]
+    words = {"".join(fold(part[1:])) for phrase in phrases for part in phrase.split() if part[0] == "~"}
+    return {mask for word in words for mask in _masks(word)}
 
 
 def _spellings(phrase: str) -> set[str]:
@@ -62,9 +83,8 @@ def _spellings(phrase: str) -> set[str]:
         if part[0] == "~":
             word = words[i]
             lone = re.sub(r"(.)\1", r"\1", word)
-            masked = word[0] + "*" * (len(word) - 2) + word[-1]
             # a mask hides accents, umlauts and double letters alike, so it may be longer or shorter than the folded word
-            for other in {lone, masked, word[0] + "*" * max(2, len(part.lstrip("~")) - 2) + word[-1]}:
+            for other in {lone, *_masks(word), word[0] + "*" * max(2, len(part.lstrip("~")) - 2) + word[-1]}:
                 forms.add("".join([*words[:i], other, *words[i + 1 :]]))
     return forms
 

@@ -124,3 +124,19 @@ def test_offensive_over_a_table(spark):
 def test_lexicon_is_folded_to_letters():
     phrases = [p for weights in LEXICON.values() for group in weights.values() for p in group] + list(EXCEPTIONS)
     assert all("".join(fold(p.replace("~", ""))) for p in phrases)
+
+
+@pytest.mark.parametrize(
+    ("text", "categories"),
+    [
+        ("You are a b*tch.", {"abuse"}), ("You f*cking id**t.", {"abuse"}), ("Shut your f*cking mouth.", {"abuse"}), ("You are a wh*re.", {"abuse"}), ("You are such a slut.", {"abuse"}),
+        ("I'll kill you.", {"abuse"}), ("I will kill you", {"abuse"}), ("F*ck you!", {"abuse"}), ("You are a stupid*idiot*now.", {"abuse"}), ("They are verm*n.", {"hate"}),
+        ("3*x*y and a*b are products.", set()), ("This *is* b*ld text.", set()), ("I will kill your process.", set()),
+    ],
+)
+def test_partial_masks_and_plain_threats(text, categories):
+    assert {c for c, (strongest, _, _) in evidence(text).items() if strongest >= 1} == categories
+
+
+def test_single_stars_part_words_that_are_not_marked():
+    assert fold("a*b b*tch b***h stupid*idiot") == ["a", "b", "b*tch", "b***h", "stupid", "idiot"]
