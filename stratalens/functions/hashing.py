@@ -14,6 +14,8 @@ PERCEPTUAL = ("ahash", "phash", "dhash", "whash")
 CONTENT_LENGTHS = {"md5": 32, "sha256": 64}
 #: One pattern for both spellings; its groups are algorithm, side and digits, or bare digits.
 _DIGEST = r"(?U)\A\s*(?:([^:]*):\s*0*(\d{1,6})\s*:([0-9a-fA-F]+)|(?:0[xX])?([0-9a-fA-F]+))\s*\z"
+#: The same with no white space inside.
+_TIGHT = _DIGEST.replace(r":\s*0*(\d{1,6})\s*:", r":0*(\d{1,6}):")
 
 
 def trim_all(text: Column) -> Column:
@@ -21,14 +23,19 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def digest_parts(text: Column) -> Column:
-    """struct(algorithm, hex, bits, error) of a bare (optionally 0x) or algorithm:side:hex digest; leading zeros count."""
-    parts = F.split(F.when(text.rlike(_DIGEST), F.regexp_replace(text, _DIGEST, "$1|$2|$3$4")), r"\|")
-    algorithm, digits = F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.get(parts, F.lit(2))
-    side = F.get(parts, F.lit(1)).try_cast("bigint")
+def digest_parts(text: Column, known: bool = True) -> Column:
+    """struct(algorithm, hex, bits, error) of a bare (optionally 0x) or algorithm:side:hex digest; leading zeros count.
+
+    known asks for one of the engine's algorithms and allows white space around the side; without it any name will do,
+    and white space may only stand around the whole text.
+    """
+    pattern = _DIGEST if known else _TIGHT
+    parts = F.split(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$2|$3$4|$1")), r"\|", 3)
+    algorithm, digits = F.nullif(F.get(parts, F.lit(2)), F.lit("")), F.get(parts, F.lit(1))
+    side = F.get(parts, F.lit(0)).try_cast("bigint")
     error = (
         F.when(digits.isNull(), F.when(text.isNull() | (F.trim(text) == ""), "empty digest").when(text.contains(":"), "malformed serialized digest").otherwise("not hexadecimal"))
-        .when(side.isNotNull() & ~F.coalesce(algorithm.isin(*PERCEPTUAL), F.lit(False)), "unknown algorithm")
+        .when(F.lit(known) & side.isNotNull() & ~F.coalesce(algorithm.isin(*PERCEPTUAL), F.lit(False)), "unknown algorithm")
         .when(F.length(digits) * 4 != side * side, "digest length does not fit its size")
     )
     ok = error.isNull()
