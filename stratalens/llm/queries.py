@@ -11,7 +11,7 @@ from stratalens.llm.components import components
 from stratalens.llm.fm_index import leaks
 from stratalens.llm.offensive import CATEGORIES, THRESHOLD, offensive, score
 from stratalens.llm.packing import CLASSES, pack
-from stratalens.llm.sketch_join import near_pairs
+from stratalens.llm.sketch_join import near_classes, near_pairs
 from stratalens.llm.survivors import best_records, merged_records
 from stratalens.operators.latest import latest_rows
 from stratalens.operators.timestamps import parse_instants
@@ -81,6 +81,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_pairs(files, "ord", "perceptual_hash", "media_type", 100).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b")).distinct()
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with a valid hash, with its class of equal hashes (named by the smallest ord), the class's size and the number of other classes near it."""
+    files = table(spark, folder, "hashed_files", "ord", "perceptual_hash", "media_type")
+    sketches, members, links = near_classes(files, "ord", "perceptual_hash", "media_type", 100)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    classes = sketches.select("id", "n").join(ends, "id", "left").select("id", F.col("n").alias("n_files"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = classes.join(members, "id", "left").select(F.coalesce("ident", "id").alias("ord"), F.col("id").alias("class_ord"), "n_files", "n_links")
+    return rows
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Which container every token of every non-empty text goes to."""
     return pack(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", CAPACITY, VOCABULARY)
@@ -163,7 +173,7 @@ _P4 = """
   reach AS (SELECT a, a AS b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
   found AS (SELECT a AS path, min(b) AS group_path FROM reach GROUP BY a)
 """
-_P5 = """
+_HASHES = """
   WITH t AS (SELECT DISTINCT ord, media_type, lower(trim(perceptual_hash, E' \\t\\r\\n')) t FROM hashed_files),
   h AS (
     SELECT ord, media_type, regexp_replace(t, '^0x', '') hex FROM t WHERE regexp_full_match(t, '(0x)?[0-9a-f]+')
@@ -172,6 +182,8 @@ _P5 = """
     WHERE regexp_full_match(t, '[^:]*:[0-9]{1,5}:[0-9a-f]+') AND split_part(t, ':', 2)::BIGINT ** 2 = length(split_part(t, ':', 3)) * 4
   ),
   w AS (SELECT ord, media_type, length(hex) n, [('0x' || substr(lpad(hex, (ceil(length(hex) / 16) * 16)::INT, '0'), i * 16 + 1, 16))::UBIGINT FOR i IN range(0, ceil(length(hex) / 16)::INT)] ws FROM h)
+"""
+_P5 = _HASHES + """
   SELECT a.ord AS ord_a, b.ord AS ord_b FROM w a JOIN w b ON a.media_type = b.media_type AND a.n = b.n AND a.ord < b.ord
   WHERE bit_count(xor(a.ws[1], b.ws[1])) <= a.n * 4 // 10
     AND list_sum([bit_count(xor(a.ws[i], b.ws[i])) FOR i IN range(1, len(a.ws) + 1)]) <= a.n * 4 // 10
@@ -179,7 +191,7 @@ _P5 = """
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found,
+    return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_classes": p5_classes,
             "p6_packed": p6_packed, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
@@ -192,6 +204,12 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4 + "SELECT path, group_path FROM found",
         "p4_sizes": _P4 + "SELECT n_files, count(*) AS n_groups FROM (SELECT group_path, count(*) AS n_files FROM found GROUP BY 1) GROUP BY 1",
         "p5_found": _P5,
+        "p5_classes": _HASHES
+        + """, c AS (SELECT media_type, n, ws, min(ord) AS class_ord, count(*) AS n_files FROM w GROUP BY ALL),
+          l AS (SELECT a.class_ord AS a, b.class_ord AS b FROM c a JOIN c b ON a.media_type = b.media_type AND a.n = b.n AND a.class_ord < b.class_ord
+            WHERE bit_count(xor(a.ws[1], b.ws[1])) <= a.n * 4 // 10 AND list_sum([bit_count(xor(a.ws[i], b.ws[i])) FOR i IN range(1, len(a.ws) + 1)]) <= a.n * 4 // 10),
+          e AS (SELECT id AS class_ord, count(*) AS n_links FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
+          SELECT w.ord, class_ord, n_files, coalesce(n_links, 0) AS n_links FROM w JOIN c ON w.media_type = c.media_type AND w.n = c.n AND w.ws = c.ws LEFT JOIN e USING (class_ord)""",
         "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
         "p7_spans": _P7
         + """, hit AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ig USING (g)),

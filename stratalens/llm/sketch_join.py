@@ -1,22 +1,46 @@
-"""Near-duplicate pairs by a parity-sketch join.
-
-A record is a set of tokens, hashed by XOR into a sketch of bits: the Hamming distance of two sketches is at most the
-size of the symmetric difference of the sets. For a perceptual hash the tokens are its set bits, and a sketch as wide
-as the hash has no collisions. Records meet only within size bands (sets whose sizes differ by more than the bound
-can't be close). The sketch is cut into m bands with radii r_i, sum(r_i + 1) > bound, so by the pigeonhole principle
-some band of a close pair differs in at most r_i bits; for r_i = 2 both sides look up the band value and all values
-one bit away, which meets in the middle. Candidates are tested on the folded 64-bit sketch, then verified exactly.
+"""Near-duplicate records by a parity-sketch join.
+
+A record is a set of tokens, hashed by XOR into a sketch of bits: token t flips bit h(t). The Hamming distance of two
+sketches is at most the size of the symmetric difference of the sets. For a perceptual hash the tokens are its set bits
+and h is one to one, so the sketch loses nothing and spreads neighbouring bits, which often agree, over all bands. For
+other sets (near_sets) several tokens may share a bit; the sketch only finds candidates, and the sets are compared.
+
+A sketch is cut into bound + t bands. Two sketches within the bound agree in at least t of them (pigeonhole), so they
+meet under a key made of t bands; more rows want a larger t, with more but much rarer keys. Records that share a key
+are compared in one task, ordered by the sizes of their sets: only sizes that differ by at most the bound (the size
+band of a record) are compared, as arrays of words. A pair counts only under the first t bands in which it agrees, so
+no pair comes twice and nothing has to be made distinct. Keys with more than `most` records are cut into finer keys
+by bands over the bits they don't hold yet, and what is still too large into blocks that are compared two by two; so
+no task ever holds more than twice `most` records of a key.
+
+Equal hashes form a class, named by its smallest ident; only classes are compared. near_classes() gives the members
+and the links between classes; near_pairs() expands them, as p5_found must list every pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb, gcd
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stratalens.functions.hashing import digest_parts
+from stratalens.operators.skew import lookup
 from stratalens.work import Workspace
 
-#: Rows of band keys that one partition of the join should hold.
-ROWS_PER_TASK = 1_500_000
+#: Records that are compared under one key; more are cut into finer keys or blocks.
+MOST = 8192
+#: Keys that one partition of the join should hold.
+KEYS_PER_TASK = 500_000
+#: Runs of at most so many records are compared together, row against the d-th next row.
+SHORT = 48
+#: Cells of one array of distances.
+CELLS = 1 << 21
 
 
 def parity_words(tokens: str, bits: int) -> Column:
@@ -26,130 +50,319 @@ def parity_words(tokens: str, bits: int) -> Column:
     return F.array(*[F.aggregate(spots, F.lit(0).cast("bigint"), flip(w)) for w in range((bits + 63) // 64)])
 
 
-def hash_words(hex_digits: Column) -> Column:
-    """The words of a hexadecimal text, the first one holding what exceeds a multiple of 16 digits."""
-    padded = F.lpad(hex_digits, F.ceil(F.length(hex_digits) / 16).cast("int") * 16, "0")
-    starts = F.sequence(F.lit(0), F.ceil(F.length(hex_digits) / 16).cast("int") - 1)
-    return F.transform(starts, lambda i: F.conv(F.substring(padded, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+# ---------------------------------------------------------------- bands and keys
+
+
+def band_plan(bits: int, bound: int, joint: int = 1) -> list[tuple[int, int, int, int, int, int]]:
+    """(bits, band, word, first bit, width, radius) of the bound + joint bands of a sketch; all are looked up exactly."""
+    bands = min(bound + joint, bits)
+    cuts = [bits * i // bands for i in range(bands + 1)]
+    return [(bits, i, cuts[i] // 64, cuts[i], cuts[i + 1] - cuts[i], 0) for i in range(bands)]
+
+
+def probes(bits: int, bound: int, joint: int = 1) -> list[tuple[int, ...]]:
+    """The bands that make up each key of a record: all combinations of `joint` bands."""
+    return list(combinations(range(min(bound + joint, bits)), joint))
+
+
+def choose_joint(bits: int, bound: int, rows: int) -> int:
+    """How many bands a key should hold for so many rows: shuffled keys against compared pairs (measured in keys)."""
+
+    def cost(joint: int) -> float:
+        bands = bound + joint
+        return comb(bands, joint) * (1 + rows / 2.0 ** min(60.0, bits * joint / bands) / 3000)
+
+    return min((j for j in (1, 2, 3) if bound + j <= bits), key=cost, default=1)
+
+
+def spots(bits: int) -> np.ndarray:
+    """Which token (bit of the hash, highest first) flips each bit of the sketch: a one-to-one hash of the positions."""
+    step = next(s for s in range(max(1, round(bits * 0.618)), 2 * bits + 2) if gcd(s, bits) == 1)
+    return (np.arange(bits) * step) % bits
+
+
+def sketch_bits(codes: list[bytes], bits: int) -> np.ndarray:
+    """One line of bits per code: the parity sketch of its set bits."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return np.unpackbits(raw, axis=1)[:, -bits:][:, spots(bits)]
+
+
+def as_words(lines: np.ndarray) -> np.ndarray:
+    """Lines of bits as 64-bit words, padded with zeros."""
+    padded = np.zeros((len(lines), -(-lines.shape[1] // 64) * 64), np.uint8)
+    padded[:, : lines.shape[1]] = lines
+    return np.packbits(padded, axis=1).view(np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def key_of(base: np.ndarray, number: int, lines: np.ndarray) -> np.ndarray:
+    """A 64-bit key of a base, the number of the combination and the bits chosen by it."""
+    key = _mix(base + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    for word in as_words(lines).T:
+        key = _mix(key ^ word)
+    return key
+
+
+def _columns(plan: list, bands: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([np.arange(plan[b][3], plan[b][3] + plan[b][4]) for b in bands])
+
+
+def finer(bits: int, bound: int, joint: int, bands: tuple[int, ...]) -> list[np.ndarray]:
+    """The bits outside the given bands, cut into bound + 1 finer bands; none if there are too few bits."""
+    rest = np.setdiff1d(np.arange(bits), _columns(band_plan(bits, bound, joint), bands))
+    return np.array_split(rest, bound + 1) if len(rest) > bound else []
 
 
-def size_of(words: str) -> Column:
-    return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+def _masks(bits: int, parts: list[np.ndarray]) -> np.ndarray:
+    lines = np.zeros((len(parts), bits), np.uint8)
+    for i, part in enumerate(parts):
+        lines[i, part] = 1
+    return as_words(lines)
 
 
-def fold(words: str) -> Column:
-    """A 64-bit parity sketch of the sketch itself: the XOR of its words."""
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(w))
+KEYS = "grp bigint, key bigint, combo int, fine int, side int, bits int, id {id}, many boolean, sketch binary"
 
 
-def band_plan(bits: int, bound: int) -> list[tuple[int, int, int, int, int]]:
-    """(bits, band, word, shift, width, radius) of every band, the flips left to probes()."""
-    words = [min(64, bits - 64 * i) for i in range((bits + 63) // 64)][::-1]  # the first word is the short one
-    need, radius = bound + 1, min(2, bound)
-    bands = max(1, -(-need // (radius + 1)))
-    share = [0] * len(words)
-    for _ in range(bands):
-        share[max(range(len(words)), key=lambda w: words[w] / (share[w] + 1))] += 1
-    spare = bands * (radius + 1) - need  # so much the radii may shrink in all
-    plan, number = [], 0
-    for w, count in enumerate(share):
-        exact = radius > 0 and count > 1 and spare >= radius  # one band of this word may be looked up exactly, so it can be narrow
-        spare -= radius * exact
-        weights = [1.0] * count
-        if exact:
-            weights[-1] = 0.8
-        at = 0
-        for i in range(count):
-            width = round(words[w] * sum(weights[: i + 1]) / sum(weights)) - at
-            plan.append((bits, number, w, at, width, 0 if exact and i == count - 1 else radius))
-            at, number = at + width, number + 1
-    return plan
+def _keyed(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """(grp, bits, id, many, code) to one row per key."""
+    for batch in batches:
+        for bits, rows in batch.groupby("bits", sort=False):
+            bits = int(bits)
+            if not bounds.get(bits):
+                continue
+            lines = sketch_bits(list(rows.code), bits)
+            packed = as_words(lines)
+            sketch = [w.tobytes() for w in packed]
+            base = rows.grp.to_numpy(np.int64).view(np.uint64)
+            plan = band_plan(bits, bounds[bits], joints[bits])
+            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
+                key = key_of(base, number, lines[:, _columns(plan, bands)]).view(np.int64)
+                yield pd.DataFrame({"grp": rows.grp, "key": key, "combo": number, "fine": -1, "side": 0, "bits": bits, "id": rows.id, "many": rows.many, "sketch": sketch})
 
 
-def probes(bits: int, bound: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(bits, band, word, shift, mask, flip): all keys that one record of this width looks up."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [
-        (bits, band, word, shift, signed((1 << width) - 1), signed(flip))
-        for bits, band, word, shift, width, radius in band_plan(bits, bound)
-        for flip in [0, *[1 << i for i in range(width if radius else 0)]]
-    ]
+def _refined(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows of keys that are too large, under finer keys."""
+    for batch in batches:
+        for (bits, number), rows in batch.groupby(["bits", "combo"], sort=False):
+            bits, number = int(bits), int(number)
+            bands = probes(bits, bounds[bits], joints[bits])[number]
+            parts = finer(bits, bounds[bits], joints[bits], bands)
+            if not parts:
+                yield rows
+                continue
+            packed = np.frombuffer(b"".join(rows.sketch), np.uint8).reshape(len(rows), -1)
+            lines = np.unpackbits(packed, axis=1)[:, :bits]
+            base = rows.key.to_numpy(np.int64).view(np.uint64)
+            for fine, columns in enumerate(parts):
+                yield rows.assign(key=key_of(base, fine, lines[:, columns]).view(np.int64), fine=fine)
 
 
-def with_sketch(df: DataFrame, permille: int) -> DataFrame:
-    """df (space, bits, words) with an id, the set's size, the folded sketch and the largest distance allowed."""
-    bound = F.floor(F.col("bits") * permille / 1000).cast("int")
-    return df.select(F.monotonically_increasing_id().alias("id"), "space", "bits", "words", size_of("words").alias("size"), fold("words").alias("fold"), bound.alias("bound"))
+# ---------------------------------------------------------------- comparison within keys
 
 
-def close_sketches(spark: SparkSession, ws: Workspace, sketches: DataFrame, permille: int) -> DataFrame:
-    """(a, b, distance), a < b: different sketches of one space and width that differ in at most permille/1000 of the bits.
+def _short_runs(words: np.ndarray, size: np.ndarray, ends: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs (i, j) of rows in one run; ends[i] is where the run of row i ends, i itself for rows to skip."""
+    first, step = np.arange(len(words)), 1
+    while len(first := first[first + step < ends[first]]):
+        near = first[size[first + step] - size[first] <= bound]
+        apart = np.bitwise_count(words[near] ^ words[near + step]).sum(1, dtype=np.int64)
+        yield near[apart <= bound], near[apart <= bound] + step
+        step += 1
 
-    sketches: a stored table as with_sketch() makes it, without repeated (space, bits, words).
+
+def _long_run(words: np.ndarray, size: np.ndarray, start: int, end: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs (i, j) of the rows start .. end - 1, in order of size: block by block within the size band."""
+    at = start
+    while at < end:
+        block = max(1, min(end - at, CELLS // (end - at)))
+        stop = start + int(np.searchsorted(size[start:end], size[at + block - 1] + bound, "right"))
+        apart = np.zeros((block, stop - at), np.uint16)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count(words[at : at + block, w, None] ^ words[None, at:stop, w])
+        i, j = np.nonzero(apart <= bound)
+        yield at + i[i < j], at + j[i < j]
+        at += block
+
+
+def _agreeing(words: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray, wanted: np.ndarray, joint: int) -> np.ndarray:
+    """Whether the first `joint` bands in which each pair agrees are the wanted ones."""
+    same = ~((words[i] ^ words[j])[:, None, :] & masks[None]).any(2)
+    first = same & (np.cumsum(same, axis=1) <= joint)
+    return (first == wanted).all(1)
+
+
+def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+    for bits, part in rows.groupby("bits", sort=False):
+        bits = int(bits)
+        bound, joint = bounds[bits], joints[bits]
+        words = np.frombuffer(b"".join(part.sketch), np.uint64).reshape(len(part), -1)
+        size = np.bitwise_count(words).sum(1, dtype=np.int64)
+        grp, key = part.grp.to_numpy(), part.key.to_numpy()
+        order = np.lexsort((size, key, grp))
+        part, words, size, grp, key = part.iloc[order], words[order], size[order], grp[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (key[1:] != key[:-1])]))
+        counts = np.diff(np.concatenate([starts, [len(part)]]))
+        ends = np.repeat(np.where(counts <= SHORT, starts + counts, 0), counts)
+        found = list(_short_runs(words, size, ends, bound))
+        for s, n in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist(), strict=True):
+            found += _long_run(words, size, s, s + n, bound)
+        if not found:
+            continue
+        i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+        side, combo, fine = part.side.to_numpy(), part.combo.to_numpy(), part.fine.to_numpy()
+        keep = (side[i] == 0) | (side[i] != side[j])
+        i, j = i[keep], j[keep]
+        plan = band_plan(bits, bound, joint)
+        masks = _masks(bits, [_columns(plan, (b,)) for b in range(len(plan))])
+        chosen = probes(bits, bound, joint)
+        keep = np.zeros(len(i), bool)
+        for number in np.unique(combo[i]):
+            of = np.flatnonzero(combo[i] == number)
+            wanted = np.isin(np.arange(len(plan)), chosen[number])
+            ok = _agreeing(words, i[of], j[of], masks, wanted, joint)
+            if (cut := fine[i[of]] >= 0).any():
+                parts = finer(bits, bound, joint, chosen[number])
+                wanted = fine[i[of[cut]], None] == np.arange(len(parts))
+                ok[cut] &= _agreeing(words, i[of[cut]], j[of[cut]], _masks(bits, parts), wanted, 1)
+            keep[of] = ok
+        i, j = i[keep], j[keep]
+        ids, many = part.id.to_numpy(), part.many.to_numpy()
+        yield pd.DataFrame({"a": ids[i], "b": ids[j], "distance": np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32), "many": many[i] | many[j]})
+
+
+def _compared(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (grp, key) to close pairs; a key that runs over the end of a batch waits for the next one."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = rows.iloc[-1] if len(rows) else None
+        if last is None:
+            continue
+        open_ = (rows.grp == last.grp) & (rows.key == last.key)
+        held = rows[open_]
+        yield from _found(rows[~open_], joints, bounds)
+    if held is not None:
+        yield from _found(held, joints, bounds)
+
+
+def close_sketches(ws: Workspace, sketches: DataFrame, permille: int, joint: int | None = None, most: int = MOST) -> DataFrame:
+    """(a, b, distance, many), a < b: different sketches of one space and width that differ in at most permille/1000 of the bits.
+
+    sketches: a stored table (id, many, space, bits, code) without repeated (space, bits, code); many is handed through
+    for either of the two. joint overrides the choice of the bands per key.
     """
-    widths = [r.bits for r in sketches.select("bits").distinct().collect()]  # distinct integers, not data
-    table = [row for bits in widths if (bound := bits * permille // 1000) for row in probes(bits, bound)]
-    if not table:
-        return spark.createDataFrame([], "a bigint, b bigint, distance int")
-    plan = spark.createDataFrame(table, "bits int, band int, word int, shift int, mask bigint, flip bigint")
-    if len(table) <= 200_000:  # some hundred rows per width of the hashes
-        plan = F.broadcast(plan)
-    n = sketches.count()
-    partitions = max(8, n * max(sum(r[0] == bits for r in table) for bits in widths) // ROWS_PER_TASK)
-    step = (F.col("bound") + 1) * 4
-    # a set within the bound of the next size band visits it as a guest, so that pairs over the border meet there
-    near = F.floor((F.col("size") + F.col("bound")) / step) > F.floor(F.col("size") / step)
-    stays = F.struct(F.floor(F.col("size") / step).alias("zone"), F.lit(0).alias("guest"))
-    visits = F.struct((F.floor(F.col("size") / step) + 1).alias("zone"), F.lit(1).alias("guest"))
-    base = sketches.withColumn("at", F.explode(F.when(near, F.array(stays, visits)).otherwise(F.array(stays))))
-    value = F.call_function("shiftrightunsigned", F.get("words", F.col("word")), F.col("shift")).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
-    tag = F.col("bound") * 2 + F.col("at.guest")
-    keys = base.join(plan, "bits").select(F.xxhash64("space", "bits", "at.zone", "band", value).alias("key"), "id", "fold", tag.alias("tag"))
-    keys = keys.repartition(partitions, "key")
-    other = keys.select("key", F.col("id").alias("id2"), F.col("fold").alias("fold2"), F.col("tag").alias("tag2"))
-    # the same columns on both sides, so that the second exchange is the first one again
-    bound = F.shiftright(F.least("tag", "tag2"), 1)
-    met = keys.hint("merge").join(other, "key").where(
-        (F.col("id") < F.col("id2")) & (F.col("tag").bitwiseAND(F.col("tag2")).bitwiseAND(1) == 0) & (F.bit_count(F.col("fold").bitwiseXOR(F.col("fold2"))) <= bound)
-    )
-    candidates = met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    left = sketches.select(F.col("id").alias("a"), "space", "bits", "words", "bound")
-    right = sketches.select(F.col("id").alias("b"), F.col("space").alias("space2"), F.col("bits").alias("bits2"), F.col("words").alias("words2"))
-    both = candidates.join(left, "a").join(right, "b").where((F.col("space") == F.col("space2")) & (F.col("bits") == F.col("bits2")))
-    distance = F.aggregate(F.zip_with("words", "words2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, d: acc + d)
-    return both.select("a", "b", distance.alias("distance"), "bound").where("distance <= bound").drop("bound")
+    sizes = sketches.groupBy("space", "bits").agg(F.count("*").alias("n")).groupBy("bits").agg(F.max("n").alias("n"), F.sum("n").alias("total")).collect()  # one row per width
+    bounds = {r.bits: r.bits * permille // 1000 for r in sizes}
+    joints = {r.bits: min(joint or choose_joint(r.bits, bounds[r.bits], r.n), max(1, r.bits - bounds[r.bits])) for r in sizes}
+    total = sum(r.total * len(probes(r.bits, bounds[r.bits], joints[r.bits])) for r in sizes if bounds[r.bits])
+    kind = sketches.schema["id"].dataType
+    schema = KEYS.format(id=kind.simpleString())
+    rows = sketches.select(F.xxhash64("space", "bits").alias("grp"), "bits", "id", "many", "code")
+    keys = rows.mapInPandas(lambda batches: _keyed(batches, joints, bounds), schema)
+
+    def large(keyed: DataFrame, name: str) -> DataFrame | None:
+        """The keys with more than `most` rows, by a count that combines before its shuffle."""
+        counted = ws.save(keyed.groupBy("grp", "key").agg(F.count("*").alias("n")).where(F.col("n") > most), name)
+        return counted if counted.take(1) else None
+
+    if (hot := large(keys.select("grp", "key"), "large")) is not None:
+        parts = [keys.join(hot, ["grp", "key"], "left_anti")]
+        columns = keys.columns
+        fine = ws.save(keys.join(hot.drop("n"), ["grp", "key"], "left_semi").select(*columns).mapInPandas(lambda batches: _refined(batches, joints, bounds), schema), "fine")
+        if (hotter := large(fine, "larger")) is not None:
+            parts.append(fine.join(hotter, ["grp", "key"], "left_anti"))
+            blocks = fine.join(hotter, ["grp", "key"]).withColumn("of", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+            blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+            side = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2)
+            parts.append(blocks.withColumn("side", side).withColumn("key", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).select(*columns))
+        else:
+            parts.append(fine)
+        keys = parts[0].select(*columns)
+        for part in parts[1:]:
+            keys = keys.unionByName(part.select(*columns))
+    # no key has more than twice `most` rows now, so plain hash partitions are even
+    partitions = max(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // KEYS_PER_TASK)
+    met = keys.repartition(partitions, "grp", "key").sortWithinPartitions("grp", "key")
+    close = met.mapInPandas(lambda batches: _compared(batches, joints, bounds), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.IntegerType()), T.StructField("many", T.BooleanType())]))
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "many")
+
+
+# ---------------------------------------------------------------- hashes
 
 
 def parse_hashes(files: DataFrame, ident: str, text: str, space: str) -> DataFrame:
-    """(ident, space, bits, words) of the rows with a valid hash, each once.
+    """(ident, space, bits, code) of the rows with a valid hash, each once; code holds the bits as bytes.
 
     Valid are hexadecimal digits in any case, bare, after 0x, or as algorithm:side:hex with side squared bits; white
     space around doesn't count. Null, empty and malformed hashes and rows with a null id or space are left out.
     """
-    trimmed = F.lower(F.regexp_replace(F.col(text), r"(?U)\A\s+|\s+\z", ""))
-    rows = files.select(F.col(ident).alias("ident"), F.col(space).cast("string").alias("space"), trimmed.alias("t"))
-    full = r"\A[^:]*:0*(\d{1,5}):([0-9a-f]+)\z"
-    hexed = F.when(F.col("t").rlike(r"\A(?:0x)?[0-9a-f]+\z"), F.regexp_replace("t", r"\A0x", "")).when(F.col("t").rlike(full), F.regexp_extract("t", full, 2))
-    side = F.regexp_extract("t", full, 1).try_cast("bigint")
-    rows = rows.select("ident", "space", hexed.alias("hex"), side.alias("side")).where(F.col("hex").isNotNull() & F.col("ident").isNotNull() & F.col("space").isNotNull())
-    rows = rows.where(F.col("side").isNull() | (F.col("side") * F.col("side") == F.length("hex") * 4))
-    return rows.select("ident", "space", (F.length("hex") * 4).alias("bits"), hash_words(F.col("hex")).alias("words")).distinct()
+    # exploding a one-element array keeps Spark from parsing again wherever a part is used
+    rows = files.select(F.col(ident).alias("ident"), F.col(space).cast("string").alias("space"), F.explode(F.array(digest_parts(F.col(text), known=False))).alias("d"))
+    rows = rows.where(F.col("d.error").isNull() & F.col("ident").isNotNull() & F.col("space").isNotNull())
+    return rows.select("ident", "space", F.col("d.bits").alias("bits"), F.unhex("d.hex").alias("code")).distinct()
 
 
-def near_pairs(files: DataFrame, ident: str, text: str, space: str, permille: int = 100) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of different idents of one space whose hashes are of one width and close enough.
+def near_classes(files: DataFrame, ident: str, text: str, space: str, permille: int = 100, joint: int | None = None, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, members, links): what is near what, without expanding copies.
 
-    Equal hashes are collapsed before the join and expanded after it, so a much repeated hash is compared once.
+    sketches (id, n, many, space, bits, code) are the distinct hashes, named by their smallest ident; members
+    (id, ident) lists the idents of the hashes that several idents have; links (a, b, distance, many), a < b, are the
+    pairs of different hashes within the bound, many telling whether one of them has several idents.
     """
-    spark = files.sparkSession
-    ws = Workspace(spark, "sketches")
+    ws = Workspace(files.sparkSession, "sketches")
     rows = ws.save(parse_hashes(files, ident, text, space), "rows")
-    sketches = ws.save(with_sketch(rows.select("space", "bits", "words").distinct(), permille), "sketches")
-    members = ws.save(rows.join(sketches.select("id", "space", "bits", "words"), ["space", "bits", "words"]).select("id", "ident"), "members")
-    close = close_sketches(spark, ws, sketches, permille)
-    first = members.select(F.col("id").alias("a"), F.col("ident").alias("x"))
-    second = members.select(F.col("id").alias("b"), F.col("ident").alias("y"))
-    across = close.join(first, "a").join(second, "b").where("x <> y")
-    equal = first.join(second.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", F.lit(0).alias("distance"))
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    return pairs.unionByName(equal.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance"))
+    counted = rows.groupBy("space", "bits", "code").agg(F.min("ident").alias("id"), F.count("*").alias("n"))
+    sketches = ws.save(counted.select("id", "n", (F.col("n") > 1).alias("many"), "space", "bits", "code"), "sketches")
+    # a much repeated hash is a hot key of rows, so it is looked up apart
+    repeated = sketches.where("many").select("id", "space", "bits", "code")
+    members = ws.save(lookup(rows, repeated, ["space", "bits", "code"], rows.count()).select("id", "ident"), "members")
+    return sketches, members, ws.save(close_sketches(ws, sketches, permille, joint, most), "links")
+
+
+def near_pairs(files: DataFrame, ident: str, text: str, space: str, permille: int = 100, joint: int | None = None, most: int = MOST) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of different idents of one space whose hashes are of one width and close enough.
+
+    Expands near_classes(): links of hashes that one ident has are pairs already; the output grows with the square of
+    the idents of one hash, as it lists them all.
+    """
+    _, members, links = near_classes(files, ident, text, space, permille, joint, most)
+    plain = links.where("NOT many").select("a", "b", "distance")
+    left = members.select(F.col("id").alias("a"), F.col("ident").alias("x"))
+    right = members.select(F.col("id").alias("b"), F.col("ident").alias("y"))
+    wide = links.where("many").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "distance")
+    equal = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", F.lit(0).alias("distance"))
+    both = wide.where("x <> y").unionByName(equal)
+    return plain.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance"))
+
+
+# ---------------------------------------------------------------- sets of tokens
+
+
+def near_sets(records: DataFrame, ident: str, tokens: str, permille: int = 100, bits: int = 256, joint: int | None = None, most: int = MOST) -> DataFrame:
+    """(a, b, differing), a < b: pairs of different, non-empty sets that differ in at most permille/1000 of `bits` tokens.
+
+    tokens is an array of strings; repeated and null tokens and their order don't count. Equal sets are represented by
+    their smallest ident. The parity sketch finds the candidates, the sets themselves decide. Null idents are left out.
+    """
+    ws = Workspace(records.sparkSession, "sets")
+    rows = records.select(F.col(ident).alias("ident"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("tokens")).where("ident IS NOT NULL AND size(tokens) > 0")
+    # different sets with one sketch are candidates of each other, and share the sketch's other candidates
+    sets = ws.save(rows.groupBy("tokens").agg(F.min("ident").alias("id")), "sets")
+    words = parity_words("tokens", bits)
+    code = F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
+    sketched = ws.save(sets.select("id", code.alias("code")), "sketched")
+    counted = sketched.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    sketches = ws.save(counted.select("id", (F.col("n") > 1).alias("many"), F.lit("").alias("space"), F.lit(bits).alias("bits"), "code"), "sketches")
+    close = close_sketches(ws, sketches, permille, joint, most).select("a", "b")
+    owners = sketched.join(sketches.select(F.col("id").alias("s"), "code"), "code").select("s", "id")
+    left, right = owners.select(F.col("s").alias("a"), F.col("id").alias("x")), owners.select(F.col("s").alias("b"), F.col("id").alias("y"))
+    pairs = close.join(left, "a").join(right, "b").select("x", "y").unionByName(left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y"))
+    full = lambda side: sets.select(F.col("id").alias(side), F.col("tokens").alias(f"t{side}"))
+    differing = F.size("tx") + F.size("ty") - 2 * F.size(F.array_intersect("tx", "ty"))
+    both = pairs.join(full("x"), "x").join(full("y"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), differing.alias("differing"))
+    return both.where(F.col("differing") <= bits * permille // 1000)

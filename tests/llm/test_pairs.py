@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
 from stratalens.llm.queries import p1_found
-from stratalens.llm.sketch_join import band_plan, near_pairs, parity_words, probes
+from stratalens.llm.sketch_join import band_plan, near_classes, near_pairs, near_sets, parity_words, probes
 from stratalens.llm.survivors import best_records, merged_records
 from tests.brute_time import instant
 
@@ -93,6 +93,50 @@ def test_bands_obey_the_pigeonhole(bits):
     assert len(probes(bits, bound)) == sum(width + 1 if r else 1 for *_, width, r in plan)
 
 
+@pytest.mark.parametrize(("joint", "most"), [(1, 8192), (2, 8192), (3, 64), (1, 6), (2, 3)])
+def test_hot_keys_and_joint_bands(spark, joint, most):
+    """Hashes that share most of their bits lie under few keys: finer keys, then blocks, must lose nothing."""
+    rnd, rows = random.Random(11), []
+    for bits, prefix in ((64, 40), (128, 100), (20, 12)):
+        for i in range(90):
+            low = rnd.getrandbits(bits - prefix) if i % 3 else rnd.getrandbits(6)
+            rows.append((len(rows), f"{low:0{bits // 4}x}", "image"))
+    files = spark.createDataFrame(rows, "ord long, h string, media string")
+    want = {}
+    for i, (o, h, _) in enumerate(rows):
+        for p, g, _ in rows[:i]:
+            if len(h) == len(g) and (d := (int(h, 16) ^ int(g, 16)).bit_count()) <= len(h) * 4 // 10:
+                want[p, o] = d
+    got = near_pairs(files, "ord", "h", "media", joint=joint, most=most).collect()
+    assert {(r.a, r.b): r.distance for r in got} == want and len(got) == len(want)
+
+
+def test_classes_of_equal_hashes(spark):
+    rows = [(i, "00000000000000ff", "image") for i in range(5)] + [(7, "00000000000000fe", "image"), (8, "f0f0f0f0f0f0f0f0", "image"), (9, "00000000000000fe", "video")]
+    sketches, members, links = near_classes(spark.createDataFrame(rows, "ord long, h string, media string"), "ord", "h", "media")
+    assert {(r.id, r.n) for r in sketches.collect()} == {(0, 5), (7, 1), (8, 1), (9, 1)}
+    assert {(r.id, r.ident) for r in members.collect()} == {(0, i) for i in range(5)}
+    assert [(r.a, r.b, r.distance, r.many) for r in links.collect()] == [(0, 7, 1, True)]
+
+
+def test_near_sets(spark):
+    rnd, rows = random.Random(5), []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+        for edits in (0, 1, 4, 12, 20):
+            rows.append((len(rows), [w if i >= edits else f"v{rnd.randrange(900)}" for i, w in enumerate(base)], "x"))
+    rows += [(900, None, "x"), (901, [], "x"), (902, [None, "a", "a"], "x"), (903, ["a"], "x"), (904, ["b"], "x"), (None, ["b"], "x")]
+    least = {}
+    for o, t, _ in rows:
+        if o is not None and (s := frozenset(w for w in t or [] if w is not None)):
+            least[s] = min(o, least.get(s, o))
+    want = {tuple(sorted((least[x], least[y]))): len(x ^ y) for x in least for y in least if x != y and len(x ^ y) <= 25}
+    df = spark.createDataFrame(rows, "ord long, t array<string>, tokens string")
+    got = near_sets(df, "ord", "t").collect()
+    assert {(r.a, r.b): r.differing for r in got} == want and len(got) == len(want)
+    assert near_sets(df.limit(0), "ord", "t").count() == 0
+
+
 def test_parity_sketch_bounds_the_symmetric_difference(spark):
     rnd = random.Random(5)
     rows = [([f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(40))],) for _ in range(12)] + [([],)]
