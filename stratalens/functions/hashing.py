@@ -23,16 +23,20 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def digest_parts(text: Column, known: bool = True) -> Column:
-    """struct(algorithm, hex, bits, error) of a bare (optionally 0x) or algorithm:side:hex digest; leading zeros count.
+def digest_fields(text: Column, known: bool = True) -> Column:
+    """array(side, digits, algorithm) of a digest's text, null if it has neither spelling.
 
-    known asks for one of the engine's algorithms and allows white space around the side; without it any name will do,
-    and white space may only stand around the whole text.
+    known allows white space around the side; without it white space may only stand around the whole text. Give it a
+    column of its own (exploded from an array of one) before digest_of(), so that the text is matched only once.
     """
     pattern = _DIGEST if known else _TIGHT
-    parts = F.split(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$2|$3$4|$1")), r"\|", 3)
-    algorithm, digits = F.nullif(F.get(parts, F.lit(2)), F.lit("")), F.get(parts, F.lit(1))
-    side = F.get(parts, F.lit(0)).try_cast("bigint")
+    return F.split(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$2|$3$4|$1")), r"\|", 3)
+
+
+def digest_of(fields: Column, text: Column, known: bool = True) -> Column:
+    """struct(algorithm, hex, bits, error) of the fields of a text; leading zeros count. known asks for one of the engine's algorithms."""
+    algorithm, digits = F.nullif(F.get(fields, F.lit(2)), F.lit("")), F.get(fields, F.lit(1))
+    side = F.get(fields, F.lit(0)).try_cast("bigint")
     error = (
         F.when(digits.isNull(), F.when(text.isNull() | (F.trim(text) == ""), "empty digest").when(text.contains(":"), "malformed serialized digest").otherwise("not hexadecimal"))
         .when(F.lit(known) & side.isNotNull() & ~F.coalesce(algorithm.isin(*PERCEPTUAL), F.lit(False)), "unknown algorithm")
@@ -44,6 +48,11 @@ def digest_parts(text: Column, known: bool = True) -> Column:
     )
 
 
+def digest_parts(text: Column) -> Column:
+    """struct(algorithm, hex, bits, error) of a bare (optionally 0x) or algorithm:side:hex digest of a known algorithm."""
+    return digest_of(digest_fields(text), text)
+
+
 def words_of(hexed: Column) -> Column:
     """64-bit words (two's complement) of a hexadecimal text, the short one first; conv is only fed checked digits."""
     count = F.ceil(F.length(hexed) / 16).cast("int")

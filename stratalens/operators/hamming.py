@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.errors import DuplicateError
-from stratalens.functions.hashing import digest_parts, hamming, similarity, words_of
+from stratalens.functions.hashing import digest_fields, digest_of, hamming, similarity, words_of
 from stratalens.functions.text import path_key
+from stratalens.operators.stars import star_labels
 from stratalens.work import Workspace
 
 DEFAULT_THRESHOLD = 10
@@ -26,8 +27,9 @@ def check_threshold(threshold: int) -> None:
 
 def parsed(files: DataFrame, path: str, text: str, space: str, order: str, strict: bool = True) -> DataFrame:
     """(ord, path, space, bits, words); strict raises on repeated paths and bad hashes, else bad hashes are left out."""
-    # exploding a one-element array keeps Spark from parsing again wherever a part is used
-    rows = files.select(F.col(order).alias("ord"), F.col(path).alias("path"), F.col(space).alias("space"), F.explode(F.array(digest_parts(F.col(text)))).alias("d"))
+    # exploding one-element arrays keeps Spark from parsing again wherever a part is used
+    rows = files.select(F.col(order).alias("ord"), F.col(path).alias("path"), F.col(space).alias("space"), F.col(text).alias("text"), F.explode(F.array(digest_fields(F.col(text)))).alias("f"))
+    rows = rows.select("ord", "path", "space", F.explode(F.array(digest_of(F.col("f"), F.col("text")))).alias("d"))
     if strict:
         if twice := rows.groupBy("path").count().where("count > 1").first():
             raise DuplicateError("a path occurs twice in the input", file_path=twice["path"])
@@ -93,21 +95,9 @@ def edges(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
 
 
 def spread_labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(v, label) with the smallest vertex linked to v, directly or not; vertices without links keep their own.
-
-    Large-star and small-star steps over stored tables until nothing changes (Kiveris et al., 2014).
-    """
-    ws = Workspace(vertices.sparkSession, "labels")
-    state, seen = ws.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"), None
-    while (now := state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != seen:
-        seen = now
-        both = state.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        state = ws.save(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-    return vertices.join(state.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+    """(v, label) with the smallest vertex linked to v, directly or not; vertices without links keep their own."""
+    labels = star_labels(Workspace(vertices.sparkSession, "labels"), links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return vertices.join(labels.select(F.col("x").alias("v"), F.col("root").alias("label")), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
 def duplicate_groups(files: DataFrame, path: str, text: str, space: str, order: str, threshold: int = DEFAULT_THRESHOLD, strict: bool = True) -> DataFrame:

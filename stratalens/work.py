@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -29,14 +29,29 @@ class Workspace:
         self.spark = spark
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df as a table and read it back: a stable copy without lineage."""
+    def save(self, df: DataFrame, name: str = "t", split: str | None = None) -> DataFrame:
+        """Write df as a table and read it back: a stable copy without lineage. split names a column of few values by
+        which the files are parted, so that a filter on it reads only its own."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        (df.write.partitionBy(split) if split else df.write).parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(stored)] = stored, path
+        return stored
+
+    def save_observed(self, df: DataFrame, name: str, *metrics: Column, split: str | None = None) -> tuple[DataFrame, dict]:
+        """save(), with aggregates of df that are computed while it is written."""
+        seen = Observation()
+        return self.save(df.observe(seen, *metrics), name, split), dict(seen.get)
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete tables that save() returned and no later one needs; others are left alone."""
+        for table in tables:
+            if known := self._paths.pop(id(table), None):
+                self.drop(known[1])
 
     def drop(self, path: str | None = None) -> None:
         """Delete the folder; called at the end of the process, when results have been read."""
