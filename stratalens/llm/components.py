@@ -1,103 +1,96 @@
-"""Connected components of pairwise matches by reduction: pendant paths are stripped, chains compressed, the core solved.
+"""Connected components of pairwise matches by reduction: leaves are stripped, chains compressed, the core solved.
 
-One round finds the degree of every vertex, ranks the chains of degree-two vertices by pointer jumping along darts
-(so a chain of length L takes log2 L joins), and removes all chains and leaves: a pendant chain goes to its fixed end,
-an inner one becomes an edge between its ends. What has only vertices of degree three and more is solved by
-large-star and small-star steps, and so are rings; then the removed vertices get their labels back, last round first.
+One round marks every edge with the degrees of its ends. The vertices of degree two form chains, whose darts (a vertex
+with the neighbour it is entered from) are ranked by pointer jumping: a dart learns, in steps of doubling length, the
+end to which its chain leads. The ends are leaves (degree one) or hubs (three and more). Then all leaves and chains
+go: what hangs on one hub is anchored there, a chain between two hubs becomes an edge between them and is anchored at
+one of them, and a path between two leaves is a component of its own. Rounds repeat until no vertex of degree one or
+two is left; rings, whose darts never find an end, are put aside as they appear. What remains, with the rings, is
+solved by star contraction; then the removed vertices get their labels from their anchors, last round first.
 
 Vertices are 64-bit hashes of the names, checked to be free of collisions (another seed is taken otherwise); the label
-of a component is the smallest name in it. All tables of the rounds lie in the shared work folder.
+of a component is the smallest name in it. All tables of the rounds lie in the shared work folder, each until the next
+round no longer needs it; darts that have found their end are written once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators.skew import lookup
+from stratalens.operators.stars import both_ways, star_labels
 from stratalens.work import Workspace
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _rank_chains(ws: Workspace, inner: DataFrame) -> DataFrame:
-    """For each vertex x of degree two (x, a, b, a_in, b_in): its chain's two ends (x, e1, e2); rings have none and are left out.
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _darts(marked: DataFrame) -> DataFrame:
+    """Both darts (src, at) of every vertex `at` of degree two; they lead to nat, the other neighbour.
 
-    a_in and b_in tell whether the neighbours are of degree two as well. A dart comes from one neighbour to x and
-    looks on to the other; jumping doubles how far it looks.
+    nsrc -> nat is the next dart while the dart is open (nat is of degree two). src_deg and nat_deg are degrees: 1, 2
+    and, for hubs, 3.
     """
     ways = F.array(
-        F.struct(F.col("a").alias("src"), F.col("x").alias("at"), F.col("b").alias("to"), F.col("b_in").alias("open")),
-        F.struct(F.col("b").alias("src"), F.col("x").alias("at"), F.col("a").alias("to"), F.col("a_in").alias("open")),
+        F.struct(F.col("u").alias("at"), F.col("v").alias("other"), F.col("du").alias("d"), F.col("dv").alias("deg")),
+        F.struct(F.col("v").alias("at"), F.col("u").alias("other"), F.col("dv").alias("d"), F.col("du").alias("deg")),
     )
-    # next dart: (nsrc -> nat); once closed, nat is the end
-    darts = inner.select(F.explode(ways).alias("d")).select("d.src", "d.at", F.col("d.at").alias("nsrc"), F.col("d.to").alias("nat"), "d.open")
-    darts = ws.save(darts, "darts")
-    left, before = darts.where("open").count(), -1
+    ends = marked.select(F.explode(ways).alias("w")).where("w.d = 2").select("w.at", F.struct("w.other", "w.deg").alias("o"))
+    inner = ends.groupBy("at").agg(F.min("o").alias("a"), F.max("o").alias("b"))
+    dart = lambda a, b: F.struct(F.col(f"{a}.other").alias("src"), "at", F.col("at").alias("nsrc"), F.col(f"{b}.other").alias("nat"), F.col(f"{a}.deg").alias("src_deg"), F.col(f"{b}.deg").alias("nat_deg"), (F.col(f"{b}.deg") == 2).alias("open"))
+    return inner.select(F.explode(F.array(dart("a", "b"), dart("b", "a"))).alias("d")).select("d.*")
+
+
+def _ranked(ws: Workspace, marked: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """(tables of closed darts, whose nat is the end of their chain; the open darts, which lie on rings; the stored tables)."""
+    darts, seen = ws.save_observed(_darts(marked), "darts", F.count_if("open").alias("open"), split="open")
+    stored = [darts]
+    closed, open_, left, before = [darts.where("NOT open")], darts.where("open"), seen["open"], -1
     while left and left != before:
-        nxt = darts.select(F.col("src").alias("nsrc"), F.col("at").alias("nat"), F.col("nsrc").alias("s2"), F.col("nat").alias("t2"), F.col("open").alias("open2"))
-        jumped = darts.where("open").join(nxt, ["nsrc", "nat"]).select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), F.col("open2").alias("open"))
-        # closed darts stay, as longer ones still point to them; one table, so that its files don't multiply
-        darts = ws.save(darts.where(~F.col("open")).unionByName(jumped), "darts")
-        left, before = darts.where("open").count(), left
-    # a chain closes a dart in every step, so what is open now lies on rings
-    return darts.where(~F.col("open")).groupBy(F.col("at").alias("x")).agg(F.min("nat").alias("e1"), F.max("nat").alias("e2"))
-
-
-def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-    """(remaining edges, removed vertices (x, anchor), how many vertices were removed)."""
-    degrees = ws.save(_both(edges).groupBy("u").agg(F.count("*").alias("deg"), F.min("v").alias("a"), F.max("v").alias("b")), "degrees")
-    low = degrees.where("deg <= 2")
-    if not low.take(1):
-        return edges, None, 0
-    two = degrees.where("deg = 2").select(F.col("u").alias("x"), "a", "b")
-    mark = degrees.where("deg = 2").select(F.col("u").alias("n"), F.lit(True).alias("in"))
-    inner = two.join(mark.select(F.col("n").alias("a"), F.col("in").alias("a_in")), "a", "left").join(mark.select(F.col("n").alias("b"), F.col("in").alias("b_in")), "b", "left")
-    inner = inner.select("x", "a", "b", F.coalesce("a_in", F.lit(False)).alias("a_in"), F.coalesce("b_in", F.lit(False)).alias("b_in"))
-    chains = ws.save(_rank_chains(ws, inner), "chains")
-    leaf = degrees.where("deg = 1").select(F.col("u").alias("leaf"), F.col("a").alias("next"))
-    # the shortcut edges: one for each chain (all its vertices give the same), or the plain edge of a leaf
-    shortcuts = chains.select(F.col("e1").alias("u"), F.col("e2").alias("v")).distinct()
-    out = leaf.select(F.col("leaf").alias("x")).unionByName(chains.select("x"))
-    fixed = edges.join(out.select(F.col("x").alias("u")), "u", "left_anti").join(out.select(F.col("x").alias("v")), "v", "left_anti").select("u", "v")
-    direct = leaf.join(two.select(F.col("x").alias("next")), "next", "left_anti").select(*_ordered("leaf", "next")).distinct()
-    reduced = ws.save(fixed.unionByName(shortcuts.where("u <> v")).unionByName(direct).distinct(), "reduced")
-    ones = leaf.select(F.col("leaf").alias("n"), F.lit(True).alias("is_leaf"))
-    pendant = reduced.join(ones.select(F.col("n").alias("u"), F.col("is_leaf").alias("ul")), "u", "left").join(ones.select(F.col("n").alias("v"), F.col("is_leaf").alias("vl")), "v", "left")
-    pendant = ws.save(pendant.select("u", "v", F.coalesce("ul", F.lit(False)).alias("ul"), F.coalesce("vl", F.lit(False)).alias("vl")), "pendant")
-    # a leaf goes to the other end; of two leaves the smaller stays as the root of a finished component
-    gone = pendant.where("ul or vl").select(F.when(F.col("vl"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("vl"), F.col("u")).otherwise(F.col("v")).alias("anchor"))
-    roots = pendant.where("ul and vl").select(F.col("u").alias("x"), F.col("u").alias("anchor"))
-    lines = chains.join(ones.select(F.col("n").alias("e1"), F.col("is_leaf").alias("l1")), "e1", "left").join(ones.select(F.col("n").alias("e2"), F.col("is_leaf").alias("l2")), "e2", "left")
-    lines = lines.select("x", F.when(F.col("l1") & F.col("l2").isNull(), F.col("e2")).otherwise(F.col("e1")).alias("anchor"))
-    rest = ws.save(pendant.where("not ul and not vl").select("u", "v"), "edges")
-    alone = degrees.where("deg > 2").select(F.col("u").alias("x")).join(rest.select(F.explode(F.array("u", "v")).alias("x")), "x", "left_anti").select("x", F.col("x").alias("anchor"))
-    removed = ws.save(gone.unionByName(roots).unionByName(lines).unionByName(alone), "removed")
-    return rest, removed, removed.count()
-
-
-def _stars(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(x, root) of the core by large-star and small-star steps."""
-    state, seen = edges, None
-    while True:
-        both = _both(state)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # u > v in every row now
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        state = ws.save(small.where("u <> v").distinct(), "stars")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return state.select(F.col("u").alias("x"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("x"), F.col("v").alias("root")).distinct())
+        # only darts that are entered from a vertex of degree two can be the next one of another
+        targets = _union([*(c.where("src_deg = 2") for c in closed), open_])
+        targets = targets.select(F.col("src").alias("nsrc"), F.col("at").alias("nat"), F.col("nsrc").alias("s2"), F.col("nat").alias("t2"), F.col("nat_deg").alias("deg2"), F.col("open").alias("open2"))
+        jumped = open_.select("src", "at", "nsrc", "nat", "src_deg").join(targets, ["nsrc", "nat"])
+        jumped = jumped.select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), "src_deg", F.col("deg2").alias("nat_deg"), F.col("open2").alias("open"))
+        darts, seen = ws.save_observed(jumped, "darts", F.count_if("open").alias("open"), split="open")
+        stored.append(darts)
+        closed.append(darts.where("NOT open"))
+        # a chain closes a dart in every step, so what stays open when none closes lies on rings
+        open_, left, before = darts.where("open"), seen["open"], left
+    return closed, open_, stored
+
+
+def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, int, DataFrame, int, DataFrame]:
+    """(remaining edges, their number, removed vertices (x, anchor), their number, edges of rings)."""
+    degrees = ws.save(both_ways(edges).groupBy("u").agg(F.least(F.count("*"), F.lit(3)).cast("tinyint").alias("d")), "degrees")
+    end = lambda c: degrees.select(F.col("u").alias(c), F.col("d").alias(f"d{c}"))
+    marked = ws.save(edges.join(end("u"), "u").join(end("v"), "v").select("u", "v", "du", "dv"), "marked")
+    closed, open_, darts = _ranked(ws, marked)
+    chains = _union(closed)
+    # every vertex of a chain sees both of its ends; one that is no leaf is the anchor, of two alike the smaller
+    seen = chains.groupBy(F.col("at").alias("x")).agg(F.max(F.struct((F.col("nat_deg") > 1).alias("hub"), F.bitwise_not("nat").alias("least"))).alias("end"), F.count("*").alias("ends")).where("ends = 2")
+    inner = seen.select("x", F.bitwise_not("end.least").alias("anchor"))
+    # a leaf on a chain anchors at the other end, of two leaves the larger at the smaller; the smaller is its own root
+    far = chains.where("src_deg = 1").select(F.col("src").alias("x"), F.when(F.col("nat_deg") > 1, F.col("nat")).otherwise(F.least("src", "nat")).alias("anchor"))
+    ends = F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y"), F.col("du").alias("d"), F.col("dv").alias("e")), F.struct(F.col("v").alias("x"), F.col("u").alias("y"), F.col("dv").alias("d"), F.col("du").alias("e")))
+    near = marked.where("(du = 1 AND dv <> 2) OR (dv = 1 AND du <> 2)").select(F.explode(ends).alias("w")).where("w.d = 1")
+    near = near.select("w.x", F.when(F.col("w.e") > 1, F.col("w.y")).otherwise(F.least("w.x", "w.y")).alias("anchor"))
+    removed, gone = ws.save_observed(_union([inner, far, near]), "removed", F.count("*").alias("n"))
+    # a chain between two hubs comes once from either side; loops at one hub vanish
+    shortcuts = chains.where("src_deg = 3 AND nat_deg = 3 AND src <> nat").select(*_ordered("src", "nat"))
+    rest, left = ws.save_observed(marked.where("du = 3 AND dv = 3").select("u", "v").unionByName(shortcuts).distinct(), "edges", F.count("*").alias("n"))
+    rings = ws.save(open_.select(*_ordered("src", "at")).distinct(), "rings")
+    ws.forget(degrees, marked, *darts)
+    return rest, left["n"], removed, gone["n"], rings
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,32 +99,37 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Repeated pairs, either direction and pairs of a name with itself make no difference; other columns are ignored.
     """
     ws = Workspace(pairs.sparkSession, "components")
-    named = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
-    named = ws.save(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "named")
+    linked = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
     seed = 0
     while True:
         code = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
-        names = ws.save(named.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", code("name").alias("x")), "names")
-        total = names.count()
-        if names.select("x").distinct().count() == total:
+        names, counted = ws.save_observed(linked.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name", code("name").alias("x")), "names", F.count("*").alias("n"))
+        total = counted["n"]
+        if not names.groupBy("x").count().where("count > 1").take(1):
             break
+        ws.forget(names)
         seed += 1
-    edges = ws.save(named.select(code("a").alias("s"), code("b").alias("t")).select(*_ordered("s", "t")), "edges")
-    layers: list[DataFrame] = []
-    alive = total
-    while alive:
-        edges, removed, n = _round(ws, edges)
-        if removed is not None:
-            layers.append(removed)
-        alive -= n
-        if n * 20 < alive or not n:  # little is left to strip: the core
+    edges, alive = ws.save_observed(linked.select(code("a").alias("s"), code("b").alias("t")).select(*_ordered("s", "t")).distinct(), "edges", F.count("*").alias("n"))
+    left, layers, core = alive["n"], [], []
+    while left:
+        rest, left, removed, gone, rings = _round(ws, edges)
+        core.append(rings)
+        if not gone:  # only hubs and rings are left
+            core.append(rest)
             break
-    labels = _stars(ws, edges) if edges.take(1) else edges.select(F.col("u").alias("x"), F.col("v").alias("root")).limit(0)
-    labels = ws.save(labels, "labels")
+        ws.forget(edges)
+        edges = rest
+        layers.append(removed)
+    labels = names.select("x", F.col("x").alias("root")).limit(0)
+    if core and _union(core).take(1):
+        labels = ws.save(star_labels(ws, _union(core)), "labels")
     for removed in reversed(layers):
-        known = labels.select(F.col("x").alias("anchor"), "root")
-        back = lookup(removed, known, "anchor", total, "left").select("x", F.coalesce("root", "anchor").alias("root"))
-        labels = ws.save(labels.unionByName(back), "labels")
+        back = ws.save(lookup(removed, labels.select(F.col("x").alias("anchor"), "root"), "anchor", total, "left"), "restored")
+        # an anchor without a label is the root of a finished component
+        roots = back.where("root IS NULL").select(F.col("anchor").alias("x"), F.col("anchor").alias("root")).distinct()
+        found = back.select("x", F.coalesce("root", "anchor").alias("root")).join(roots.select("x"), "x", "left_anti")
+        before, labels = labels, ws.save(_union([labels, roots, found]), "labels")
+        ws.forget(removed, back, before)
     members = ws.save(names.join(labels, "x").select("name", "root"), "members")
     smallest = members.groupBy("root").agg(F.min("name").alias("group"))
     return lookup(members, smallest, "root", total).select("name", "group")

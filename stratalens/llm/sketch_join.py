@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalens.functions.hashing import digest_parts
+from stratalens.functions.hashing import digest_fields, digest_of
 from stratalens.operators.skew import lookup
 from stratalens.work import Workspace
 
@@ -301,9 +301,9 @@ def parse_hashes(files: DataFrame, ident: str, text: str, space: str) -> DataFra
     Valid are hexadecimal digits in any case, bare, after 0x, or as algorithm:side:hex with side squared bits; white
     space around doesn't count. Null, empty and malformed hashes and rows with a null id or space are left out.
     """
-    # exploding a one-element array keeps Spark from parsing again wherever a part is used
-    rows = files.select(F.col(ident).alias("ident"), F.col(space).cast("string").alias("space"), F.explode(F.array(digest_parts(F.col(text), known=False))).alias("d"))
-    rows = rows.where(F.col("d.error").isNull() & F.col("ident").isNotNull() & F.col("space").isNotNull())
+    # exploding one-element arrays keeps Spark from parsing again wherever a part is used
+    rows = files.where(F.col(ident).isNotNull() & F.col(space).isNotNull()).select(F.col(ident).alias("ident"), F.col(space).cast("string").alias("space"), F.col(text).alias("text"), F.explode(F.array(digest_fields(F.col(text), known=False))).alias("f"))
+    rows = rows.select("ident", "space", F.explode(F.array(digest_of(F.col("f"), F.col("text"), known=False))).alias("d")).where("d.error IS NULL")
     return rows.select("ident", "space", F.col("d.bits").alias("bits"), F.unhex("d.hex").alias("code")).distinct()
 
 
