@@ -138,5 +138,23 @@ def test_partial_masks_and_plain_threats(text, categories):
     assert {c for c, (strongest, _, _) in evidence(text).items() if strongest >= 1} == categories
 
 
+@pytest.mark.parametrize(
+    ("text", "categories"),
+    [
+        ("I will kill you tonight, you worthless pig", {"abuse"}), ("Je vais te tuer, sale chien", {"abuse"}), ("Ich bring dich um, du Arschloch", {"abuse"}), ("Te voy a matar", {"abuse"}), ("f*** you", {"abuse"}), ("You absolute m0r0n!", {"abuse"}),
+        ("All Xs are parasites and must be exterminated", {"hate"}), ("Those people are vermin", {"hate"}), ("C'est de la vermine, il faut les expulser", {"hate"}), ("Die sind alle Diebe und gehören abgeschoben", {"hate"}),
+        ("she sucked him off while he fingered her", {"sexual"}), ("Wet pussy, hard cock", {"sexual"}), ("un film porno", {"sexual"}),
+        ("He was called an idiot like you would not believe", set()), ("I'm going to beat you at chess", set()), ("The movie was stupid, useless and disgusting.", set()), ("Rats are vermin.", set()), ("I am such an idiot", set()), ("231 minutes de retard", set()), ("XXX marks the spot", set()),
+    ],
+)
+def test_rewordings(text, categories):
+    assert {c for c, (strongest, _, _) in evidence(text).items() if strongest >= 1} == categories
+
+
+def test_many_hits_take_linear_time():
+    strongest, total, letters = evidence("Shut your mouth, you stupid idiot. " * 40_000)["abuse"]
+    assert strongest < 10 and total > 40_000 and letters == 40_000 * 27
+
+
 def test_single_stars_part_words_that_are_not_marked():
     assert fold("a*b b*tch b***h stupid*idiot") == ["a", "b", "b*tch", "b***h", "stupid", "idiot"]
