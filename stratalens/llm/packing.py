@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity with texts, by harmonic packing.
 
 Lengths fall into reciprocal classes: class j holds lengths in (capacity/(j+1), capacity/j], so any j of them fit into
-one container. Every worker packs what its partition holds, without looking at others: per class it fills containers
-with exactly j items; the room that is left in a container is itself a capacity of some class, and takes items of the
-classes that surely fit, largest first. What doesn't complete a container joins the worker's last, mixed ones. No row
-is shuffled, and a worker keeps numbers only, no texts.
+one container. Every worker packs what its partition holds, window by window of WINDOW texts, without looking at
+others: per class it fills containers with exactly j items; the room that is left in a container is itself a capacity
+of some class, and takes items of the classes that surely fit, largest first. What doesn't complete a container, and
+the last class of short items, goes by falling length into the container with the least room that suffices, found in
+a table of rooms. No row is shuffled, and a worker keeps numbers only, no texts, of one window at a time.
 
 Texts longer than a container are cut into full containers and one rest, which is an item like any other; no other
 text is cut. Null and empty texts take no part. Repeated rows are packed once each.
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Classes 1 to CLASSES - 1 are reciprocal; shorter items form the last one.
 CLASSES = 64
+#: Texts that a worker packs at a time; each window leaves a few containers that aren't full.
+WINDOW = 100_000
 
 
 @lru_cache(1)
@@ -69,22 +72,26 @@ def harmonic(sizes: list[int], capacity: int, classes: int = CLASSES) -> list[in
             rooms += 1
         rest += held[j]
         held[j] = []
-    # the incomplete containers of all classes, and the last class: first fit by falling length
-    open_: list[list[int]] = []
+    # the incomplete containers of all classes, and the last class: best fit by falling length. Bit r of `there` tells
+    # whether a container with room r is open, so the least room that suffices is one step away.
+    open_: dict[int, list[int]] = {}
+    there = 0
     for i in sorted(rest, key=lambda i: -sizes[i]) + held[classes][::-1]:
-        for slot in open_:
-            if slot[1] >= sizes[i]:
-                slot[1] = put(i, slot[0], slot[1])
-                break
+        fitting = there >> sizes[i]
+        if fitting:
+            room = sizes[i] + (fitting & -fitting).bit_length() - 1
+            bin_ = open_[room].pop()
+            if not open_[room]:
+                there ^= 1 << room
         else:
-            open_.append([rooms, put(i, rooms, capacity)])
-            rooms += 1
-        if open_ and open_[0][1] == 0:
-            open_.pop(0)
+            bin_, room, rooms = rooms, capacity, rooms + 1
+        if left := put(i, bin_, room):
+            open_.setdefault(left, []).append(bin_)
+            there |= 1 << left
     return place
 
 
-def pack(documents: DataFrame, ident: str, text: str, capacity: int = 2048, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(documents: DataFrame, ident: str, text: str, capacity: int = 2048, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", window: int = WINDOW) -> DataFrame:
     """(ident, piece, first_token, n_tokens, container): where every token of every non-empty text lies.
 
     vocabulary is the path of a public tokenizer's rank file; it is read once and broadcast (about 1 MB, fixed).
@@ -95,33 +102,39 @@ def pack(documents: DataFrame, ident: str, text: str, capacity: int = 2048, voca
     with open(vocabulary, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
 
+    columns = ["ident", "piece", "first_token", "n_tokens", "container"]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         encoding = _encoding(ranks.value)
         context = TaskContext.get()
-        base = (context.partitionId() if context else 0) << 40
-        ids: list = []
-        lengths: list[int] = []
+        taken = (context.partitionId() if context else 0) << 40
+        rows: list[tuple] = []
+        items: list[tuple] = []
+
+        def packed() -> pd.DataFrame:
+            nonlocal taken
+            place = harmonic([item[3] for item in items], capacity)
+            rows.extend((*item, taken + at) for item, at in zip(items, place, strict=True))
+            taken += max(place, default=-1) + 1
+            done = pd.DataFrame(rows, columns=columns)
+            rows.clear()
+            items.clear()
+            return done
+
         for batch in batches:
             for doc, value in zip(batch.ident, batch.text, strict=True):
-                if value:
-                    ids.append(doc)
-                    lengths.append(len(encoding.encode_ordinary(value)))
-        rows, items = [], []
-        containers = 0
-        for doc, n in zip(ids, lengths, strict=True):
-            full, left = divmod(n, capacity)
-            for piece in range(full):
-                rows.append((doc, piece, piece * capacity, capacity, base + containers))
-                containers += 1
-            if left:
-                items.append((doc, full, full * capacity, left))
-        for item, at in zip(items, harmonic([item[3] for item in items], capacity), strict=True):
-            rows.append((*item, base + containers + at))
-        columns = ["ident", "piece", "first_token", "n_tokens", "container"]
-        for start in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[start : start + 50_000], columns=columns)
+                if not value:
+                    continue
+                full, left = divmod(len(encoding.encode_ordinary(value)), capacity)
+                rows.extend((doc, piece, piece * capacity, capacity, taken + piece) for piece in range(full))
+                taken += full
+                if left:
+                    items.append((doc, full, full * capacity, left))
+                if len(items) >= window or len(rows) >= window:
+                    yield packed()
+        yield packed()
 
     kind = documents.schema[ident].dataType.simpleString()
     schema = f"ident {kind}, piece int, first_token bigint, n_tokens int, container bigint"

@@ -17,6 +17,7 @@ from stratalens.operators.latest import latest_rows
 from stratalens.operators.timestamps import parse_instants
 from stratalens.plans.dirty_data import PARSE_SQL
 from stratalens.tables import table
+from stratalens.work import Workspace
 
 NO_INSTANT = -(1 << 62)
 CAPACITY = 2048
@@ -103,6 +104,25 @@ def p6_room(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("used", F.col("n_tokens") / (F.col("n_containers") * CAPACITY))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packing, per source: how many texts were packed; containers over the capacity that touch the source, texts
+    whose pieces leave gaps, overlap or lack their beginning, texts cut although they fit one container, and pieces but the last that fill none."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source")
+    packed = pack(documents.select("doc_id", "text"), "doc_id", "text", CAPACITY, VOCABULARY)
+    packed = Workspace(spark, "packed").save(packed, "pieces")  # tokenised once for both aggregations
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > CAPACITY).select("container", F.lit(1).alias("over"))
+    pieces = packed.join(full, "container", "left").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("piece").alias("last"), F.count_if(F.col("first_token") != F.col("piece") * CAPACITY).alias("shifted"),
+        F.count_distinct("piece").alias("distinct"), F.count_if(F.col("n_tokens") < CAPACITY).alias("short"), F.max("over").alias("over"),
+    )
+    rows = documents.where("text <> ''").select("doc_id", "source").join(pieces, "doc_id", "left").groupBy("source")
+    broken = F.col("n").isNull() | (F.col("distinct") != F.col("n")) | (F.col("last") != F.col("n") - 1) | (F.col("shifted") > 0)
+    return rows.agg(
+        F.count("n").alias("n_packed"), F.count_if(F.col("over") == 1).alias("n_over"), F.count_if(broken).alias("n_broken"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= CAPACITY)).alias("n_cut"), F.count_if(F.col("short") > 1).alias("n_short"),
+    )
+
+
 def leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -192,7 +212,7 @@ _P5 = _HASHES + """
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_classes": p5_classes,
-            "p6_packed": p6_packed, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+            "p6_packed": p6_packed, "p6_checks": p6_checks, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -210,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE bit_count(xor(a.ws[1], b.ws[1])) <= a.n * 4 // 10 AND list_sum([bit_count(xor(a.ws[i], b.ws[i])) FOR i IN range(1, len(a.ws) + 1)]) <= a.n * 4 // 10),
           e AS (SELECT id AS class_ord, count(*) AS n_links FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
           SELECT w.ord, class_ord, n_files, coalesce(n_links, 0) AS n_links FROM w JOIN c ON w.media_type = c.media_type AND w.n = c.n AND w.ws = c.ws LEFT JOIN e USING (class_ord)""",
+        "p6_checks": "SELECT source, count(*) AS n_packed, 0 AS n_over, 0 AS n_broken, 0 AS n_cut, 0 AS n_short FROM documents WHERE text <> '' GROUP BY source",
         "p7_found": _P7 + "SELECT doc_id, item_id FROM found",
         "p7_spans": _P7
         + """, hit AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ig USING (g)),

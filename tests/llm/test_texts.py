@@ -29,6 +29,22 @@ def test_equal_lengths_fill_their_class(spark):
     assert set(np.bincount(harmonic([682] * 300, 2048))) == {3}
 
 
+def test_many_short_items_take_linear_time():
+    rnd = random.Random(4)
+    sizes = [rnd.randrange(1, 32) for _ in range(300_000)]
+    used = np.bincount(harmonic(sizes, 2048), weights=sizes)
+    assert used.max() <= 2048 and sum(sizes) / (len(used) * 2048) > 0.999
+
+
+def test_windows_pack_apart(spark):
+    rows = [(i, "word " * (1 + i % 40)) for i in range(300)]
+    got = pack(spark.createDataFrame(rows, "id long, t string").coalesce(1), "id", "t", 128, RANKS, window=50).collect()
+    bins = {}
+    for r in got:
+        bins[r.container] = bins.get(r.container, 0) + r.n_tokens
+    assert len(got) == 300 and max(bins.values()) <= 128
+
+
 def test_pack_is_complete(spark):
     texts = [(0, None, "x"), (1, "", "x"), (2, "a word", "x"), (3, "word " * 5000, "x"), (4, "a word", "x"), (5, "   ", "x"), (6, "né " * 300, "x"), (None, "no id", "x"), (2, "a word", "x")]
     got = pack(spark.createDataFrame(texts, "id long, t string, ident string"), "id", "t", 128, RANKS).collect()
