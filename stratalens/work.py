@@ -32,20 +32,20 @@ class Workspace:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str = "t", split: str | None = None) -> DataFrame:
-        """Write df as a table and read it back: a stable copy without lineage. split names a column of few values by
-        which the files are parted, so that a filter on it reads only its own."""
+    def save(self, df: DataFrame, name: str = "t", split: tuple[str, ...] = (), to: DataFrame | None = None) -> DataFrame:
+        """Write df as a table and read it back: a stable copy without lineage. split names columns of few values by which
+        the files are parted, so that a filter on them reads only its own. With `to` the rows go to that stored table."""
         self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        (df.write.partitionBy(split) if split else df.write).parquet(path)
+        path = f"{self.root}/{self._n:03d}-{name}" if to is None else self._paths[id(to)][1]
+        df.write.mode("append").partitionBy(*split).parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(stored)] = stored, path
         return stored
 
-    def save_observed(self, df: DataFrame, name: str, *metrics: Column, split: str | None = None) -> tuple[DataFrame, dict]:
+    def save_observed(self, df: DataFrame, name: str, *metrics: Column, split: tuple[str, ...] = (), to: DataFrame | None = None) -> tuple[DataFrame, dict]:
         """save(), with aggregates of df that are computed while it is written."""
         seen = Observation()
-        return self.save(df.observe(seen, *metrics), name, split), dict(seen.get)
+        return self.save(df.observe(seen, *metrics), name, split, to), dict(seen.get)
 
     def forget(self, *tables: DataFrame) -> None:
         """Delete tables that save() returned and no later one needs; others are left alone."""
