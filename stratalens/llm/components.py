@@ -50,23 +50,21 @@ def _darts(marked: DataFrame) -> DataFrame:
     return inner.select(F.explode(F.array(dart("a", "b"), dart("b", "a"))).alias("d")).select("d.*")
 
 
-def _ranked(ws: Workspace, marked: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
-    """(tables of closed darts, whose nat is the end of their chain; the open darts, which lie on rings; the stored tables)."""
-    darts, seen = ws.save_observed(_darts(marked), "darts", F.count_if("open").alias("open"), split="open")
-    stored = [darts]
-    closed, open_, left, before = [darts.where("NOT open")], darts.where("open"), seen["open"], -1
+def _ranked(ws: Workspace, marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(closed darts, whose nat is the end of their chain; open darts, which lie on rings; the stored table of both)."""
+    step, split, opened = 0, ("step", "open"), F.count_if("open").alias("open")
+    darts, seen = ws.save_observed(_darts(marked).withColumn("step", F.lit(step)), "darts", opened, split=split)
+    left, before = seen["open"], -1
     while left and left != before:
         # only darts that are entered from a vertex of degree two can be the next one of another
-        targets = _union([*(c.where("src_deg = 2") for c in closed), open_])
+        targets = darts.where(f"(NOT open AND src_deg = 2) OR (open AND step = {step})")
         targets = targets.select(F.col("src").alias("nsrc"), F.col("at").alias("nat"), F.col("nsrc").alias("s2"), F.col("nat").alias("t2"), F.col("nat_deg").alias("deg2"), F.col("open").alias("open2"))
-        jumped = open_.select("src", "at", "nsrc", "nat", "src_deg").join(targets, ["nsrc", "nat"])
-        jumped = jumped.select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), "src_deg", F.col("deg2").alias("nat_deg"), F.col("open2").alias("open"))
-        darts, seen = ws.save_observed(jumped, "darts", F.count_if("open").alias("open"), split="open")
-        stored.append(darts)
-        closed.append(darts.where("NOT open"))
+        jumped = darts.where(f"open AND step = {step}").select("src", "at", "nsrc", "nat", "src_deg").join(targets, ["nsrc", "nat"])
+        jumped = jumped.select("src", "at", F.col("s2").alias("nsrc"), F.col("t2").alias("nat"), "src_deg", F.col("deg2").alias("nat_deg"), F.col("open2").alias("open"), F.lit(step + 1).alias("step"))
         # a chain closes a dart in every step, so what stays open when none closes lies on rings
-        open_, left, before = darts.where("open"), seen["open"], left
-    return closed, open_, stored
+        darts, seen = ws.save_observed(jumped, "darts", opened, split=split, to=darts)
+        step, left, before = step + 1, seen["open"], left
+    return darts.where("NOT open"), darts.where(f"open AND step = {step}"), darts
 
 
 def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, int, DataFrame, int, DataFrame]:
@@ -74,8 +72,7 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, int, DataFrame,
     degrees = ws.save(both_ways(edges).groupBy("u").agg(F.least(F.count("*"), F.lit(3)).cast("tinyint").alias("d")), "degrees")
     end = lambda c: degrees.select(F.col("u").alias(c), F.col("d").alias(f"d{c}"))
     marked = ws.save(edges.join(end("u"), "u").join(end("v"), "v").select("u", "v", "du", "dv"), "marked")
-    closed, open_, darts = _ranked(ws, marked)
-    chains = _union(closed)
+    chains, open_, darts = _ranked(ws, marked)
     # every vertex of a chain sees both of its ends; one that is no leaf is the anchor, of two alike the smaller
     seen = chains.groupBy(F.col("at").alias("x")).agg(F.max(F.struct((F.col("nat_deg") > 1).alias("hub"), F.bitwise_not("nat").alias("least"))).alias("end"), F.count("*").alias("ends")).where("ends = 2")
     inner = seen.select("x", F.bitwise_not("end.least").alias("anchor"))
@@ -89,7 +86,7 @@ def _round(ws: Workspace, edges: DataFrame) -> tuple[DataFrame, int, DataFrame,
     shortcuts = chains.where("src_deg = 3 AND nat_deg = 3 AND src <> nat").select(*_ordered("src", "nat"))
     rest, left = ws.save_observed(marked.where("du = 3 AND dv = 3").select("u", "v").unionByName(shortcuts).distinct(), "edges", F.count("*").alias("n"))
     rings = ws.save(open_.select(*_ordered("src", "at")).distinct(), "rings")
-    ws.forget(degrees, marked, *darts)
+    ws.forget(degrees, marked, darts)
     return rest, left["n"], removed, gone["n"], rings
 
 
