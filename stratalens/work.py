@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -61,3 +63,22 @@ class Workspace:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
+
+
+def stored_once(df: DataFrame, name: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """What make(path) writes and returns, kept in the work folder under the files that df reads, so that the next call
+    finds it. df must be a whole table with some of its columns: a filter on it would not tell. Files that change make a new one."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    stamp = hashlib.sha256(f"{name}:{df.schema.json()}".encode())
+    for file in sorted(df.inputFiles()):
+        target = hadoop(file)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        stamp.update(f"{file}:{status.getLen()}:{status.getModificationTime()}".encode())
+    path = f"{work_dir(spark)}/{name}-{stamp.hexdigest()[:32]}"
+    done = hadoop(f"{path}/_SUCCESS")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(done):
+        return spark.read.parquet(path)
+    files.delete(hadoop(path), True)  # what a broken attempt left
+    return make(path)
