@@ -1,10 +1,13 @@
-"""Evaluation passages in training text, found by an FM-index of every shard.
+"""Evaluation passages in training text, found by a stored FM-index of every training shard.
 
-A shard is some million words of documents. Words outside the evaluation vocabulary can't be part of a leak, so they
-only separate runs; the words in between are the text of the index: a suffix array by prefix doubling, its
-Burrows-Wheeler transform as a wavelet matrix, and sampled suffix positions. Every window of `least` words of the
-test items is searched backwards through wavelet ranks, all at once; occurrences walk back to a sampled position and
-are merged into spans. Shards are independent; nothing is gathered from the corpus but the spans.
+build_index() reads the corpus once. A shard is some million words of documents; all their words, numbered in the
+shard's own vocabulary, are the text of its index: a suffix array by prefix doubling, its Burrows-Wheeler transform as
+a wavelet matrix, and sampled suffix positions. The shards are the rows of a table in the shared folder, which holds
+everything a search needs, so any set of test items is searched, with any length of window, without the documents.
+
+search_index() cuts the items into windows of `least` words and searches them backwards through the wavelet ranks of
+each shard, all at once; occurrences walk back to a sampled position and are merged into spans. Shards are independent;
+nothing is gathered from the corpus but the spans. removal_spans() merges the spans of all items per document.
 
 Words are runs of letters and digits in lower case; whatever stands between them is ignored.
 """
@@ -12,13 +15,15 @@ Words are runs of letters and digits in lower case; whatever stands between them
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from stratalens.work import Workspace
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLE = 8
@@ -31,10 +36,12 @@ def split_words(text: str | None) -> list[str]:
 class Bits:
     """A bit vector with constant-time rank."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
-        padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+    def __init__(self, bits: np.ndarray | None = None, words: np.ndarray | None = None) -> None:
+        if words is None:
+            padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+            padded[: len(bits)] = bits
+            words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.words = words
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
         self.ones = int(self.before[-1])
 
@@ -59,6 +66,15 @@ class Wavelet:
             sequence = np.concatenate([sequence[bits == 0], sequence[bits == 1]])
         self.zeros = [len(sequence) - b.ones for b in self.levels]
 
+    @classmethod
+    def stored(cls, levels: list[bytes], length: int) -> Wavelet:
+        """The wavelet matrix of the words of its levels."""
+        self = cls.__new__(cls)
+        self.levels = [Bits(words=np.frombuffer(data, np.uint64)) for data in levels]
+        self.height = len(self.levels)
+        self.zeros = [length - b.ones for b in self.levels]
+        return self
+
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
             ones = bits.rank(i)
@@ -81,19 +97,27 @@ class Wavelet:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes in order, where zeros are separators, smaller than all words, that order by position and end comparison."""
     n = len(text)
-    rank = np.where(text == 0, np.cumsum(text == 0), text.astype(np.int64) + int((text == 0).sum()))
-    order = np.argsort(rank, kind="stable")
-    ordered = rank[order]
-    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    width = max(1, int(text.max(initial=0)).bit_length())
+    step = max(1, min(8, 63 // width))
+    # the first `step` words as one number; what follows a separator doesn't count
+    key, going = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(step):
+        word = np.zeros(n, np.int64)
+        word[: max(0, n - k)] = text[k:]
+        key = (key << width) | np.where(going, word, 0)
+        going &= word != 0
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    # suffixes that tie and reach a separator are in order already, by position
+    starts = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]) | ~going[order][1:]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(starts, sizes)
     open_ = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # rows of the order that still tie
-    step = 1
     while len(open_):
         suffix = order[open_]
         group = rank[suffix]
-        # a separator within `step` words is unique, so the words compared never run over the end
+        # no separator lies within `step` words of an open suffix, so the words compared never run over the end
         new = np.lexsort((rank[np.minimum(suffix + step, n - 1)], group))
         suffix, group = suffix[new], group[new]
         order[open_] = suffix
@@ -119,6 +143,20 @@ class FMIndex:
         marked = (order % SAMPLE == 0) | (text[order - 1] == 0)
         self.marked, self.positions = Bits(marked), order[marked]
 
+    @classmethod
+    def stored(cls, n: int, first: bytes, levels: list[bytes], marked: bytes, positions: bytes) -> FMIndex:
+        """The index from the parts that row() gave."""
+        self = cls.__new__(cls)
+        self.n, self.first = n, np.frombuffer(first, np.int64)
+        self.symbols = len(self.first)
+        self.wavelet = Wavelet.stored(levels, n)
+        self.marked, self.positions = Bits(words=np.frombuffer(marked, np.uint64)), np.frombuffer(positions, np.int32)
+        return self
+
+    def row(self) -> tuple[int, bytes, list[bytes], bytes, bytes]:
+        """What is stored of it: (length, first, levels, marked, positions)."""
+        return self.n, self.first.tobytes(), [b.words.tobytes() for b in self.wavelet.levels], self.marked.words.tobytes(), self.positions.astype(np.int32).tobytes()
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows [low, high) of each pattern, one per line."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
@@ -158,37 +196,40 @@ def windows(items: list[tuple[int, list[int]]], least: int) -> tuple[np.ndarray,
     return patterns, pairs[:, 0], pairs[:, 1]
 
 
-def encode(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    """The words of a text as numbers, 0 for those outside the vocabulary and at the end."""
-    get = vocabulary.get
-    return np.array([get(w, 0) for w in split_words(text)] + [0], np.int32)
-
-
-def shard_spans(texts: list[np.ndarray], symbols_in_all: int, patterns: np.ndarray, window: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(document, item, first word, last word) of the merged spans in one shard of encoded texts; documents and items by number."""
-    symbols, docs, offsets = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for number, code in enumerate(texts):
-        # runs shorter than a window can't hold one
-        ends = np.flatnonzero(code == 0)
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        for a, b in zip(begins[ends - begins >= least].tolist(), ends[ends - begins >= least].tolist(), strict=True):
-            symbols.append(code[a : b + 1])
-            docs.append(np.full(b + 1 - a, number))
-            offsets.append(np.arange(a, b + 1))
-    text, doc, offset = map(np.concatenate, (symbols, docs, offsets))
+def shard_row(words: list[list[str]]) -> tuple:
+    """(n, first, levels, marked, positions, vocabulary, starts) of the index of some documents, each given by its words."""
+    vocabulary: dict[str, int] = {}
+    number = vocabulary.setdefault
+    text: list[int] = []
+    starts: list[int] = []
+    for document in words:
+        starts.append(len(text))
+        text += [number(w, len(vocabulary) + 1) for w in document]
+        text.append(0)
+    index = FMIndex(np.array(text, np.int32), len(vocabulary) + 1)
+    return *index.row(), zlib.compress("\n".join(vocabulary).encode(), 1), np.array(starts, np.int32).tobytes()
+
+
+def shard_spans(index: FMIndex, vocabulary: dict[str, int], starts: np.ndarray, names: list[str], patterns: np.ndarray, window: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(document, item, first word, last word) of the merged spans in one shard; documents and items by number.
+
+    names are the words that the patterns number from 1 on; a window with a word that the shard lacks isn't searched.
+    """
     nothing = np.zeros(0, np.int64)
-    if not len(text) or not len(patterns):
+    local = np.array([0, *(vocabulary.get(w, 0) for w in names)], np.int64)[patterns]
+    known = np.flatnonzero((local > 0).all(1))
+    if not len(known):
         return nothing, nothing, nothing, nothing
-    index = FMIndex(text, symbols_in_all)
-    low, high = index.search(patterns)
+    low, high = index.search(local[known])
     count = high - low
     rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    where, which = index.locate(rows), np.repeat(np.arange(len(patterns)), count)
+    where, which = index.locate(rows), np.repeat(known, count)
+    doc = np.searchsorted(starts, where, "right") - 1
     # every item that holds the window found
     owners = np.searchsorted(window, [which, which + 1])
     times = owners[1] - owners[0]
     at = np.repeat(owners[0], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    found = np.column_stack([doc[np.repeat(where, times)], item[at], offset[np.repeat(where, times)]])
+    found = np.column_stack([np.repeat(doc, times), item[at], np.repeat(where - starts[doc], times)])
     if not len(found):
         return nothing, nothing, nothing, nothing
     found = np.unique(found, axis=0)
@@ -198,54 +239,94 @@ def shard_spans(texts: list[np.ndarray], symbols_in_all: int, patterns: np.ndarr
     return found[begin, 0], found[begin, 1], found[begin, 2], found[end, 2] + least - 1
 
 
-def leaks(documents: DataFrame, ident: str, text: str, items: DataFrame, item_ident: str, item_text: str, least: int = 13, shard_words: int = 2_000_000, block_words: int = 2_000_000) -> DataFrame:
-    """(ident, item, first_word, last_word): spans of documents that repeat at least `least` consecutive words of an item.
+#: idents are kept as text, exact whatever else is in a batch; the column `like` is null and tells their type.
+SHARD = "n bigint, first binary, levels array<binary>, marked binary, positions binary, vocabulary binary, starts binary, idents array<string>"
+SHARD_WORDS = 2_000_000
+
+
+def build_index(documents: DataFrame, ident: str, text: str, path: str, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Write the index of all documents to path, one row per shard, and read it back; null and empty texts are in no shard.
+
+    Each worker indexes what its partition holds, about shard_words words (or one document) at a time.
+    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list = []
+        words: list[list[str]] = []
+        held = 0
+
+        def shard() -> pd.DataFrame:
+            return pd.DataFrame([(*shard_row(words), list(ids))], columns=[f.split()[0] for f in SHARD.split(", ")])
+
+        for batch in batches:
+            for doc, value in zip(batch.ident, batch.text, strict=True):
+                if found := split_words(value):
+                    ids.append(doc)
+                    words.append(found)
+                    held += len(found) + 1
+                if held >= shard_words:
+                    yield shard()
+                    ids, words, held = [], [], 0
+        if ids:
+            yield shard()
+
+    kind = documents.schema[ident].dataType
+    corpus = documents.select(F.col(ident).cast("string").alias("ident"), F.col(text).alias("text")).where("text IS NOT NULL")
+    index = corpus.mapInPandas(work, SHARD).withColumn("like", F.lit(None).cast(kind))
+    index.write.parquet(path)
+    return documents.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def search_index(index: DataFrame, items: DataFrame, item_ident: str, item_text: str, least: int = 13, block_words: int = 2_000_000) -> DataFrame:
+    """(ident, item, first_word, last_word): spans of indexed documents that repeat at least `least` consecutive words of an item.
 
     The items are the stated query set: they are taken in blocks of block_words words, each broadcast and run against
-    all documents. Null and empty texts, and items of fewer words, give nothing. Spans of one item that touch are merged.
+    all shards. Null and empty texts, and items of fewer words, give nothing. Spans of one item that touch are merged.
     """
-    spark = documents.sparkSession
-    kinds = documents.schema[ident].dataType, items.schema[item_ident].dataType
-    schema = T.StructType([T.StructField("ident", kinds[0]), T.StructField("item", kinds[1]), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
-    corpus = documents.select(F.col(ident).alias("ident"), F.col(text).alias("text")).where("text IS NOT NULL")
-    queries = items.select(F.col(item_ident).alias("ident"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
-    total = queries.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, int(total // (6 * block_words)) + 1)
+    spark = index.sparkSession
+    kinds = index.schema["like"].dataType, items.schema[item_ident].dataType
+    queries = items.select(F.col(item_ident).cast("string").alias("ident"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    total = queries.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = int(total // block_words) + 1
     result = None
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("ident", "text"), F.lit(blocks)) == block).toPandas()
-        spans = corpus.mapInPandas(_searcher(spark, rows, least, shard_words), schema)
+        spans = index.drop("like").mapInPandas(_searcher(spark, rows, least), "ident string, item string, first_word bigint, last_word bigint")
         result = spans if result is None else result.unionByName(spans)
-    return result
+    return result.select(F.col("ident").cast(kinds[0]).alias("ident"), F.col("item").cast(kinds[1]).alias("item"), "first_word", "last_word")
 
 
-def _searcher(spark, rows: pd.DataFrame, least: int, shard_words: int):
-    names = list(rows.ident)
-    lists = [split_words(t) for t in rows.text]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for words in lists if len(words) >= least for w in words}))}
-    patterns, window, item = windows([(i, [vocabulary[w] for w in words]) for i, words in enumerate(lists) if len(words) >= least], least)
-    shared = spark.sparkContext.broadcast((names, vocabulary, patterns, window, item))
+def _searcher(spark, rows: pd.DataFrame, least: int):
+    idents = list(rows.ident)
+    lists = [words if len(words) >= least else [] for words in map(split_words, rows.text)]
+    names = sorted({w for words in lists for w in words})
+    number = {w: i + 1 for i, w in enumerate(names)}
+    patterns, window, item = windows([(i, [number[w] for w in words]) for i, words in enumerate(lists)], least)
+    shared = spark.sparkContext.broadcast((idents, names, patterns, window, item))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, vocabulary, patterns, window, item = shared.value
-
-        def search(ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
-            doc, which, first, last = shard_spans(texts, len(vocabulary) + 1, patterns, window, item, least)
-            rows = [(ids[d], names[i], a, b) for d, i, a, b in zip(doc.tolist(), which.tolist(), first.tolist(), last.tolist(), strict=True)]
-            return pd.DataFrame(rows, columns=["ident", "item", "first_word", "last_word"])
-
-        ids: list = []
-        texts: list[np.ndarray] = []
-        held = 0
+        idents, names, patterns, window, item = shared.value
         for batch in batches:
-            for doc, value in zip(batch.ident, batch.text, strict=True):
-                ids.append(doc)
-                texts.append(encode(value, vocabulary))
-                held += len(texts[-1])
-                if held >= shard_words:
-                    yield search(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield search(ids, texts)
+            for shard in batch.itertuples(index=False):
+                index = FMIndex.stored(shard.n, shard.first, list(shard.levels), shard.marked, shard.positions)
+                vocabulary = {w: i + 1 for i, w in enumerate(zlib.decompress(shard.vocabulary).decode().split("\n"))}
+                doc, which, first, last = shard_spans(index, vocabulary, np.frombuffer(shard.starts, np.int32).astype(np.int64), names, patterns, window, item, least)
+                found = [(shard.idents[d], idents[i], a, b) for d, i, a, b in zip(doc.tolist(), which.tolist(), first.tolist(), last.tolist(), strict=True)]
+                yield pd.DataFrame(found, columns=["ident", "item", "first_word", "last_word"])
 
     return work
+
+
+def leaks(documents: DataFrame, ident: str, text: str, items: DataFrame, item_ident: str, item_text: str, least: int = 13, shard_words: int = SHARD_WORDS, block_words: int = 2_000_000) -> DataFrame:
+    """build_index() in the work folder and search_index() in one; use the two apart to search several sets of items."""
+    ws = Workspace(documents.sparkSession, "leaks")
+    index = build_index(documents, ident, text, f"{ws.root}/index", shard_words)
+    return search_index(index, items, item_ident, item_text, least, block_words)
+
+
+def removal_spans(spans: DataFrame) -> DataFrame:
+    """(ident, first_word, last_word): the spans of all items merged per document, where they overlap or touch."""
+    window = Window.partitionBy("ident").orderBy("first_word", "last_word")
+    reach = F.max("last_word").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.select("ident", "first_word", "last_word").distinct().withColumn("fresh", F.coalesce(F.col("first_word") > reach + 1, F.lit(True)))
+    marked = marked.withColumn("n", F.sum(F.col("fresh").cast("int")).over(window))
+    return marked.groupBy("ident", "n").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")).drop("n")

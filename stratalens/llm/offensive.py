@@ -25,7 +25,6 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratalens.llm.lexicon import EXCEPTIONS, FOLDS, LEXICON
 
@@ -193,16 +192,16 @@ def evidence(text: str | None) -> dict[str, tuple[float, float, int]]:
 
 def score(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, category, passage, total, letters): one row per document and category with any evidence."""
-    schema = T.StructType(
-        [T.StructField("ident", documents.schema[ident].dataType), T.StructField("category", T.StringType()), T.StructField("passage", T.DoubleType()), T.StructField("total", T.DoubleType()), T.StructField("letters", T.LongType())]
-    )
+    schema = "ident string, category string, passage double, total double, letters bigint"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(doc, category, *values) for doc, value in zip(batch.ident, batch.text, strict=True) for category, values in evidence(value).items()]
-            yield pd.DataFrame(rows, columns=schema.names)
+            yield pd.DataFrame(rows, columns=["ident", "category", "passage", "total", "letters"])
 
-    return documents.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInPandas(work, schema)
+    # idents travel as text, so that a null among them doesn't turn the others into floating-point numbers
+    rows = documents.select(F.col(ident).cast("string").alias("ident"), F.col(text).alias("text")).mapInPandas(work, schema)
+    return rows.withColumn("ident", F.col("ident").cast(documents.schema[ident].dataType))
 
 
 def offensive(documents: DataFrame, ident: str, text: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The published splitting pattern of the byte-level 50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +137,6 @@ def pack(documents: DataFrame, ident: str, text: str, capacity: int = 2048, voca
                     yield packed()
         yield packed()
 
-    kind = documents.schema[ident].dataType.simpleString()
-    schema = f"ident {kind}, piece int, first_token bigint, n_tokens int, container bigint"
-    return documents.selectExpr(f"`{ident}` AS ident", f"`{text}` AS text").mapInPandas(work, schema).withColumnRenamed("ident", ident)
+    # idents travel as text, so that a null among them doesn't turn the others into floating-point numbers
+    rows = documents.select(F.col(ident).cast("string").alias("ident"), F.col(text).alias("text")).mapInPandas(work, "ident string, piece int, first_token bigint, n_tokens int, container bigint")
+    return rows.select(F.col("ident").cast(documents.schema[ident].dataType).alias(ident), "piece", "first_token", "n_tokens", "container")

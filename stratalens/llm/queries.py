@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.fm_index import leaks
+from stratalens.llm.fm_index import build_index, removal_spans, search_index
 from stratalens.llm.offensive import CATEGORIES, THRESHOLD, offensive, score
 from stratalens.llm.packing import CLASSES, pack
 from stratalens.llm.sketch_join import near_classes, near_pairs
@@ -17,7 +18,7 @@ from stratalens.operators.latest import latest_rows
 from stratalens.operators.timestamps import parse_instants
 from stratalens.plans.dirty_data import PARSE_SQL
 from stratalens.tables import table
-from stratalens.work import Workspace
+from stratalens.work import Workspace, stored_once
 
 NO_INSTANT = -(1 << 62)
 CAPACITY = 2048
@@ -123,8 +124,14 @@ def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def document_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of all documents, built when the work folder has none of the same files yet."""
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return stored_once(documents, "fm-index", lambda path: build_index(documents, "doc_id", "text", path))
+
+
 def leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
+    return search_index(document_index(spark, folder), table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,10 +140,24 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """The word spans to remove, merged over all items that leaked there."""
+    """The word spans in which each item leaked."""
     return leaked_spans(spark, folder).select(F.col("ident").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "last_word")
 
 
+def p7_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """The word spans to remove from each document, merged over all items that leaked there."""
+    return removal_spans(leaked_spans(spark, folder)).withColumnRenamed("ident", "doc_id")
+
+
+def p7_suites(spark: SparkSession, folder: str) -> DataFrame:
+    """Other sets of items, with shorter windows, against the same stored index: documents that repeat 8 words of an item, per suite."""
+    index, items = document_index(spark, folder), table(spark, folder, "eval_items", "item_id", "suite", "text")
+    names = sorted(r.suite for r in items.select("suite").where("suite IS NOT NULL").distinct().collect())  # the names of the suites, not data
+    found = [search_index(index, items.where(F.col("suite") == name), "item_id", "text", 8).select(F.lit(name).alias("suite"), "ident", "item") for name in names]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.groupBy("suite").agg(F.count_distinct("ident").alias("n_documents"), F.count_distinct("item").alias("n_items"))
+
+
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     """Which items leaked, and into how many documents."""
     return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
@@ -212,7 +233,7 @@ _P5 = _HASHES + """
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_merged": p1_merged, "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_classes": p5_classes,
-            "p6_packed": p6_packed, "p6_checks": p6_checks, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+            "p6_packed": p6_packed, "p6_checks": p6_checks, "p6_room": p6_room, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removals": p7_removals, "p7_suites": p7_suites, "p7_items": p7_items, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -237,5 +258,12 @@ def oracle_sql() -> dict[str, str]:
           mark AS (SELECT *, (i > lag(i, 1, -99) OVER w + 13)::INT AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
           span AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS n FROM mark)
           SELECT doc_id, item_id, min(i) - 1 AS first_word, max(i) + 11 AS last_word FROM span GROUP BY doc_id, item_id, n""",
+        "p7_removals": _P7
+        + """, hit AS (SELECT DISTINCT doc_id, i FROM dg JOIN ig USING (g)),
+          mark AS (SELECT *, (i > lag(i, 1, -99) OVER (PARTITION BY doc_id ORDER BY i) + 13)::INT AS fresh FROM hit),
+          span AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM mark)
+          SELECT doc_id, min(i) - 1 AS first_word, max(i) + 11 AS last_word FROM span GROUP BY doc_id, n""",
+        "p7_suites": _P7.replace("i + 12", "i + 7").replace("- 11", "- 6").replace("SELECT item_id, regexp", "SELECT item_id, suite, regexp").replace("DISTINCT item_id, array", "DISTINCT item_id, suite, array").replace("SELECT item_id, w, unnest", "SELECT item_id, suite, w, unnest").replace("DISTINCT doc_id, item_id", "DISTINCT doc_id, item_id, suite")
+        + "SELECT suite, count(DISTINCT doc_id) AS n_documents, count(DISTINCT item_id) AS n_items FROM found GROUP BY suite",
         "p7_items": _P7 + "SELECT item_id, count(*) AS n_documents FROM found GROUP BY 1",
     }

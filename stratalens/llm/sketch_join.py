@@ -145,6 +145,22 @@ def _keyed(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict
                 yield pd.DataFrame({"grp": rows.grp, "key": key, "combo": number, "fine": -1, "side": 0, "bits": bits, "id": rows.id, "many": rows.many, "sketch": sketch})
 
 
+def _counted(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """(grp, key, n): how often each key of _keyed() occurs in a batch."""
+    for batch in batches:
+        for bits, rows in batch.groupby("bits", sort=False):
+            bits = int(bits)
+            if not bounds.get(bits):
+                continue
+            lines = sketch_bits(list(rows.code), bits)
+            grp = rows.grp.to_numpy(np.int64)
+            plan = band_plan(bits, bounds[bits], joints[bits])
+            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
+                key = key_of(grp.view(np.uint64), number, lines[:, _columns(plan, bands)]).view(np.int64)
+                keys, first, n = np.unique(key, return_index=True, return_counts=True)
+                yield pd.DataFrame({"grp": grp[first], "key": keys, "n": n})
+
+
 def _refined(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
     """Rows of keys that are too large, under finer keys."""
     for batch in batches:
@@ -204,7 +220,7 @@ def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -
         size = np.bitwise_count(words).sum(1, dtype=np.int64)
         grp, key = part.grp.to_numpy(), part.key.to_numpy()
         order = np.lexsort((size, key, grp))
-        part, words, size, grp, key = part.iloc[order], words[order], size[order], grp[order], key[order]
+        words, size, grp, key = words[order], size[order], grp[order], key[order]
         starts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (key[1:] != key[:-1])]))
         counts = np.diff(np.concatenate([starts, [len(part)]]))
         ends = np.repeat(np.where(counts <= SHORT, starts + counts, 0), counts)
@@ -214,7 +230,7 @@ def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -
         if not found:
             continue
         i, j = (np.concatenate(side) for side in zip(*found, strict=True))
-        side, combo, fine = part.side.to_numpy(), part.combo.to_numpy(), part.fine.to_numpy()
+        side, combo, fine = (part[c].to_numpy()[order] for c in ("side", "combo", "fine"))
         keep = (side[i] == 0) | (side[i] != side[j])
         i, j = i[keep], j[keep]
         plan = band_plan(bits, bound, joint)
@@ -231,7 +247,7 @@ def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -
                 ok[cut] &= _agreeing(words, i[of[cut]], j[of[cut]], _masks(bits, parts), wanted, 1)
             keep[of] = ok
         i, j = i[keep], j[keep]
-        ids, many = part.id.to_numpy(), part.many.to_numpy()
+        ids, many = part.id.to_numpy()[order], part.many.to_numpy()[order]
         yield pd.DataFrame({"a": ids[i], "b": ids[j], "distance": np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32), "many": many[i] | many[j]})
 
 
@@ -265,16 +281,17 @@ def close_sketches(ws: Workspace, sketches: DataFrame, permille: int, joint: int
     rows = sketches.select(F.xxhash64("space", "bits").alias("grp"), "bits", "id", "many", "code")
     keys = rows.mapInPandas(lambda batches: _keyed(batches, joints, bounds), schema)
 
-    def large(keyed: DataFrame, name: str) -> DataFrame | None:
-        """The keys with more than `most` rows, by a count that combines before its shuffle."""
-        counted = ws.save(keyed.groupBy("grp", "key").agg(F.count("*").alias("n")).where(F.col("n") > most), name)
+    def large(counts: DataFrame, name: str) -> DataFrame | None:
+        """The keys with more than `most` rows, by counts that combine before their shuffle."""
+        counted = ws.save(counts.groupBy("grp", "key").agg(F.sum("n").alias("n")).where(F.col("n") > most), name)
         return counted if counted.take(1) else None
 
-    if (hot := large(keys.select("grp", "key"), "large")) is not None:
+    # two different (space, bits) whose grp and key are both equal would only be counted together
+    if (hot := large(rows.mapInPandas(lambda batches: _counted(batches, joints, bounds), "grp bigint, key bigint, n bigint"), "large")) is not None:
         parts = [keys.join(hot, ["grp", "key"], "left_anti")]
         columns = keys.columns
         fine = ws.save(keys.join(hot.drop("n"), ["grp", "key"], "left_semi").select(*columns).mapInPandas(lambda batches: _refined(batches, joints, bounds), schema), "fine")
-        if (hotter := large(fine, "larger")) is not None:
+        if (hotter := large(fine.select("grp", "key", F.lit(1).alias("n")), "larger")) is not None:
             parts.append(fine.join(hotter, ["grp", "key"], "left_anti"))
             blocks = fine.join(hotter, ["grp", "key"]).withColumn("of", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
             blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stratalens.llm.fm_index import FMIndex, Wavelet, leaks, split_words, suffix_array
+from stratalens.llm.fm_index import FMIndex, Wavelet, build_index, leaks, removal_spans, search_index, split_words, suffix_array
 from stratalens.llm.lexicon import EXCEPTIONS, LEXICON
 from stratalens.llm.offensive import evidence, fold, offensive
 from stratalens.llm.packing import _encoding, harmonic, pack
@@ -105,6 +105,21 @@ def test_leaks_against_brute_force(spark):
     assert leaks(corpus.limit(0), "id", "text", tests, "item", "text").count() == leaks(corpus, "id", "text", tests.limit(0), "item", "text").count() == 0
 
 
+def test_one_index_serves_several_sets_of_items(spark, tmp_path):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b c d e f g h"), (None, "x a b c y"), (7, "d e f g h c d e")], "id long, text string")
+    index = build_index(docs, "id", "text", f"file:{tmp_path}/index", shard_words=4)
+    find = lambda item, least: sorted((r.ident or 0, r.first_word, r.last_word) for r in search_index(index, spark.createDataFrame([(1, item)], "i int, t string"), "i", "t", least).collect())
+    assert find("A, b! c.", 3) == [(0, 1, 3), (big, 0, 2)]
+    assert find("c d e f", 3) == [(7, 0, 2), (7, 5, 7), (big, 2, 5)]
+    assert find("nothing of it here", 2) == find("a b", 3) == []
+
+
+def test_removal_spans_merge_what_touches(spark):
+    spans = spark.createDataFrame([(1, 9, 0, 4), (1, 8, 3, 6), (1, 9, 7, 8), (1, 9, 10, 12), (2, 9, 0, 1), (None, 9, 5, 6)], "ident int, item int, first_word int, last_word int")
+    assert sorted((r.ident or 0, r.first_word, r.last_word) for r in removal_spans(spans).collect()) == [(0, 5, 6), (1, 0, 8), (1, 10, 12), (2, 0, 1)]
+
+
 def test_spans_are_merged(spark):
     words = [f"w{i}" for i in range(30)]
     corpus = spark.createDataFrame([(1, "pre " + " ".join(words) + " post"), (2, " ".join(words[:12]))], "id long, text string")
