@@ -1,4 +1,4 @@
-"""Near-duplicate hashes: a banded Hamming self-join, exact chains, components and numbered groups.
+"""Near-duplicate hashes: an exact Hamming self-join, exact chains, components and numbered groups.
 
 Hashes meet only within (space, width). Equal hashes are represented by their first file in input order, so a much
 repeated hash is one row of the join; its files are linked as a chain, one edge per further file.
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.errors import DuplicateError
-from stratalens.functions.hashing import digest_fields, digest_of, hamming, similarity, words_of
+from stratalens.functions.hashing import digest_fields, digest_of, similarity
 from stratalens.functions.text import path_key
+from stratalens.operators.bit_join import close_codes
 from stratalens.operators.stars import star_labels
 from stratalens.work import Workspace
 
@@ -26,7 +27,7 @@ def check_threshold(threshold: int) -> None:
 
 
 def parsed(files: DataFrame, path: str, text: str, space: str, order: str, strict: bool = True) -> DataFrame:
-    """(ord, path, space, bits, words); strict raises on repeated paths and bad hashes, else bad hashes are left out."""
+    """(ord, path, space, bits, code), the hash as bytes in code; strict raises on repeated paths and bad hashes, else bad hashes are left out."""
     # exploding one-element arrays keeps Spark from parsing again wherever a part is used
     rows = files.select(F.col(order).alias("ord"), F.col(path).alias("path"), F.col(space).alias("space"), F.col(text).alias("text"), F.explode(F.array(digest_fields(F.col(text)))).alias("f"))
     rows = rows.select("ord", "path", "space", F.explode(F.array(digest_of(F.col("f"), F.col("text")))).alias("d"))
@@ -35,57 +36,48 @@ def parsed(files: DataFrame, path: str, text: str, space: str, order: str, stric
             raise DuplicateError("a path occurs twice in the input", file_path=twice["path"])
         if bad := rows.where(F.col("d.error").isNotNull()).first():
             raise DuplicateError(f"invalid hash: {bad['d']['error']}", file_path=bad["path"])
-    return rows.where(F.col("d.error").isNull()).select("ord", "path", "space", F.col("d.bits").alias("bits"), words_of(F.col("d.hex")).alias("words"))
+    return rows.where(F.col("d.error").isNull()).select("ord", "path", "space", F.col("d.bits").alias("bits"), F.unhex("d.hex").alias("code"))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
     """The first row of every distinct hash, in input order."""
-    return rows.groupBy(*SPACE, "words").agg(F.min(F.struct("ord", "path")).alias("first")).select("first.ord", "first.path", *SPACE, "words")
-
-
-def band_keys(bits: Column, words: Column, threshold: int) -> Column:
-    """An array of struct(band, key): threshold + 1 contiguous bands, low bits first, the first ones a bit wider.
-
-    A key is the text of its bits, so bands may cross words and any width works.
-    """
-    text = F.array_join(F.transform(words, lambda w: F.lpad(F.bin(w), 64, "0")), "")
-    low_first = F.reverse(F.substring(text, F.length(text) - bits + 1, bits))
-    bands = threshold + 1
-    base, extra = F.floor(bits / bands).cast("int"), bits % bands
-    cut = lambda i: F.substring(low_first, (i * base + F.least(i, extra) + 1).cast("int"), (base + F.when(i < extra, 1).otherwise(0)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(threshold)), lambda i: F.struct(i.alias("band"), cut(i).alias("key")))
+    return rows.groupBy(*SPACE, "code").agg(F.min(F.struct("ord", "path")).alias("first")).select("first.ord", "first.path", *SPACE, "code")
 
 
 def near_edges(reps: DataFrame, threshold: int) -> DataFrame:
     """(path_a, path_b, ord_a, ord_b, space, bits, distance) of different hashes within the threshold, earlier file first.
 
-    Two hashes within the threshold agree in one of threshold + 1 bands; hashes no wider than the threshold all match.
+    ord must not repeat. Only ids and bits go through the join; the paths are looked up for the pairs found.
     """
     check_threshold(threshold)
     ws = Workspace(reps.sparkSession, "near")
-    xor = F.aggregate("words", F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(w))
-    reps = ws.save(reps.withColumn("fold", xor), "reps")
-    if threshold == 0:
-        return _pairs(reps.where(F.lit(False)), [*SPACE], threshold)
-    narrow = reps.where(F.col("bits") <= threshold)
-    banded = reps.where(F.col("bits") > threshold).withColumn("b", F.explode(band_keys(F.col("bits"), F.col("words"), threshold)))
-    banded = banded.withColumn("key", F.xxhash64("b.band", "b.key")).drop("b")
-    return _pairs(banded, [*SPACE, "key"], threshold).dropDuplicates(["ord_a", "ord_b"]).unionByName(_pairs(narrow, [*SPACE], threshold))
-
-
-def _pairs(rows: DataFrame, on: list[str], threshold: int) -> DataFrame:
-    """Pairs that meet in the keys. The XOR of a hash's words is compared first: its distance is never larger."""
-    a = rows.select(*on, F.col("ord").alias("ord_a"), F.col("path").alias("path_a"), F.col("words").alias("wa"), F.col("fold").alias("fa"))
-    b = rows.select(*on, F.col("ord").alias("ord_b"), F.col("path").alias("path_b"), F.col("words").alias("wb"), F.col("fold").alias("fb"))
-    met = a.join(b, on).where((F.col("ord_a") < F.col("ord_b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= threshold))
-    return met.withColumn("distance", hamming(F.col("wa"), F.col("wb"))).where(F.col("distance") <= threshold).select("path_a", "path_b", "ord_a", "ord_b", *SPACE, "distance")
+    reps = ws.save(reps.select("ord", "path", *SPACE, "code").where("space IS NOT NULL"), "reps")
+    codes = reps.select(F.col("ord").alias("id"), F.lit(False).alias("many"), F.col("space").cast("string").alias("space"), "bits", "code")
+    close = ws.save(close_codes(ws, codes, lambda bits: threshold).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), "distance"), "close")
+    a = reps.select(F.col("ord").alias("ord_a"), F.col("path").alias("path_a"), *SPACE)
+    b = reps.select(F.col("ord").alias("ord_b"), F.col("path").alias("path_b"))
+    return close.join(a, "ord_a").join(b, "ord_b").select("path_a", "path_b", "ord_a", "ord_b", *SPACE, "distance")
 
 
 def exact_edges(rows: DataFrame) -> DataFrame:
-    """One edge from each file of an equal hash to the next in input order; n files give n - 1."""
-    window = Window.partitionBy(*SPACE, "words").orderBy("ord")
-    chained = rows.select("*", F.lag("path").over(window).alias("path_a"), F.lag("ord").over(window).alias("ord_a")).where(F.col("ord_a").isNotNull())
-    return chained.select("path_a", F.col("path").alias("path_b"), "ord_a", F.col("ord").alias("ord_b"), *SPACE, F.lit(0).alias("distance"))
+    """One edge from each file of an equal hash to the next in input order; n files give n - 1.
+
+    The files are cut into ranges of (hash, order), so a much repeated hash is spread over many tasks; each looks back
+    within its range, and the first file of a range at the last one of the range before.
+    """
+    ws = Workspace(rows.sparkSession, "chain")
+    order = [*SPACE, "code", "ord"]
+    parts = ws.save(rows.select(*order, "path").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "parts")
+    here = F.struct(*order, "path")
+    window = Window.partitionBy("part").orderBy(*order)
+    # one row per range
+    ends = parts.groupBy("part").agg(F.max(here).alias("last")).withColumn("before", F.lag("last").over(Window.orderBy("part"))).select("part", "before")
+    linked = parts.withColumn("prior", F.lag(here).over(window)).join(F.broadcast(ends), "part").withColumn("prior", F.coalesce("prior", "before"))
+    same = F.lit(True)
+    for c in (*SPACE, "code"):
+        same = same & F.col(f"prior.{c}").eqNullSafe(F.col(c))
+    linked = linked.where(F.col("prior").isNotNull() & same)
+    return linked.select(F.col("prior.path").alias("path_a"), F.col("path").alias("path_b"), F.col("prior.ord").alias("ord_a"), F.col("ord").alias("ord_b"), *SPACE, F.lit(0).alias("distance"))
 
 
 def edges(rows: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
@@ -129,9 +121,3 @@ def _running_number(df: DataFrame, order: list[Column]) -> DataFrame:
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row per partition
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return parts.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("group_number", (F.col("__local") + F.col("__before")).cast("bigint")).drop("__part", "__local", "__before")
-
-
-def collected_groups(members: DataFrame) -> DataFrame:
-    """One row per group with its files in path order; for export of groups, whose size the caller has bounded."""
-    files = F.transform(F.array_sort(F.collect_list(F.struct(path_key(F.col("path")).alias("k"), "path"))), lambda s: s["path"])
-    return members.groupBy("group_number", "space").agg(files.alias("files"), F.count("*").alias("n_files"))

@@ -149,7 +149,7 @@ def hamming_threshold_all(spark, folder):
     """A threshold as wide as the hash pairs all different hashes: each found pair counts for all files of both hashes, and equal ones pair among themselves."""
     rows = vector_hashes(spark, folder).select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("path"), "hash", F.lit("v").alias("space"))
     rows = hamming.parsed(rows, "path", "hash", "space", "ord", strict=False)
-    counted = rows.groupBy(*hamming.SPACE, "words").agg(F.min("ord").alias("ord"), F.count("*").alias("m"))
+    counted = rows.groupBy(*hamming.SPACE, "code").agg(F.min("ord").alias("ord"), F.count("*").alias("m"))
     # the join hands paths through; the counts travel in their place
     found = hamming.near_edges(counted.withColumnRenamed("m", "path"), 64)
     across = found.agg(F.coalesce(F.sum(F.col("path_a") * F.col("path_b")), F.lit(0)).alias("n"))
