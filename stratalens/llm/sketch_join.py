@@ -5,13 +5,9 @@ sketches is at most the size of the symmetric difference of the sets. For a perc
 and h is one to one, so the sketch loses nothing and spreads neighbouring bits, which often agree, over all bands. For
 other sets (near_sets) several tokens may share a bit; the sketch only finds candidates, and the sets are compared.
 
-A sketch is cut into bound + t bands. Two sketches within the bound agree in at least t of them (pigeonhole), so they
-meet under a key made of t bands; more rows want a larger t, with more but much rarer keys. Records that share a key
-are compared in one task, ordered by the sizes of their sets: only sizes that differ by at most the bound (the size
-band of a record) are compared, as arrays of words. A pair counts only under the first t bands in which it agrees, so
-no pair comes twice and nothing has to be made distinct. Keys with more than `most` records are cut into finer keys
-by bands over the bits they don't hold yet, and what is still too large into blocks that are compared two by two; so
-no task ever holds more than twice `most` records of a key.
+Sketches meet by the pigeonhole principle: cut into bound + t bands, two within the bound agree in t of them, and under
+such a key they are compared in order of the sizes of their sets, so that only sizes within the bound of each other
+(the size band of a record) are looked at. operators/bit_join.py says how keys stay small, whatever the data.
 
 Equal hashes form a class, named by its smallest ident; only classes are compared. near_classes() gives the members
 and the links between classes; near_pairs() expands them, as p5_found must list every pair.
@@ -19,29 +15,17 @@ and the links between classes; near_pairs() expands them, as p5_found must list
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-from math import comb, gcd
+from math import gcd
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratalens.functions.hashing import digest_fields, digest_of
+from stratalens.operators.bit_join import MOST, band_plan, close_codes, plain_bits, probes
 from stratalens.operators.skew import lookup
 from stratalens.work import Workspace
 
-#: Records that are compared under one key; more are cut into finer keys or blocks.
-MOST = 8192
-#: Keys that one partition of the join should hold.
-KEYS_PER_TASK = 500_000
-#: Runs of at most so many records are compared together, row against the d-th next row.
-SHORT = 48
-#: Cells of one array of distances.
-CELLS = 1 << 21
-
 
 def parity_words(tokens: str, bits: int) -> Column:
     """The parity sketch of an array of tokens as 64-bit words: bit hash(t) % bits is flipped for every token t."""
@@ -50,29 +34,7 @@ def parity_words(tokens: str, bits: int) -> Column:
     return F.array(*[F.aggregate(spots, F.lit(0).cast("bigint"), flip(w)) for w in range((bits + 63) // 64)])
 
 
-# ---------------------------------------------------------------- bands and keys
-
-
-def band_plan(bits: int, bound: int, joint: int = 1) -> list[tuple[int, int, int, int, int, int]]:
-    """(bits, band, word, first bit, width, radius) of the bound + joint bands of a sketch; all are looked up exactly."""
-    bands = min(bound + joint, bits)
-    cuts = [bits * i // bands for i in range(bands + 1)]
-    return [(bits, i, cuts[i] // 64, cuts[i], cuts[i + 1] - cuts[i], 0) for i in range(bands)]
-
-
-def probes(bits: int, bound: int, joint: int = 1) -> list[tuple[int, ...]]:
-    """The bands that make up each key of a record: all combinations of `joint` bands."""
-    return list(combinations(range(min(bound + joint, bits)), joint))
-
-
-def choose_joint(bits: int, bound: int, rows: int) -> int:
-    """How many bands a key should hold for so many rows: shuffled keys against compared pairs (measured in keys)."""
-
-    def cost(joint: int) -> float:
-        bands = bound + joint
-        return comb(bands, joint) * (1 + rows / 2.0 ** min(60.0, bits * joint / bands) / 3000)
-
-    return min((j for j in (1, 2, 3) if bound + j <= bits), key=cost, default=1)
+# ---------------------------------------------------------------- sketches
 
 
 def spots(bits: int) -> np.ndarray:
@@ -83,230 +45,16 @@ def spots(bits: int) -> np.ndarray:
 
 def sketch_bits(codes: list[bytes], bits: int) -> np.ndarray:
     """One line of bits per code: the parity sketch of its set bits."""
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return np.unpackbits(raw, axis=1)[:, -bits:][:, spots(bits)]
-
-
-def as_words(lines: np.ndarray) -> np.ndarray:
-    """Lines of bits as 64-bit words, padded with zeros."""
-    padded = np.zeros((len(lines), -(-lines.shape[1] // 64) * 64), np.uint8)
-    padded[:, : lines.shape[1]] = lines
-    return np.packbits(padded, axis=1).view(np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def key_of(base: np.ndarray, number: int, lines: np.ndarray) -> np.ndarray:
-    """A 64-bit key of a base, the number of the combination and the bits chosen by it."""
-    key = _mix(base + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    for word in as_words(lines).T:
-        key = _mix(key ^ word)
-    return key
-
-
-def _columns(plan: list, bands: tuple[int, ...]) -> np.ndarray:
-    return np.concatenate([np.arange(plan[b][3], plan[b][3] + plan[b][4]) for b in bands])
-
-
-def finer(bits: int, bound: int, joint: int, bands: tuple[int, ...]) -> list[np.ndarray]:
-    """The bits outside the given bands, cut into bound + 1 finer bands; none if there are too few bits."""
-    rest = np.setdiff1d(np.arange(bits), _columns(band_plan(bits, bound, joint), bands))
-    return np.array_split(rest, bound + 1) if len(rest) > bound else []
-
-
-def _masks(bits: int, parts: list[np.ndarray]) -> np.ndarray:
-    lines = np.zeros((len(parts), bits), np.uint8)
-    for i, part in enumerate(parts):
-        lines[i, part] = 1
-    return as_words(lines)
-
-
-KEYS = "grp bigint, key bigint, combo int, fine int, side int, bits int, id {id}, many boolean, sketch binary"
-
-
-def _keyed(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """(grp, bits, id, many, code) to one row per key."""
-    for batch in batches:
-        for bits, rows in batch.groupby("bits", sort=False):
-            bits = int(bits)
-            if not bounds.get(bits):
-                continue
-            lines = sketch_bits(list(rows.code), bits)
-            packed = as_words(lines)
-            sketch = [w.tobytes() for w in packed]
-            base = rows.grp.to_numpy(np.int64).view(np.uint64)
-            plan = band_plan(bits, bounds[bits], joints[bits])
-            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
-                key = key_of(base, number, lines[:, _columns(plan, bands)]).view(np.int64)
-                yield pd.DataFrame({"grp": rows.grp, "key": key, "combo": number, "fine": -1, "side": 0, "bits": bits, "id": rows.id, "many": rows.many, "sketch": sketch})
-
-
-def _counted(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """(grp, key, n): how often each key of _keyed() occurs in a batch."""
-    for batch in batches:
-        for bits, rows in batch.groupby("bits", sort=False):
-            bits = int(bits)
-            if not bounds.get(bits):
-                continue
-            lines = sketch_bits(list(rows.code), bits)
-            grp = rows.grp.to_numpy(np.int64)
-            plan = band_plan(bits, bounds[bits], joints[bits])
-            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
-                key = key_of(grp.view(np.uint64), number, lines[:, _columns(plan, bands)]).view(np.int64)
-                keys, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pd.DataFrame({"grp": grp[first], "key": keys, "n": n})
-
-
-def _refined(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Rows of keys that are too large, under finer keys."""
-    for batch in batches:
-        for (bits, number), rows in batch.groupby(["bits", "combo"], sort=False):
-            bits, number = int(bits), int(number)
-            bands = probes(bits, bounds[bits], joints[bits])[number]
-            parts = finer(bits, bounds[bits], joints[bits], bands)
-            if not parts:
-                yield rows
-                continue
-            packed = np.frombuffer(b"".join(rows.sketch), np.uint8).reshape(len(rows), -1)
-            lines = np.unpackbits(packed, axis=1)[:, :bits]
-            base = rows.key.to_numpy(np.int64).view(np.uint64)
-            for fine, columns in enumerate(parts):
-                yield rows.assign(key=key_of(base, fine, lines[:, columns]).view(np.int64), fine=fine)
-
-
-# ---------------------------------------------------------------- comparison within keys
-
-
-def _short_runs(words: np.ndarray, size: np.ndarray, ends: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Close pairs (i, j) of rows in one run; ends[i] is where the run of row i ends, i itself for rows to skip."""
-    first, step = np.arange(len(words)), 1
-    while len(first := first[first + step < ends[first]]):
-        near = first[size[first + step] - size[first] <= bound]
-        apart = np.bitwise_count(words[near] ^ words[near + step]).sum(1, dtype=np.int64)
-        yield near[apart <= bound], near[apart <= bound] + step
-        step += 1
-
-
-def _long_run(words: np.ndarray, size: np.ndarray, start: int, end: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Close pairs (i, j) of the rows start .. end - 1, in order of size: block by block within the size band."""
-    at = start
-    while at < end:
-        block = max(1, min(end - at, CELLS // (end - at)))
-        stop = start + int(np.searchsorted(size[start:end], size[at + block - 1] + bound, "right"))
-        apart = np.zeros((block, stop - at), np.uint16)
-        for w in range(words.shape[1]):
-            apart += np.bitwise_count(words[at : at + block, w, None] ^ words[None, at:stop, w])
-        i, j = np.nonzero(apart <= bound)
-        yield at + i[i < j], at + j[i < j]
-        at += block
-
-
-def _agreeing(words: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray, wanted: np.ndarray, joint: int) -> np.ndarray:
-    """Whether the first `joint` bands in which each pair agrees are the wanted ones."""
-    same = ~((words[i] ^ words[j])[:, None, :] & masks[None]).any(2)
-    first = same & (np.cumsum(same, axis=1) <= joint)
-    return (first == wanted).all(1)
-
-
-def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    for bits, part in rows.groupby("bits", sort=False):
-        bits = int(bits)
-        bound, joint = bounds[bits], joints[bits]
-        words = np.frombuffer(b"".join(part.sketch), np.uint64).reshape(len(part), -1)
-        size = np.bitwise_count(words).sum(1, dtype=np.int64)
-        grp, key = part.grp.to_numpy(), part.key.to_numpy()
-        order = np.lexsort((size, key, grp))
-        words, size, grp, key = words[order], size[order], grp[order], key[order]
-        starts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (key[1:] != key[:-1])]))
-        counts = np.diff(np.concatenate([starts, [len(part)]]))
-        ends = np.repeat(np.where(counts <= SHORT, starts + counts, 0), counts)
-        found = list(_short_runs(words, size, ends, bound))
-        for s, n in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist(), strict=True):
-            found += _long_run(words, size, s, s + n, bound)
-        if not found:
-            continue
-        i, j = (np.concatenate(side) for side in zip(*found, strict=True))
-        side, combo, fine = (part[c].to_numpy()[order] for c in ("side", "combo", "fine"))
-        keep = (side[i] == 0) | (side[i] != side[j])
-        i, j = i[keep], j[keep]
-        plan = band_plan(bits, bound, joint)
-        masks = _masks(bits, [_columns(plan, (b,)) for b in range(len(plan))])
-        chosen = probes(bits, bound, joint)
-        keep = np.zeros(len(i), bool)
-        for number in np.unique(combo[i]):
-            of = np.flatnonzero(combo[i] == number)
-            wanted = np.isin(np.arange(len(plan)), chosen[number])
-            ok = _agreeing(words, i[of], j[of], masks, wanted, joint)
-            if (cut := fine[i[of]] >= 0).any():
-                parts = finer(bits, bound, joint, chosen[number])
-                wanted = fine[i[of[cut]], None] == np.arange(len(parts))
-                ok[cut] &= _agreeing(words, i[of[cut]], j[of[cut]], _masks(bits, parts), wanted, 1)
-            keep[of] = ok
-        i, j = i[keep], j[keep]
-        ids, many = part.id.to_numpy()[order], part.many.to_numpy()[order]
-        yield pd.DataFrame({"a": ids[i], "b": ids[j], "distance": np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32), "many": many[i] | many[j]})
-
-
-def _compared(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (grp, key) to close pairs; a key that runs over the end of a batch waits for the next one."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = rows.iloc[-1] if len(rows) else None
-        if last is None:
-            continue
-        open_ = (rows.grp == last.grp) & (rows.key == last.key)
-        held = rows[open_]
-        yield from _found(rows[~open_], joints, bounds)
-    if held is not None:
-        yield from _found(held, joints, bounds)
+    return plain_bits(codes, bits)[:, spots(bits)]
 
 
 def close_sketches(ws: Workspace, sketches: DataFrame, permille: int, joint: int | None = None, most: int = MOST) -> DataFrame:
     """(a, b, distance, many), a < b: different sketches of one space and width that differ in at most permille/1000 of the bits.
 
-    sketches: a stored table (id, many, space, bits, code) without repeated (space, bits, code); many is handed through
-    for either of the two. joint overrides the choice of the bands per key.
+    sketches: a stored table (id, many, space, bits, code) without repeated (space, bits, code); the sketches are made
+    from the codes where the keys are.
     """
-    sizes = sketches.groupBy("space", "bits").agg(F.count("*").alias("n")).groupBy("bits").agg(F.max("n").alias("n"), F.sum("n").alias("total")).collect()  # one row per width
-    bounds = {r.bits: r.bits * permille // 1000 for r in sizes}
-    joints = {r.bits: min(joint or choose_joint(r.bits, bounds[r.bits], r.n), max(1, r.bits - bounds[r.bits])) for r in sizes}
-    total = sum(r.total * len(probes(r.bits, bounds[r.bits], joints[r.bits])) for r in sizes if bounds[r.bits])
-    kind = sketches.schema["id"].dataType
-    schema = KEYS.format(id=kind.simpleString())
-    rows = sketches.select(F.xxhash64("space", "bits").alias("grp"), "bits", "id", "many", "code")
-    keys = rows.mapInPandas(lambda batches: _keyed(batches, joints, bounds), schema)
-
-    def large(counts: DataFrame, name: str) -> DataFrame | None:
-        """The keys with more than `most` rows, by counts that combine before their shuffle."""
-        counted = ws.save(counts.groupBy("grp", "key").agg(F.sum("n").alias("n")).where(F.col("n") > most), name)
-        return counted if counted.take(1) else None
-
-    # two different (space, bits) whose grp and key are both equal would only be counted together
-    if (hot := large(rows.mapInPandas(lambda batches: _counted(batches, joints, bounds), "grp bigint, key bigint, n bigint"), "large")) is not None:
-        parts = [keys.join(hot, ["grp", "key"], "left_anti")]
-        columns = keys.columns
-        fine = ws.save(keys.join(hot.drop("n"), ["grp", "key"], "left_semi").select(*columns).mapInPandas(lambda batches: _refined(batches, joints, bounds), schema), "fine")
-        if (hotter := large(fine.select("grp", "key", F.lit(1).alias("n")), "larger")) is not None:
-            parts.append(fine.join(hotter, ["grp", "key"], "left_anti"))
-            blocks = fine.join(hotter, ["grp", "key"]).withColumn("of", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-            blocks = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-            side = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2)
-            parts.append(blocks.withColumn("side", side).withColumn("key", F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).select(*columns))
-        else:
-            parts.append(fine)
-        keys = parts[0].select(*columns)
-        for part in parts[1:]:
-            keys = keys.unionByName(part.select(*columns))
-    # no key has more than twice `most` rows now, so plain hash partitions are even
-    partitions = max(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // KEYS_PER_TASK)
-    met = keys.repartition(partitions, "grp", "key").sortWithinPartitions("grp", "key")
-    close = met.mapInPandas(lambda batches: _compared(batches, joints, bounds), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.IntegerType()), T.StructField("many", T.BooleanType())]))
-    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "many")
+    return close_codes(ws, sketches, lambda bits: bits * permille // 1000, sketch_bits, joint, most)
 
 
 # ---------------------------------------------------------------- hashes
