@@ -104,6 +104,8 @@ def orphans(refs: DataFrame, owners: DataFrame, grace_hours: int = 24) -> DataFr
 
     Grace periods of at least a day are decided by bitmaps of days and then, for the late ones, by the exact times.
     """
+    if grace_hours < 24:
+        raise ValueError("grace_hours must be at least 24: the bitmaps tell days apart, not hours")
     spark = refs.sparkSession
     ws = Workspace(spark, "orphans")
     refs = ws.save(refs.withColumn("day", F.coalesce(_day("arrived"), F.lit(NEVER))), "refs")

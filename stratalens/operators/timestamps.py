@@ -134,7 +134,7 @@ def parse_instants(df: DataFrame, raw: str, zone: str, out: str = "utc_micros")
 
 
 class TimestampDictionary:
-    """A growing table of (source, text, zone, instant); update() parses and appends only what it hasn't seen."""
+    """A growing table of (source, text, zone, instant); update() parses and appends only what it hasn't seen. One writer at a time."""
 
     SCHEMA = "source string, raw string, zone string, utc_micros bigint"
 

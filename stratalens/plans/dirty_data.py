@@ -9,6 +9,7 @@ from stratalens.operators import orphans as o
 from stratalens.operators.latest import latest_rows
 from stratalens.operators.timestamps import CANONICAL, normalise
 from stratalens.tables import table
+from stratalens.work import work_dir
 
 
 def timestamp_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,16 +32,21 @@ def timestamp_rows(spark: SparkSession, folder: str) -> DataFrame:
     return both.join(zones, "run_id", "left").select("field", "record_key", "raw", "zone").unionByName(started.where(F.col("raw").isNotNull()))
 
 
+def dictionary_path(spark: SparkSession) -> str:
+    """The dictionary of all texts ever parsed, in the work folder; an instant depends on text and zone alone, so all runs share it."""
+    return f"{work_dir(spark)}/timestamp-dictionary"
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every timestamp text that names an instant and isn't canonical, with that instant."""
     rows = timestamp_rows(spark, folder).withColumnRenamed("field", "source")
-    return normalise(rows).where(F.col("utc_micros").isNotNull()).select(F.col("source").alias("field"), "record_key", "utc_micros").distinct()
+    return normalise(rows, dictionary_path(spark)).where(F.col("utc_micros").isNotNull()).select(F.col("source").alias("field"), "record_key", "utc_micros").distinct()
 
 
 def p2_unreadable(spark: SparkSession, folder: str) -> DataFrame:
-    """How many distinct texts and rows per field are not canonical, readable or not."""
+    """How many rows per field are not canonical, readable or not."""
     rows = timestamp_rows(spark, folder).withColumnRenamed("field", "source")
-    return normalise(rows).groupBy(F.col("source").alias("field"), F.col("utc_micros").isNotNull().alias("readable")).agg(F.count("*").alias("n_rows"))
+    return normalise(rows, dictionary_path(spark)).groupBy(F.col("source").alias("field"), F.col("utc_micros").isNotNull().alias("readable")).agg(F.count("*").alias("n_rows"))
 
 
 def broken_references(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import shutil
 import subprocess
 from collections.abc import Iterator
@@ -73,13 +72,9 @@ def probe(files: DataFrame, path: str = "path", program: str = "ffprobe", second
                     continue
                 try:
                     run = subprocess.run([found, "-v", "error", "-print_format", "json", "-show_format", "-show_streams", "--", name], capture_output=True, timeout=seconds)
-                    rows.append((name, run.stdout.decode("utf-8", "replace"), None) if not run.returncode else (name, None, run.stderr.decode("utf-8", "replace")[:1000]))
+                    rows.append((name, run.stdout.decode("utf-8", "replace"), None) if not run.returncode else (name, None, run.stderr.decode("utf-8", "replace")))
                 except (OSError, subprocess.TimeoutExpired) as error:
                     rows.append((name, None, str(error)))
             yield pd.DataFrame(rows, columns=["path", "payload", "error"])
 
     return files.select(path).mapInPandas(work, "path string, payload string, error string")
-
-
-def as_json(**fields: object) -> str:
-    return json.dumps(fields, sort_keys=True)
