@@ -1,34 +1,48 @@
 """Full-text search over some columns of a table: postings with positions, phrases, and BM25 relevance.
 
 Tokens are runs of letters and digits in lower case without accents; everything else, underscores included, separates.
-A query's white-space separated terms are phrases that must all occur, each within one column; no prefixes. matches()
-takes raw expressions: "phrases", AND, OR, NOT, prefix*, column:term and parentheses; other syntax is an error.
-Relevance is negative, best first, as in the usual embedded full-text engines (k1 = 1.2, b = 0.75).
+Queries and texts are folded by one table. A query's white-space separated terms are phrases that must all occur, each
+within one column; no prefixes. matches() takes raw expressions: "phrases", AND, OR, NOT, prefix*, column:term and
+parentheses; other syntax is an error. Relevance is negative, best first, as in the usual embedded full-text engines
+(k1 = 1.2, b = 0.75). search() reads the texts; SearchIndex keeps postings, of which a query reads those of its tokens.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.errors import ReportError
 
 K1, B = 1.2, 0.75
-_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēĕęěğģīįłńňőŕřśşšţťũūůűųźżž"
-_TO = "".join(unicodedata.normalize("NFD", c)[0] if c not in "đł" else {"đ": "d", "ł": "l"}[c] for c in _FROM)
+#: Files into which the postings are parted by the hash of their token.
+BUCKETS = 64
+
+
+@lru_cache(1)
+def folding() -> tuple[str, str]:
+    """The letters that are a base letter with accents, and those base letters, by the Unicode decompositions (for translate)."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            pairs.append((chr(code), base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
 def plain(text: str) -> list[str]:
     """The tokens of a query term."""
-    low = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower().translate(str.maketrans(*folding()))
+    low = "".join(c for c in low if not unicodedata.category(c).startswith("M"))
     return re.findall(r"[^\W_]+", low)
 
 
 def tokens(text: Column) -> Column:
-    low = F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"\p{M}", "")
+    low = F.regexp_replace(F.translate(F.lower(text), *folding()), r"\p{M}", "")
     return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
@@ -52,8 +66,6 @@ def search(rows: DataFrame, ident: str, columns: list[str], query: str) -> DataF
     wanted = phrases(query)
     if not wanted:
         return rows.select(F.col(ident).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    if len(wanted) > 64:
-        raise ReportError("too many search terms", operation="search")
     # one pass over the texts: the length of a row, and how often each phrase occurs in its columns
     lists = rows.select(F.col(ident).alias("doc"), *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"t{i}") for i, c in enumerate(columns)])
     # every token between blanks of its own, columns apart, so that a phrase is a plain piece of text
@@ -64,13 +76,60 @@ def search(rows: DataFrame, ident: str, columns: list[str], query: str) -> DataF
     counted = lists.select("doc", "len", *[h.alias(f"h{i}") for i, h in enumerate(hits)])
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
     every = F.lit(True)
-    score = F.lit(0.0)
     for i in range(len(wanted)):
         every = every & (F.col(f"h{i}") > 0)
+    return counted.where(every).crossJoin(F.broadcast(totals)).select("doc", (-_relevance(len(wanted))).alias("score"))  # totals is one row
+
+
+class SearchIndex:
+    """Postings and row lengths of some columns, stored under a folder of the shared file system."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, rows: DataFrame, ident: str, columns: list[str]) -> SearchIndex:
+        """Write the index of all rows, replacing what is there. A row without text in any column counts, with length 0."""
+        found = postings(rows, ident, columns).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+        # a token that a third of all rows hold is spread over its bucket's files, not gathered in one task
+        found = found.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("bucket", "token", "doc", "col", "pos")
+        found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        size = lambda c: F.coalesce(F.size(tokens(F.col(c))), F.lit(0))
+        rows.select(F.col(ident).alias("doc"), sum((size(c) for c in columns[1:]), size(columns[0])).alias("len")).write.mode("overwrite").parquet(f"{self.path}/lengths")
+        return self
+
+    def _hits(self, phrase: list[str]) -> DataFrame:
+        """(doc, h): how often the phrase occurs in each row's columns."""
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in dict.fromkeys(phrase)], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")).collect()]
+        kind = self.spark.read.parquet(f"{self.path}/lengths").schema["doc"].dataType.simpleString()
+        stored = self.spark.read.schema(f"doc {kind}, col string, pos int, token string, bucket int").parquet(f"{self.path}/postings").where(F.col("bucket").isin(*buckets))
+        at = lambda n: stored.where(F.col("token") == phrase[n]).select("doc", "col", (F.col("pos") - n).alias("start"))
+        starts = at(0)
+        for n in range(1, len(phrase)):
+            starts = starts.join(at(n), ["doc", "col", "start"])
+        return starts.groupBy("doc").agg(F.count("*").alias("h"))
+
+    def search(self, query: str) -> DataFrame:
+        """What search() finds over the indexed rows: (doc, score) of those with all phrases. Row idents must not repeat."""
+        wanted = phrases(query)
+        lengths = self.spark.read.parquet(f"{self.path}/lengths")
+        if not wanted:
+            return lengths.select("doc", F.lit(0.0).alias("score")).limit(0)
+        found, totals = None, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+        for i, phrase in enumerate(wanted):
+            hits = self._hits(phrase).withColumnRenamed("h", f"h{i}")
+            totals = totals.crossJoin(hits.agg(F.count("*").alias(f"n{i}")))  # one row each
+            found = hits if found is None else found.join(hits, "doc")
+        scored = found.join(lengths, "doc").crossJoin(F.broadcast(totals))  # totals is one row
+        return scored.select("doc", (-_relevance(len(wanted))).alias("score"))
+
+
+def _relevance(terms: int) -> Column:
+    """BM25 over h0, h1, ... (occurrences), n0, n1, ... (rows with the phrase), len, n and avg."""
+    score = F.lit(0.0)
+    for i in range(terms):
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * F.col(f"h{i}") * (K1 + 1) / (F.col(f"h{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return counted.where(every).crossJoin(F.broadcast(totals)).select("doc", (-score).alias("score"))  # totals is one row
+        score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * F.col(f"h{i}") * (K1 + 1) / (F.col(f"h{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    return score
 
 
 def ranked(rows: DataFrame, ident: str, columns: list[str], query: str, run: tuple[str, int] | None = None) -> DataFrame:

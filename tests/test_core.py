@@ -181,6 +181,20 @@ def test_search_against_sqlite(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_search_index_equals_search(spark, tmp_path):
+    rows = [(1, "Łódź Ελλάδα harbor harbor", "x"), (2, "lodz harbor", "harbor boat"), (3, None, None), (4, "boat harbor, BOAT Harbor", "Đak ảbc ǧak"), (5, "ΕΛΛΆΔΑ abc", "")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    index = search.SearchIndex(spark, f"file:{tmp_path}/index").build(df, "id", ["a", "b"])
+    found = {}
+    for query in ("harbor", '"boat harbor"', "harbor boat", "Łódź", "łodz", "ελλαδα", "Ảbc", "ǧak đak", "abc", "none", ""):
+        want = {r.doc: r.score for r in search.search(df, "id", ["a", "b"], query).collect()}
+        got = {r.doc: r.score for r in index.search(query).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), query
+        found[query] = set(got)
+    assert found["Łódź"] == found["łodz"] == {1} and found["ελλαδα"] == {1, 5} and found["Ảbc"] == {4, 5} and found["ǧak đak"] == {4} and found["abc"] == {4, 5}
+    assert search.SearchIndex(spark, f"file:{tmp_path}/none").build(df.limit(0), "id", ["a"]).search("x").count() == 0
+
+
 def test_raw_search_expressions_against_sqlite(spark):
     rows = [(1, "red harbor", "x one"), (2, "red boat", "harbor"), (3, "blue boats", ""), (4, None, "red red")]
     db = sqlite3.connect(":memory:")
