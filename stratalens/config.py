@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import copy
 import json
 import os
@@ -22,18 +23,35 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
+# The words that are true; everything else is false.
+TRUE_WORDS = ("t", "true", "enabled", "1", "on", "yes")
+
+
 def _boolean(text: str) -> bool:
-    low = text.strip().lower()
-    if low in ("true", "1", "yes", "on", "t", "y", "ok", "enabled"):
-        return True
-    if low in ("false", "0", "no", "off", "f", "n", "disabled", ""):
-        return False
-    raise ValueError(f"not a boolean: {text!r}")
+    return text.strip().lower() in TRUE_WORDS
+
+
+def _json(text: str) -> Any:
+    """JSON; else the first object within the text, Python's constants after colons allowed; else a Python literal."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        pass
+    relaxed = re.sub(r"(: ?)(True|False|None)", lambda m: m[1] + {"True": "true", "False": "false", "None": "null"}[m[2]], text)
+    for brace in (m.start() for m in re.finditer(r"\{", relaxed)):
+        try:
+            return json.JSONDecoder().raw_decode(relaxed[brace:])[0]
+        except ValueError:
+            continue
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError) as error:
+        raise ValueError(f"not JSON: {text}") from error
 
 
 # The cast markers that values may begin with, and those that are refused.
 CASTS: dict[str, Callable[[str], Any]] = {
-    "@str": str, "@int": int, "@float": float, "@bool": _boolean, "@json": json.loads, "@none": lambda _: None, "@null": lambda _: None, "@note": lambda _: None, "@comment": lambda _: None,
+    "@str": str, "@int": int, "@float": float, "@bool": _boolean, "@json": _json, "@none": lambda _: None, "@null": lambda _: None, "@note": lambda _: None, "@comment": lambda _: None,
     "@upper": str.upper, "@lower": str.lower, "@title": str.title, "@capitalize": str.capitalize, "@strip": str.strip, "@lstrip": str.lstrip, "@rstrip": str.rstrip, "@split": str.split,
     "@casefold": str.casefold, "@swapcase": str.swapcase,
 }

@@ -47,6 +47,11 @@ def normalize_extension(text: Column) -> Column:
     return F.lower(F.when(suffix != "", suffix).when(bare, last).otherwise(hidden))
 
 
+def format_of(path: Column) -> Column:
+    """The image format that a suffix names, in upper case; null without a suffix."""
+    return F.nullif(F.upper(F.regexp_extract(basename(path), r"\A.+\.([^.]+)\z", 1)), F.lit(""))
+
+
 def name_types() -> dict[str, str]:
     """extension -> image, video or audio, from the MIME table shipped with Python and the raw supplement."""
     table = mimetypes.MimeTypes(filenames=())

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import media_bytes
-from stratalens.functions.text import basename, media_type, normalize_extension, sniff
+from stratalens.functions.text import basename, format_of, media_type, normalize_extension, sniff
+from stratalens.schemas import METADATA
+from stratalens.sources import probes
 
 LISTING = "rel string, is_dir boolean, is_symlink boolean, size bigint, mtime double, resolved string"
 #: Cells hold whole files, so the content of larger ones isn't read: null, with an issue.
@@ -59,6 +61,37 @@ def with_image_metadata(files: DataFrame) -> DataFrame:
     return df.withColumn("captured_at", capture_time(F.col("exif")["DateTimeOriginal"], F.col("exif")["DateTime"]))
 
 
+def extract(files: DataFrame) -> DataFrame:
+    """(path, media_type, metadata, error) of files (path, size, media_type, content, and payload if a probe ran).
+
+    Dispatch by media type: pictures by their bytes, or, where no header can be read, by the size and time in their EXIF
+    tags and their suffix; videos and sounds by the probe's output. What gives nothing has an error, and metadata null.
+    """
+    payload = F.col("payload") if "payload" in files.columns else F.lit(None).cast("string")
+    df = with_image_metadata(files.withColumn("content", F.when((F.col("media_type") == "image") & (F.col("size") > 0), F.col("content"))))
+    number = lambda *names: F.coalesce(*[F.col("exif")[n].try_cast("bigint") for n in names])
+    width, height = F.coalesce("header.width", number("ExifImageWidth", "ImageWidth")), F.coalesce("header.height", number("ExifImageHeight", "ImageLength"))
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = [f.rsplit(" ", 1) for f in METADATA.split(", ")]
+    shaped = lambda values: F.struct(*[values.get(n, none(k)).cast(k).alias(n) for n, k in fields])
+    image = shaped({
+        "width": width, "height": height, "image_format": F.coalesce("header.image_format", format_of(F.col("path"))), "color_mode": F.col("header.color_mode"),
+        "bit_depth": F.col("header.bit_depth"), "has_alpha": F.col("header.has_alpha"), "captured_at": F.col("captured_at"),
+    })
+    video, audio = probes.video_metadata(payload), probes.audio_metadata(payload)
+    taken = lambda source, *names: shaped({n: source[n] for n in names})
+    moving = taken(video, "width", "height", "duration_seconds", "codec", "bitrate", "frame_rate", "sample_rate", "channels", "captured_at")
+    sound = taken(audio, "duration_seconds", "codec", "bitrate", "sample_rate", "channels")
+    error = (
+        F.when(F.coalesce(F.col("size"), F.lit(0)) <= 0, "empty file")
+        .when(F.col("media_type").isNull(), "unsupported media type")
+        .when((F.col("media_type") == "image") & width.isNull() & height.isNull(), "unsupported or corrupt image")
+        .when((F.col("media_type") != "image") & video.isNull(), "no probe output")
+    )
+    metadata = F.when(F.col("media_type") == "image", image).when(F.col("media_type") == "video", moving).when(F.col("media_type") == "audio", sound)
+    return df.withColumn("error", error).select("path", "media_type", F.when(F.col("error").isNull(), metadata).alias("metadata"), "error")
+
+
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """One row about one file."""
     return with_image_metadata(regular_files(spark, path, content=True)).drop("content")
