@@ -35,8 +35,13 @@ def prune(cache: DataFrame, listing: DataFrame) -> DataFrame:
     return cache.join(listing.select("path").distinct(), "path", "left_semi")
 
 
+def clear(cache: DataFrame) -> DataFrame:
+    """The cache without entries."""
+    return cache.limit(0)
+
+
 def stats(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
-    """One row: entries, distinct paths, hits, misses, hit_rate (0 without lookups)."""
+    """One row: entries, distinct paths, hits, misses, hit_rate (0 without lookups). stored_bytes() tells the size on disk."""
     lookups = looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     return cache.agg(F.count("*").alias("entries"), F.count_distinct("path").alias("paths")).crossJoin(lookups).withColumn("hit_rate", ratio(F.col("hits"), F.col("hits") + F.col("misses")))
 

@@ -1,13 +1,15 @@
-"""The report store: versioned tables per run, published by swapping one small manifest file.
+"""The report store: versioned tables per run, published by one small manifest file per version.
 
-A run's tables are written under <root>/<table>/run_id=R/attempt=A; readers follow manifest.json, so a run appears or
-changes as a whole or not at all. One writer at a time. Ids are row numbers over a fixed order and have no meaning.
+A run's tables are parquet folders under <root>/<table>/run_id=R/attempt=A; readers follow the manifest of the highest
+version, so a run appears or changes as a whole or not at all. A writer publishes the version after the one it read;
+if another was faster, it fails with an error and nothing changes, so writers need no lock. Single rows are appended as
+further folders of their table. All files lie on the session's (shared) file system. Ids have no meaning but identity.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from stratalens.errors import ReportError
 from stratalens.functions.dates import default_time, report_time
 from stratalens.functions.text import basename
-from stratalens.schemas import SCHEMAS
-from stratalens.work import Workspace
+from stratalens.schemas import DOMAINS, SCHEMAS, schema
+from stratalens.work import SharedFiles, Workspace
 
 TERMINAL = ("completed", "failed")
 TABLES = ("report_runs", "media_files", "duplicate_groups", "operations")
@@ -87,56 +89,115 @@ def _ids(df: DataFrame, *order: str) -> DataFrame:
 class ReportStore:
     """Readers and all-or-nothing writers of report tables under one root folder."""
 
+    KEPT = 20  # manifests of older versions that stay
+
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        os.makedirs(self.root, exist_ok=True)
-
-    # manifest: {run_id: {table: path}}
-    def manifest(self) -> dict[str, dict[str, str]]:
-        try:
-            with open(f"{self.root}/manifest.json") as file:
-                return json.load(file)
-        except FileNotFoundError:
-            return {}
-
-    def _publish(self, manifest: dict) -> None:
-        temporary = f"{self.root}/.manifest-{uuid.uuid4().hex}"
-        with open(temporary, "w") as file:
-            json.dump(manifest, file, sort_keys=True)
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(temporary, f"{self.root}/manifest.json")
+        self.spark, self.root, self.files = spark, root.rstrip("/"), SharedFiles(spark)
+
+    def version(self) -> int:
+        """The version of the store; 0 is the empty one."""
+        found = (re.fullmatch(r"manifest-(\d+)\.json", name) for name in self.files.names(self.root))
+        return max((int(m[1]) for m in found if m), default=0)
+
+    # manifest: {run_id: {table: [paths]}}
+    def manifest(self, version: int | None = None) -> dict[str, dict[str, list[str]]]:
+        version = self.version() if version is None else version
+        return json.loads(self.files.read(f"{self.root}/manifest-{version:09d}.json")) if version else {}
+
+    def _publish(self, manifest: dict, after: int) -> None:
+        if not self.files.create(f"{self.root}/manifest-{after + 1:09d}.json", json.dumps(manifest, sort_keys=True)):
+            raise ReportError("the store was changed by another writer", operation="publish", details={"version": after + 1})
+        if after + 1 > self.KEPT:
+            self.files.delete(f"{self.root}/manifest-{after + 1 - self.KEPT:09d}.json")
+
+    def _write(self, name: str, run: int, df: DataFrame) -> str:
+        path = f"{self.root}/{name}/run_id={run}/attempt={uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
 
     def export(self, export: RunExport, run_id: int | None = None) -> int:
         """Write a run, replacing the one of that id; raises before anything is visible if the input is inconsistent."""
-        manifest = self.manifest()
+        version = self.version()
+        manifest = self.manifest(version)
         if run_id is not None and str(run_id) not in manifest:
             raise ReportError("the run to replace doesn't exist", operation="export_run", details={"run_id": run_id})
         if problem := violations(export.files, export.groups).first():
             raise ReportError(problem["problem"], operation="export_run", file_path=problem["path"])
-        run = run_id if run_id is not None else max(map(int, manifest), default=0) + 1
-        attempt, paths = uuid.uuid4().hex, {}
-        for name, df in build(export, run).items():
-            paths[name] = f"{self.root}/{name}/run_id={run}/attempt={attempt}"
-            df.write.parquet(paths[name])
-        self._publish(manifest | {str(run): paths})
+        run = run_id if run_id is not None else self._new_run(manifest)
+        paths = {name: [self._write(name, run, df)] for name, df in build(export, run).items()}
+        self._publish(manifest | {str(run): paths}, version)
         return run
 
+    @staticmethod
+    def _new_run(manifest: dict) -> int:
+        return max(map(int, manifest), default=0) + 1
+
     def table(self, name: str, run_id: int | None = None) -> DataFrame:
-        paths = [p[name] for r, p in self.manifest().items() if run_id is None or int(r) == run_id]
+        paths = [path for r, p in self.manifest().items() if run_id is None or int(r) == run_id for path in p.get(name, [])]
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def rewrite(self, run_id: int, changed: dict[str, DataFrame]) -> None:
         """Publish new versions of some tables of a run (copy on write)."""
-        manifest = self.manifest()
+        version = self.version()
+        manifest = self.manifest(version)
         if str(run_id) not in manifest:
             raise ReportError("no such run", details={"run_id": run_id})
-        attempt = uuid.uuid4().hex
         for name, df in changed.items():
-            path = f"{self.root}/{name}/run_id={run_id}/attempt={attempt}"
-            df.write.parquet(path)
-            manifest[str(run_id)][name] = path
-        self._publish(manifest)
+            manifest[str(run_id)][name] = [self._write(name, run_id, df)]
+        self._publish(manifest, version)
+
+    def _append(self, name: str, run_id: int, values: dict) -> int:
+        """One more row of a run's table, as a folder of its own; returns its id, the next one of the run."""
+        version = self.version()
+        manifest = self.manifest(version)
+        if str(run_id) not in manifest:
+            raise ReportError("no such run", details={"run_id": run_id})
+        ident = (self.table(name, run_id).agg(F.max("id")).first()[0] or 0) + 1
+        fields = schema(name).fieldNames()
+        if unknown := set(values) - set(fields):
+            raise ReportError(f"no such column: {min(unknown)}", operation=name)
+        row = {"id": ident, "run_id": run_id} | values
+        if (run_domain := DOMAINS.get((name, "media_type"))) and row.get("media_type") not in run_domain:
+            raise ReportError(f"not a media type: {row.get('media_type')}", operation=name)
+        for column in ("status", "operation"):
+            if (domain := DOMAINS.get((name, column))) and row.get(column) not in domain:
+                raise ReportError(f"not a {column}: {row.get(column)}", operation=name)
+        df = self.spark.createDataFrame([tuple(row.get(f) for f in fields)], SCHEMAS[name])
+        manifest[str(run_id)].setdefault(name, []).append(self._write(name, run_id, df))
+        self._publish(manifest, version)
+        return ident
+
+    def create_run(self, root_path: str, status: str = "running", notes: str | None = None) -> int:
+        """A run without files yet; returns its id."""
+        if status not in DOMAINS["report_runs", "status"]:
+            raise ReportError(f"not a status: {status}", operation="create_run")
+        version = self.version()
+        manifest = self.manifest(version)
+        run = self._new_run(manifest)
+        now = default_time(F.current_timestamp())
+        row = self.spark.range(1).select(
+            F.lit(run).cast("bigint").alias("id"), F.lit(root_path).alias("root_path"), F.lit(status).alias("status"), now.alias("started_at"), F.when(F.lit(status in TERMINAL), now).alias("completed_at"),
+            F.lit(0).cast("bigint").alias("total_files"), F.lit(0).cast("bigint").alias("duplicate_count"), F.lit(notes).cast("string").alias("notes"),
+        )
+        self._publish(manifest | {str(run): {"report_runs": [self._write("report_runs", run, row)]}}, version)
+        return run
+
+    def add_media_file(self, run_id: int, path: str, media_type: str, size_bytes: int, **values: object) -> int:
+        """A file of a run; further columns by name. Paths must not repeat within the run."""
+        if self.table("media_files", run_id).where(F.col("path") == path).take(1):
+            raise ReportError("duplicate path", operation="add_media_file", file_path=path)
+        return self._append("media_files", run_id, {"filename": path.rsplit("/", 1)[-1], "path": path, "media_type": media_type, "size_bytes": size_bytes} | values)
+
+    def add_duplicate_group(self, run_id: int, group_number: int, media_type: str, file_count: int = 0, **values: object) -> int:
+        if self.table("duplicate_groups", run_id).where(F.col("group_number") == group_number).take(1):
+            raise ReportError("duplicate group number", operation="add_duplicate_group", details={"group_number": group_number})
+        return self._append("duplicate_groups", run_id, {"group_number": group_number, "media_type": media_type, "file_count": file_count} | values)
+
+    def add_operation(self, run_id: int, operation: str, status: str, source: str | None = None, destination: str | None = None) -> int:
+        """An operation of a run; its file is the one its source names, if it is known."""
+        known = self.table("media_files", run_id).where(F.col("path") == source).select("id").first() if source else None
+        at = self.spark.range(1).select(default_time(F.current_timestamp())).first()[0]
+        return self._append("operations", run_id, {"operation": operation, "status": status, "source": source, "destination": destination, "media_file_id": known["id"] if known else None, "created_at": at})
 
     def list_runs(self) -> DataFrame:
         return self.table("report_runs").orderBy("started_at", "id")
@@ -159,25 +220,44 @@ class ReportStore:
         )
         self.rewrite(run_id, {"report_runs": runs})
 
-    def delete_group(self, run_id: int, group_number: int) -> None:
-        """Drop a group and detach its members."""
+    def delete_group(self, run_id: int, group_number: int) -> int:
+        """Drop a group and detach its members; how many groups went."""
+        if not (n := self.table("duplicate_groups", run_id).where(F.col("group_number") == group_number).count()):
+            return 0
         gone = F.col("group_id") == group_number
         files = self.table("media_files", run_id).withColumn("group_id", F.when(~F.coalesce(gone, F.lit(False)), F.col("group_id")))
         self.rewrite(run_id, {"duplicate_groups": self.table("duplicate_groups", run_id).where(F.col("group_number") != group_number), "media_files": files})
+        return n
 
-    def set_best_file(self, run_id: int, group_number: int, file_id: int) -> None:
+    def set_best_file(self, run_id: int, group_number: int, file_id: int) -> int:
+        """How many groups were changed."""
+        if not (n := self.table("duplicate_groups", run_id).where(F.col("group_number") == group_number).count()):
+            return 0
         best = F.when(F.col("group_number") == group_number, F.lit(file_id).cast("bigint")).otherwise(F.col("best_file_id"))
         self.rewrite(run_id, {"duplicate_groups": self.table("duplicate_groups", run_id).withColumn("best_file_id", best)})
+        return n
 
-    def assign_group(self, run_id: int, file_id: int, group_number: int | None) -> None:
+    def assign_group(self, run_id: int, file_id: int, group_number: int | None) -> int:
+        """How many files were changed."""
+        if not (n := self.table("media_files", run_id).where(F.col("id") == file_id).count()):
+            return 0
         group = F.when(F.col("id") == file_id, F.lit(group_number).cast("bigint")).otherwise(F.col("group_id"))
         self.rewrite(run_id, {"media_files": self.table("media_files", run_id).withColumn("group_id", group)})
+        return n
 
-    def update_metadata(self, run_id: int, file_id: int, metadata: str | None) -> None:
+    def update_metadata(self, run_id: int, file_id: int, metadata: str | None) -> int:
+        """How many files were changed."""
+        if not (n := self.table("media_files", run_id).where(F.col("id") == file_id).count()):
+            return 0
         text = F.when(F.col("id") == file_id, F.lit(metadata).cast("string")).otherwise(F.col("metadata"))
         self.rewrite(run_id, {"media_files": self.table("media_files", run_id).withColumn("metadata", text)})
-
-    def delete_run(self, run_id: int) -> None:
-        manifest = self.manifest()
-        if manifest.pop(str(run_id), None) is not None:
-            self._publish(manifest)
+        return n
+
+    def delete_run(self, run_id: int) -> bool:
+        """Whether there was such a run."""
+        version = self.version()
+        manifest = self.manifest(version)
+        if manifest.pop(str(run_id), None) is None:
+            return False
+        self._publish(manifest, version)
+        return True

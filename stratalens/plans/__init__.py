@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from stratalens.plans import dirty_data, library
+    from stratalens.plans import dirty_data, library, media, records  # noqa: F401  media and records register with library
 
     return [library, dirty_data]

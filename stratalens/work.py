@@ -24,6 +24,51 @@ def work_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class SharedFiles:
+    """Small text files on the shared file system, by the session's Hadoop configuration."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        target = self.jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.conf), target
+
+    def exists(self, path: str) -> bool:
+        files, target = self._at(path)
+        return files.exists(target)
+
+    def names(self, folder: str) -> list[str]:
+        files, target = self._at(folder)
+        return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+    def read(self, path: str) -> str:
+        files, target = self._at(path)
+        stream = files.open(target)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a new file, which appears whole or not at all; False if there is one of that name."""
+        files, target = self._at(path)
+        if files.exists(target):
+            return False
+        _, draft = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = files.create(draft, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not files.exists(target) and files.rename(draft, target):
+            return True
+        files.delete(draft, False)
+        return False
+
+    def delete(self, path: str) -> None:
+        files, target = self._at(path)
+        files.delete(target, True)
+
+
 class Workspace:
     """A private subfolder of the work folder for the intermediate tables of one operator call."""
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.errors import DuplicateError, HashError, ReportError, SecurityError
+from stratalens.errors import DuplicateError, HashError, PipelineError, ReportError, SecurityError
 from stratalens.functions import dates, hashing, images, media_bytes, numbers, text
 from stratalens.operators import cache, classify, hamming, inventory, live_photos, orphans, quality, report, saga, search
 from stratalens.sources import files as files_source
@@ -209,6 +209,50 @@ def test_raw_search_expressions_against_sqlite(spark):
     assert search.matches(df, "id", ["a"], " ").count() == 0
 
 
+def test_saga_log(spark, tmp_path):
+    log = saga.SagaLog(spark, f"file:{tmp_path}/log")
+    assert log.sessions().count() == log.commands().count() == 0
+    one = log.create_session("/in", "/out", "abc", "feedbeef00")
+    assert one.endswith("-feedbeef")
+    first, second = log.append_command(one, "move_file", {"b": 1, "a": "/x"}), log.append_command(one, "copy_file", {})
+    assert (first, second) == (1, 2)
+    log.mark_done(first, {"z": 1, "y": None})
+    with pytest.raises(PipelineError):
+        log.mark_done(first)
+    log.mark_command(second, "failed")
+    log.compact()
+    log.finish_session(one)
+    two = log.create_session("/in", "/out", "abc")
+    assert log.mark_interrupted() == 1
+    rows = {r.seq: r for r in log.commands().collect()}
+    assert (rows[1].status, rows[1].args_json, rows[1].log_json, rows[1].session_id) == ("done", '{"a": "/x", "b": 1, "schema": 1}', '{"y": null, "z": 1}', one)
+    assert (rows[2].status, rows[2].command_type, rows[2].log_json) == ("failed", "copy_file", None) and rows[1].completed_at
+    assert {r.session_id: (r.status, r.source, r.completed_at is None) for r in log.sessions().collect()} == {one: ("completed", "/in", False), two: ("interrupted", "/in", False)}
+    for bad in (lambda: log.append_command(one, "x", {}), lambda: log.append_command("none", "x", {}), lambda: log.mark_command(9, "done"), lambda: log.mark_command(1, "odd"), lambda: log.finish_session(two, "running")):
+        with pytest.raises(PipelineError):
+            bad()
+
+
+def test_single_rows_of_the_store(spark, tmp_path):
+    store = report.ReportStore(spark, f"file:{tmp_path}/store")
+    run = store.create_run("/library", notes="n")
+    a, b = store.add_media_file(run, "/library/a.jpg", "image", 5, quality_score=0.5), store.add_media_file(run, "/library/b.jpg", "image", 6)
+    group = store.add_duplicate_group(run, 3, "image", 2, best_file_id=a)
+    op = store.add_operation(run, "move", "applied", "/library/b.jpg", "/else/b.jpg")
+    assert (a, b, group, op) == (1, 2, 1, 1)
+    assert [(r.id, r.filename, r.quality_score) for r in store.list_media_files(run).collect()] == [(1, "a.jpg", 0.5), (2, "b.jpg", None)]
+    assert store.list_operations(run).first().media_file_id == b and store.list_groups(run).first().best_file_id == a
+    assert store.assign_group(run, a, 3) == 1 and store.assign_group(run, 99, 3) == 0 and store.delete_group(run, 3) == 1 and store.delete_group(run, 3) == 0
+    for bad in (lambda: store.add_media_file(run, "/library/a.jpg", "image", 1), lambda: store.add_media_file(run, "/c", "poem", 1), lambda: store.add_operation(run, "eat", "applied"), lambda: store.add_media_file(9, "/c", "image", 1), lambda: store.create_run("/x", "odd"), lambda: store.add_media_file(run, "/c", "image", 1, odd=1)):
+        with pytest.raises(ReportError):
+            bad()
+    version = store.version()
+    store.create_run("/other")
+    with pytest.raises(ReportError):
+        store._publish({}, version)  # another writer was faster
+    assert store.list_runs().count() == 2 and store.delete_run(run) and not store.delete_run(run) and store.list_runs().count() == 1
+
+
 def test_saga(spark):
     sessions = spark.createDataFrame([("a", "2024", "2025", "completed"), ("b", "2023", None, "running"), ("c", "2022", "2023", "failed")], "session_id string, started_at string, completed_at string, status string")
     commands = spark.createDataFrame([(1, "a", "done"), (2, "a", "done"), (3, "c", "done")], "seq long, session_id string, status string")
