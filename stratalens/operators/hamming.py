@@ -121,3 +121,16 @@ def _running_number(df: DataFrame, order: list[Column]) -> DataFrame:
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row per partition
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return parts.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("group_number", (F.col("__local") + F.col("__before")).cast("bigint")).drop("__part", "__local", "__before")
+
+
+def serialised(members: DataFrame, group: str, item: str, key: Column, size: int = 1000) -> DataFrame:
+    """(group, part, n_files, files): the items of every group in order of key, in lists of at most `size`.
+
+    Positions come from a running number over range partitions, so no group, however large, is gathered in one task.
+    """
+    ordered = _running_number(members.select(F.col(group).alias("group"), F.col(item).alias("item"), key.alias("k")), [F.col("group").asc(), F.col("k").asc()])
+    ordered = ordered.select("group", "item", "k", F.col("group_number").alias("n"))
+    first = ordered.groupBy("group").agg(F.min("n").alias("first"))
+    parts = ordered.join(first, "group").withColumn("part", F.floor((F.col("n") - F.col("first")) / size))
+    lists = parts.groupBy("group", "part").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("s"))
+    return lists.select(F.col("group").alias(group), "part", "n_files", F.transform("s", lambda s: s["item"]).alias("files"))

@@ -116,6 +116,22 @@ def empty_directories(dirs: DataFrame, patterns: list[str] | None = None) -> Dat
     return dirs.join(kept, "rel", "left_anti").select("rel").orderBy(F.concat(tail, F.array(F.lit("\U0010ffff"))))
 
 
+def progress(found: DataFrame, every: int = 100) -> DataFrame:
+    """(accepted, rel) of the files at which progress is told: each `every`-th of the walk, and the last one."""
+    from stratalens.operators.hamming import _running_number
+
+    numbered = _running_number(found.select("rel", walk_key(F.col("rel")).alias("key")), [F.col("key").asc(), F.col("rel").asc()]).select("rel", F.col("group_number").alias("accepted"))
+    total = numbered.agg(F.max("accepted").alias("total"))  # one row
+    return numbered.crossJoin(F.broadcast(total)).where((F.col("accepted") % every == 0) | (F.col("accepted") == F.col("total"))).select("accepted", "rel")
+
+
+def stats_rows(stats: DataFrame) -> DataFrame:
+    """(metric, value) of directory_stats(): files, bytes, and one row per media type."""
+    fixed = F.array(F.struct(F.lit("files").alias("metric"), F.col("n_files").cast("string").alias("value")), F.struct(F.lit("total_bytes").alias("metric"), F.col("total_bytes").cast("string").alias("value")))
+    types = F.transform(F.map_entries("counts_by_type"), lambda e: F.struct(e["key"].alias("metric"), e["value"].cast("string").alias("value")))
+    return stats.select(F.explode(F.concat(fixed, types)).alias("r")).select("r.metric", "r.value")
+
+
 def fnmatch_any(name: str, rel: str, patterns: list[str]) -> bool:
     """The driver-side twin of excluded() for one entry."""
     return any(fnmatch.fnmatch(name, p) or fnmatch.fnmatch(rel, p) for p in patterns)

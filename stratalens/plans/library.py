@@ -320,15 +320,6 @@ def type_lookup(spark, folder):
     return latest_files(spark, folder, "filename").groupBy(kind.alias("by_name")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FILES}, d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files) SELECT count(*) AS n_empty FROM d WHERE false")
-def empty_dirs(spark, folder):
-    """Directories of the library without files in or below them: none, as all are known by their files."""
-    dirs = _rel(spark, folder).select(F.explode(inventory.prefixes(text.parent(F.col("rel")))).alias("rel")).distinct()
-    holding = _rel(spark, folder).select(text.parent(F.col("rel")).alias("rel"), F.lit(True).alias("has_files")).distinct()
-    rows = dirs.join(holding, "rel", "left").select("rel", F.coalesce("has_files", F.lit(False)).alias("has_files"), F.lit(False).alias("is_symlink"))
-    return inventory.empty_directories(rows).agg(F.count("*").alias("n_empty"))
-
-
 @query(f"""
   WITH {FILES}, {_REL},
   p AS (SELECT deleted_at, string_split(regexp_extract(rel, '^(.*)/[^/]*$', 1), '/') AS parts FROM rel JOIN files USING (id) WHERE contains(rel, '/')),
@@ -476,17 +467,12 @@ def pair_orphans(spark, folder):
 # ---------------------------------------------------------------- reports, search, operation log
 
 
-@query(f"WITH {FILES} SELECT id, run_id, group_id, path, coalesce(filename, regexp_replace(path, '^.*/', '')) AS filename, content_hash, quality_score FROM files WHERE run_id = 7 ORDER BY path, id")
-def report_files(spark, folder):
-    rows = latest_files(spark, folder, "run_id", "group_id", "path", "filename", "content_hash", "quality_score").where("run_id = 7")
-    return rows.select("id", "run_id", "group_id", "path", F.coalesce("filename", text.basename(F.col("path"))).alias("filename"), "content_hash", "quality_score").orderBy("path", "id")
-
-
-@query(f"WITH {FILES} SELECT id, run_id, group_id, path, coalesce(filename, regexp_replace(path, '^.*/', '')) AS filename, content_hash, quality_score FROM files ORDER BY run_id, path, id")
+@query(f"WITH {FILES} SELECT id, run_id, group_id, path, coalesce(filename, regexp_replace(path, '^.*/', '')) AS filename, content_hash, CASE WHEN quality_score BETWEEN 0 AND 1 AND NOT isnan(quality_score) THEN quality_score END AS quality_score FROM files ORDER BY run_id, path, id")
 def report_files_all(spark, folder):
-    """The files of all runs; for one run there is ReportStore.list_media_files."""
+    """The files of all runs; for one run there is ReportStore.list_media_files. Only numbers from 0 to 1 are scores."""
+    score = F.when(F.col("quality_score").between(0, 1), F.col("quality_score")).alias("quality_score")
     rows = latest_files(spark, folder, "run_id", "group_id", "path", "filename", "content_hash", "quality_score")
-    rows = rows.select("id", "run_id", "group_id", "path", F.coalesce("filename", text.basename(F.col("path"))).alias("filename"), "content_hash", "quality_score")
+    rows = rows.select("id", "run_id", "group_id", "path", F.coalesce("filename", text.basename(F.col("path"))).alias("filename"), "content_hash", score)
     return rows.orderBy(F.col("run_id").asc_nulls_last(), F.col("path").asc_nulls_last(), F.col("id").asc_nulls_last())
 
 
@@ -664,13 +650,6 @@ def lineitem_totals(spark, folder):
 # ---------------------------------------------------------------- further views
 
 
-@query(f"WITH {FILES}, {_REL} SELECT id, row_number() OVER (ORDER BY run_id, k) AS position FROM (SELECT files.id, run_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i < len(p) THEN '1' ELSE '0' END || p[i]) AS k FROM files JOIN (SELECT id, string_split(rel, '/') AS p FROM rel) USING (id) WHERE run_id = 7)")
-def walk_order(spark, folder):
-    """The files of one run in the order a walk visits them: files before subdirectories, by name."""
-    rows = latest_files(spark, folder, "path", "run_id").where("run_id = 7").withColumn("key", inventory.walk_key(F.ltrim("path", F.lit("/"))))
-    return hamming._running_number(rows, [F.col("key").asc()]).select("id", F.col("group_number").alias("position"))
-
-
 @query(f"WITH {FILES}, {_REL} SELECT run_id, id, row_number() OVER (ORDER BY run_id, k, id) AS position FROM (SELECT files.id, run_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i < len(p) THEN '1' ELSE '0' END || p[i]) AS k FROM files JOIN (SELECT id, string_split(rel, '/') AS p FROM rel) USING (id))")
 def walk_order_all(spark, folder):
     """The files of all runs, run by run, each in the order a walk visits them; numbered through."""
