@@ -17,6 +17,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,27 @@ KEYS_PER_TASK = 500_000
 SHORT = 48
 #: Cells of one array of distances.
 CELLS = 1 << 21
-#: Turns codes of some width into lines of bits, one per code; the bits are what the bands are cut from.
-Lines = Callable[[list[bytes], int], np.ndarray]
+#: Turns codes of some width, a line of bytes each, into lines of bits; the bits are what the bands are cut from.
+Lines = Callable[[np.ndarray, int], np.ndarray]
 
 
-def plain_bits(codes: list[bytes], bits: int) -> np.ndarray:
+def plain_bits(codes: np.ndarray, bits: int) -> np.ndarray:
     """The last `bits` bits of every code."""
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return np.unpackbits(raw, axis=1)[:, -bits:]
+    return np.unpackbits(codes, axis=1)[:, -bits:]
+
+
+def byte_lines(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Some rows of a binary column, all of one length, as a matrix of bytes."""
+    taken = column.take(pa.array(rows)).cast(pa.binary())
+    offsets = np.frombuffer(taken.buffers()[1], np.int32, len(rows) + 1)
+    return np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(rows), -1)
+
+
+def binary_column(lines: np.ndarray) -> pa.Array:
+    """The lines of a matrix as a binary column, without a copy per row."""
+    data = np.ascontiguousarray(lines).view(np.uint8)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def band_plan(bits: int, bound: int, joint: int = 1) -> list[tuple[int, int, int, int, int, int]]:
@@ -107,37 +121,37 @@ def _masks(bits: int, parts: list[np.ndarray]) -> np.ndarray:
 KEYS = "grp bigint, key bigint, combo int, fine int, side int, bits int, id {id}, many boolean, sketch binary"
 
 
-def _keyed(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int], lines_of: Lines) -> Iterator[pd.DataFrame]:
+def _by_width(batch: pa.RecordBatch, joints: dict[int, int], bounds: dict[int, int], lines_of: Lines) -> Iterator[tuple]:
+    """(bits, rows, grp, lines of bits, plan, combinations of bands) for every width in a batch that has a bound."""
+    widths = batch.column("bits").to_numpy()
+    grp = batch.column("grp").to_numpy()
+    for bits in np.unique(widths).tolist():
+        if bounds.get(bits):
+            rows = np.flatnonzero(widths == bits)
+            lines = lines_of(byte_lines(batch.column("code"), rows), bits)
+            yield bits, rows, grp[rows], lines, band_plan(bits, bounds[bits], joints[bits]), probes(bits, bounds[bits], joints[bits])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], joints: dict[int, int], bounds: dict[int, int], lines_of: Lines) -> Iterator[pa.RecordBatch]:
     """(grp, bits, id, many, code) to one row per key."""
     for batch in batches:
-        for bits, rows in batch.groupby("bits", sort=False):
-            bits = int(bits)
-            if not bounds.get(bits):
-                continue
-            lines = lines_of(list(rows.code), bits)
-            packed = as_words(lines)
-            sketch = [w.tobytes() for w in packed]
-            base = rows.grp.to_numpy(np.int64).view(np.uint64)
-            plan = band_plan(bits, bounds[bits], joints[bits])
-            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
+        for bits, rows, grp, lines, plan, combos in _by_width(batch, joints, bounds, lines_of):
+            index = pa.array(rows)
+            id_, many, sketch, base = batch.column("id").take(index), batch.column("many").take(index), binary_column(as_words(lines)), grp.view(np.uint64)
+            same = lambda value, n=len(rows): pa.array(np.full(n, value, np.int32))
+            for number, bands in enumerate(combos):
                 key = key_of(base, number, lines[:, _columns(plan, bands)]).view(np.int64)
-                yield pd.DataFrame({"grp": rows.grp, "key": key, "combo": number, "fine": -1, "side": 0, "bits": bits, "id": rows.id, "many": rows.many, "sketch": sketch})
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(key), same(number), same(-1), same(0), same(bits), id_, many, sketch], ["grp", "key", "combo", "fine", "side", "bits", "id", "many", "sketch"])
 
 
-def _counted(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int], lines_of: Lines) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch], joints: dict[int, int], bounds: dict[int, int], lines_of: Lines) -> Iterator[pa.RecordBatch]:
     """(grp, key, n): how often each key of _keyed() occurs in a batch."""
     for batch in batches:
-        for bits, rows in batch.groupby("bits", sort=False):
-            bits = int(bits)
-            if not bounds.get(bits):
-                continue
-            lines = lines_of(list(rows.code), bits)
-            grp = rows.grp.to_numpy(np.int64)
-            plan = band_plan(bits, bounds[bits], joints[bits])
-            for number, bands in enumerate(probes(bits, bounds[bits], joints[bits])):
+        for _, _, grp, lines, plan, combos in _by_width(batch, joints, bounds, lines_of):
+            for number, bands in enumerate(combos):
                 key = key_of(grp.view(np.uint64), number, lines[:, _columns(plan, bands)]).view(np.int64)
                 keys, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pd.DataFrame({"grp": grp[first], "key": keys, "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array(grp[first]), pa.array(keys), pa.array(n.astype(np.int64))], ["grp", "key", "n"])
 
 
 def _refined(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
@@ -191,13 +205,14 @@ def _agreeing(words: np.ndarray, i: np.ndarray, j: np.ndarray, masks: np.ndarray
     return (first == wanted).all(1)
 
 
-def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
-    for bits, part in rows.groupby("bits", sort=False):
-        bits = int(bits)
+def _found(rows: pa.RecordBatch, joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    widths = rows.column("bits").to_numpy()
+    for bits in np.unique(widths).tolist():
+        part = np.flatnonzero(widths == bits)
         bound, joint = bounds[bits], joints[bits]
-        words = np.frombuffer(b"".join(part.sketch), np.uint64).reshape(len(part), -1)
+        words = byte_lines(rows.column("sketch"), part).view(np.uint64)
         size = np.bitwise_count(words).sum(1, dtype=np.int64)
-        grp, key = part.grp.to_numpy(), part.key.to_numpy()
+        grp, key = (rows.column(c).to_numpy()[part] for c in ("grp", "key"))
         order = np.lexsort((size, key, grp))
         words, size, grp, key = words[order], size[order], grp[order], key[order]
         starts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (key[1:] != key[:-1])]))
@@ -209,14 +224,15 @@ def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -
         if not found:
             continue
         i, j = (np.concatenate(side) for side in zip(*found, strict=True))
-        side, combo, fine = (part[c].to_numpy()[order] for c in ("side", "combo", "fine"))
+        part = part[order]
+        side, combo, fine = (rows.column(c).to_numpy()[part] for c in ("side", "combo", "fine"))
         keep = (side[i] == 0) | (side[i] != side[j])
         i, j = i[keep], j[keep]
         plan = band_plan(bits, bound, joint)
         masks = _masks(bits, [_columns(plan, (b,)) for b in range(len(plan))])
         chosen = probes(bits, bound, joint)
         keep = np.zeros(len(i), bool)
-        for number in np.unique(combo[i]):
+        for number in np.unique(combo[i]).tolist():
             of = np.flatnonzero(combo[i] == number)
             wanted = np.isin(np.arange(len(plan)), chosen[number])
             ok = _agreeing(words, i[of], j[of], masks, wanted, joint)
@@ -226,21 +242,24 @@ def _found(rows: pd.DataFrame, joints: dict[int, int], bounds: dict[int, int]) -
                 ok[cut] &= _agreeing(words, i[of[cut]], j[of[cut]], _masks(bits, parts), wanted, 1)
             keep[of] = ok
         i, j = i[keep], j[keep]
-        ids, many = part.id.to_numpy()[order], part.many.to_numpy()[order]
-        yield pd.DataFrame({"a": ids[i], "b": ids[j], "distance": np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32), "many": many[i] | many[j]})
+        ids, many = rows.column("id"), rows.column("many").to_numpy(zero_copy_only=False)[part]
+        apart = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part[i])), ids.take(pa.array(part[j])), pa.array(apart), pa.array(many[i] | many[j])], ["a", "b", "distance", "many"])
 
 
-def _compared(batches: Iterator[pd.DataFrame], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pd.DataFrame]:
+def _compared(batches: Iterator[pa.RecordBatch], joints: dict[int, int], bounds: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, key) to close pairs; a key that runs over the end of a batch waits for the next one."""
-    held: pd.DataFrame | None = None
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = rows.iloc[-1] if len(rows) else None
-        if last is None:
+        if not batch.num_rows:
             continue
-        open_ = (rows.grp == last.grp) & (rows.key == last.key)
-        held = rows[open_]
-        yield from _found(rows[~open_], joints, bounds)
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        grp, key = rows.column("grp").to_numpy(), rows.column("key").to_numpy()
+        other = np.flatnonzero((grp != grp[-1]) | (key != key[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        held = rows.slice(cut)
+        if cut:
+            yield from _found(rows.slice(0, cut), joints, bounds)
     if held is not None:
         yield from _found(held, joints, bounds)
 
@@ -258,7 +277,7 @@ def close_codes(ws: Workspace, codes: DataFrame, bound_of: Callable[[int], int],
     kind = codes.schema["id"].dataType
     schema = KEYS.format(id=kind.simpleString())
     rows = codes.select(F.xxhash64("space", "bits").alias("grp"), "bits", "id", "many", "code")
-    keys = rows.mapInPandas(lambda batches: _keyed(batches, joints, bounds, lines_of), schema)
+    keys = rows.mapInArrow(lambda batches: _keyed(batches, joints, bounds, lines_of), schema)
 
     def large(counts: DataFrame, name: str) -> DataFrame | None:
         """The keys with more than `most` rows, by counts that combine before their shuffle."""
@@ -266,7 +285,7 @@ def close_codes(ws: Workspace, codes: DataFrame, bound_of: Callable[[int], int],
         return counted if counted.take(1) else None
 
     # two different (space, bits) whose grp and key are both equal would only be counted together
-    if (hot := large(rows.mapInPandas(lambda batches: _counted(batches, joints, bounds, lines_of), "grp bigint, key bigint, n bigint"), "large")) is not None:
+    if (hot := large(rows.mapInArrow(lambda batches: _counted(batches, joints, bounds, lines_of), "grp bigint, key bigint, n bigint"), "large")) is not None:
         parts = [keys.join(hot, ["grp", "key"], "left_anti")]
         columns = keys.columns
         fine = ws.save(keys.join(hot.drop("n"), ["grp", "key"], "left_semi").select(*columns).mapInPandas(lambda batches: _refined(batches, joints, bounds), schema), "fine")
@@ -284,5 +303,5 @@ def close_codes(ws: Workspace, codes: DataFrame, bound_of: Callable[[int], int],
     # no key has more than twice `most` rows now, so plain hash partitions are even
     partitions = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // KEYS_PER_TASK)
     met = keys.repartition(partitions, "grp", "key").sortWithinPartitions("grp", "key")
-    close = met.mapInPandas(lambda batches: _compared(batches, joints, bounds), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.IntegerType()), T.StructField("many", T.BooleanType())]))
+    close = met.mapInArrow(lambda batches: _compared(batches, joints, bounds), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.IntegerType()), T.StructField("many", T.BooleanType())]))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "many")
