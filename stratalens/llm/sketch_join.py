@@ -43,7 +43,7 @@ def spots(bits: int) -> np.ndarray:
     return (np.arange(bits) * step) % bits
 
 
-def sketch_bits(codes: list[bytes], bits: int) -> np.ndarray:
+def sketch_bits(codes: np.ndarray, bits: int) -> np.ndarray:
     """One line of bits per code: the parity sketch of its set bits."""
     return plain_bits(codes, bits)[:, spots(bits)]
 
