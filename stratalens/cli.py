@@ -1,4 +1,4 @@
-"""Command line: stats, info, live-photos, clean, search, config, doctor. Exit codes 0, 1 (error), 2 (usage), 130 (interrupt)."""
+"""Command line: stats, info, live-photos, clean, search, cache, config, init, doctor. Exit codes 0, 1 (error), 2 (usage), 130 (interrupt)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 from stratalens import config as settings
-from stratalens.errors import EngineError
+from stratalens.errors import CacheError, EngineError
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,11 @@ def parser() -> argparse.ArgumentParser:
     conf.add_argument("file")
     conf.add_argument("key", nargs="?")
     conf.add_argument("value", nargs="?")
+    kept = sub.add_parser("cache")
+    kept.add_argument("action", choices=("show", "clear", "prune"))
+    kept.add_argument("store")
+    kept.add_argument("path", nargs="?", help="prune: the folder whose files keep their entries")
+    sub.add_parser("init").add_argument("file")
     sub.add_parser("doctor")
     return top
 
@@ -69,6 +74,8 @@ def run(args: argparse.Namespace) -> object:
         if args.action == "reset":
             settings.write(path, {})
         return settings.load(path)
+    if args.command == "init":
+        return settings.initialise(Path(args.file))
     if args.command == "clean":
         from stratalens.operations import remove_empty_tree
 
@@ -79,12 +86,21 @@ def run(args: argparse.Namespace) -> object:
         return {name: shutil.which(name) is not None for name in ("java", "ffprobe", "ffmpeg")}
     from pyspark.sql import functions as F
 
-    from stratalens.operators import inventory, report, search
+    from stratalens.operators import cache, inventory, report, search
     from stratalens.sources import files
 
     spark = _session()
     if args.command == "stats":
         return inventory.directory_stats(files.regular_files(spark, args.path), "media_type", "size", F.col("mtime")).first().asDict()
+    if args.command == "cache":
+        stored = cache.HashCache(spark, args.store)
+        if args.action == "show":
+            return stored.show()
+        if args.action == "clear":
+            return {"removed": stored.clear()}
+        if not args.path:
+            raise CacheError("prune needs the folder whose files keep their entries", operation="cache prune")
+        return {"removed": stored.prune(files.regular_files(spark, args.path))}
     if args.command == "info":
         return files.inspect(spark, args.path).first().asDict(recursive=True)
     if args.command == "live-photos":

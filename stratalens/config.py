@@ -176,6 +176,14 @@ def write(path: Path, config: dict[str, Any]) -> None:
     os.replace(file.name, path)
 
 
+def initialise(path: Path) -> dict[str, Any]:
+    """A file with all defaults; an existing one is not overwritten."""
+    if path.exists():
+        raise ConfigError("the file exists already", details={"path": str(path)})
+    write(path, DEFAULTS)
+    return load(path)
+
+
 def set_value(path: Path, dotted: str, value: Any) -> dict[str, Any]:
     """Set one setting in a file that otherwise stays as sparse as it is."""
     data = read_file(path) if path.exists() else {}

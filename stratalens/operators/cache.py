@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions.numbers import ratio
+from stratalens.schemas import SCHEMAS
+from stratalens.work import SharedFiles
 
 KEY = ["path", "algorithm"]
 FULL = [*KEY, "mtime", "size"]
@@ -41,7 +45,7 @@ def clear(cache: DataFrame) -> DataFrame:
 
 
 def stats(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
-    """One row: entries, distinct paths, hits, misses, hit_rate (0 without lookups). stored_bytes() tells the size on disk."""
+    """One row: entries, distinct paths, hits, misses, hit_rate (0 without lookups)."""
     lookups = looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     return cache.agg(F.count("*").alias("entries"), F.count_distinct("path").alias("paths")).crossJoin(lookups).withColumn("hit_rate", ratio(F.col("hits"), F.col("hits") + F.col("misses")))
 
@@ -61,3 +65,46 @@ def batch(files: DataFrame, hashers: dict[str, str], cache: DataFrame, compute,
     skipped = tagged.where(F.col("algorithm").isNull()).select("ord", "path", "media_type", "algorithm", "mtime", "size", F.lit(None).cast("string").alias("hash"), F.lit("skipped").alias("status"))
     every = outcomes.unionByName(skipped)
     return every, every.where("status = 'hashed'").select("ord", *FULL, "hash")
+
+
+class HashCache:
+    """The cache as a stored table: every change writes a new version beside the old one, which is then deleted."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.files = spark, root.rstrip("/"), SharedFiles(spark)
+
+    def _versions(self) -> list[int]:
+        """The complete versions, oldest first."""
+        found = [int(n[2:]) for n in self.files.names(self.root) if re.fullmatch(r"v=\d+", n)]
+        return sorted(n for n in found if self.files.exists(f"{self.root}/v={n}/_SUCCESS"))
+
+    def read(self) -> DataFrame:
+        versions = self._versions()
+        schema = SCHEMAS["hash_cache"]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/v={versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+
+    def _replace(self, rows: DataFrame) -> None:
+        versions = self._versions()
+        rows.select(*FULL, "hash").write.parquet(f"{self.root}/v={(versions or [0])[-1] + 1}")
+        for old in versions:
+            self.files.delete(f"{self.root}/v={old}")
+
+    def write(self, entries: DataFrame) -> None:
+        """Entries (path, algorithm, mtime, size, hash, ord) over what is there."""
+        self._replace(upsert(self.read(), entries))
+
+    def prune(self, listing: DataFrame) -> int:
+        """Drop the entries whose path isn't listed; how many."""
+        if gone := stale(self.read(), listing).count():
+            self._replace(prune(self.read(), listing))
+        return gone
+
+    def clear(self) -> int:
+        """Drop all entries; how many there were."""
+        if gone := self.read().count():
+            self._replace(clear(self.read()))
+        return gone
+
+    def show(self) -> dict[str, int]:
+        row = self.read().agg(F.count("*").alias("entries"), F.count_distinct("path").alias("paths")).first()
+        return {**row.asDict(), "stored_bytes": sum(self.files.size(f"{self.root}/v={n}") for n in self._versions()[-1:])}

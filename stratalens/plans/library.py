@@ -453,7 +453,7 @@ def pair_by_identifier(spark, folder):
     return live_photos.pairs(_candidates(spark, folder)).where("verified").select("still", "video", "identifier")
 
 
-@query()
+@query(_LIVE + "SELECT still, video, identifier, true AS verified FROM verified")
 def pair_by_stem(spark, folder):
     return live_photos.scan_order(live_photos.pairs(_candidates(spark, folder)))
 
@@ -518,7 +518,17 @@ def search_terms(spark, folder):
     return search.search(table(spark, folder, "documents", "doc_id", "text"), "doc_id", ["text"], "harbor RUSTY").select(F.col("doc").alias("doc_id"))
 
 
-@query()
+_TOKENS = "w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS t, regexp_extract_all(lower(strip_accents(coalesce(source, ''))), '[\\p{L}\\p{N}]+') AS s FROM documents)"
+#: Relevance of "screenshot text" and tractor over text and source.
+BM25 = "WITH " + _TOKENS + """,
+  h AS (SELECT doc_id, len(t) + len(s) AS n, len([1 FOR i IN range(1, len(t)) IF t[i] = 'screenshot' AND t[i + 1] = 'text']) + len([1 FOR i IN range(1, len(s)) IF s[i] = 'screenshot' AND s[i + 1] = 'text']) AS a, len(list_filter(t, lambda x: x = 'tractor')) + len(list_filter(s, lambda x: x = 'tractor')) AS b FROM w),
+  z AS (SELECT count(*) AS docs, avg(n) AS mean, count_if(a > 0) AS na, count_if(b > 0) AS nb FROM h),
+  i AS (SELECT *, CASE WHEN ln((docs - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - na + 0.5) / (na + 0.5)) END AS ia, CASE WHEN ln((docs - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - nb + 0.5) / (nb + 0.5)) END AS ib FROM z),
+  scored AS (SELECT doc_id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM h, i WHERE a > 0 AND b > 0)
+"""
+
+
+@query(BM25 + "SELECT doc_id, score FROM scored")
 def search_bm25(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return search.ranked(docs.drop("lang"), "doc_id", ["text", "source"], '"screenshot text" tractor').select("doc_id", "score")

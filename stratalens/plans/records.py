@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import dates, hashing, text
 from stratalens.operators import cache, hamming, inventory, live_photos, report, saga, search
 from stratalens.operators.latest import latest_rows
-from stratalens.plans.library import _GROUPS, _SESSIONS, _WORDS, FILES, NEAR, _hashes, latest_files, query
+from stratalens.plans.library import _GROUPS, _SESSIONS, _TOKENS, _WORDS, BM25, FILES, NEAR, _hashes, latest_files, query
 from stratalens.schemas import domain_violations
 from stratalens.tables import table
 from stratalens.work import Workspace, stored_path
@@ -243,14 +243,7 @@ def _index(spark, folder, *columns: str) -> search.SearchIndex:
     return search.SearchIndex(spark, stored_path(rows, "search-index", build))
 
 
-_TOKENS = "w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS t, regexp_extract_all(lower(strip_accents(coalesce(source, ''))), '[\\p{L}\\p{N}]+') AS s FROM documents)"
-
-
-@query("WITH " + _TOKENS + """,
-  h AS (SELECT doc_id, len(t) + len(s) AS n, len([1 FOR i IN range(1, len(t)) IF t[i] = 'screenshot' AND t[i + 1] = 'text']) + len([1 FOR i IN range(1, len(s)) IF s[i] = 'screenshot' AND s[i + 1] = 'text']) AS a, len(list_filter(t, lambda x: x = 'tractor')) + len(list_filter(s, lambda x: x = 'tractor')) AS b FROM w),
-  z AS (SELECT count(*) AS docs, avg(n) AS mean, count_if(a > 0) AS na, count_if(b > 0) AS nb FROM h),
-  i AS (SELECT *, CASE WHEN ln((docs - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - na + 0.5) / (na + 0.5)) END AS ia, CASE WHEN ln((docs - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - nb + 0.5) / (nb + 0.5)) END AS ib FROM z)
-  SELECT doc_id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean))), 8) AS score FROM h, i WHERE a > 0 AND b > 0""")
+@query(BM25 + "SELECT doc_id, round(score, 8) AS score FROM scored")
 def search_relevance(spark, folder):
     """Relevance from stored postings: a phrase and a word over two columns."""
     return _index(spark, folder, "text", "source").search('"screenshot text" tractor').select(F.col("doc").alias("doc_id"), F.round("score", 8).alias("score"))

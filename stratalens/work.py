@@ -74,6 +74,11 @@ class SharedFiles:
         files.delete(draft, False)
         return False
 
+    def size(self, folder: str) -> int:
+        """Bytes of all files in a folder and below."""
+        files, target = self._at(folder)
+        return files.getContentSummary(target).getLength()
+
     def stamp(self, path: str) -> str:
         """Length and time of a file's last change."""
         files, target = self._at(path)

@@ -209,6 +209,17 @@ def test_raw_search_expressions_against_sqlite(spark):
     assert search.matches(df, "id", ["a"], " ").count() == 0
 
 
+def test_hash_cache_store(spark, tmp_path):
+    kept = cache.HashCache(spark, f"file:{tmp_path}/cache")
+    assert kept.show() == {"entries": 0, "paths": 0, "stored_bytes": 0} and kept.clear() == 0
+    entry = "path string, algorithm string, mtime double, size long, hash string, ord long"
+    kept.write(spark.createDataFrame([("/a", "x", 1.0, 5, "old", 1), ("/b", "x", 1.0, 5, "h", 2)], entry))
+    kept.write(spark.createDataFrame([("/a", "x", 2.0, 5, "new", 1)], entry))
+    assert {(r.path, r.hash) for r in kept.read().collect()} == {("/a", "new"), ("/b", "h")} and kept.show()["stored_bytes"] > 0
+    listing = spark.createDataFrame([("/a",)], "path string")
+    assert kept.prune(listing) == 1 and kept.prune(listing) == 0 and kept.clear() == 1 and kept.read().count() == 0
+
+
 def test_saga_log(spark, tmp_path):
     log = saga.SagaLog(spark, f"file:{tmp_path}/log")
     assert log.sessions().count() == log.commands().count() == 0

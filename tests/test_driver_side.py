@@ -102,6 +102,8 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["--json", "config", "show", str(tmp_path / "c.json")]) == 0 and '"workers": 4' in capsys.readouterr().out
     assert cli.main(["config", "set", str(tmp_path / "c.json"), "workers", "no"]) == 1
     assert cli.main(["doctor"]) == 0
+    assert cli.main(["init", str(tmp_path / "new.json")]) == 0 and cli.main(["init", str(tmp_path / "new.json")]) == 1
+    assert cli.main(["cache", "eat", "x"]) == 2
 
 
 def test_schema_checks(spark):
@@ -168,3 +170,19 @@ def test_every_discovery_issue_is_published(spark):
     listing = spark.range(101).select(F.format_string("l%d.jpg", "id").alias("rel"), F.lit(False).alias("is_dir"), F.lit(True).alias("is_symlink"), F.lit("image").alias("media_type"))
     pipeline.discovery({"listing": listing}, context)
     assert sorted(seen) == sorted(f"l{n}.jpg" for n in range(101))
+
+
+@pytest.mark.parametrize(("text", "value"), [("@bool y", False), ("@bool YES", True), ("@bool whatever", False), ('@json {"a": 1}', {"a": 1}), ("@json see {'b': 2} and {\"a\": True}", {"a": True}), ("@json (1, 2)", (1, 2)), ("@int 4", 4), ("plain", "plain")])
+def test_casts(text, value):
+    from stratalens.config import cast
+
+    assert cast(text) == value
+
+
+def test_casts_that_fail():
+    from stratalens.config import cast
+    from stratalens.errors import ConfigError
+
+    for text in ("@json {", "@int x", "@format x"):
+        with pytest.raises(ConfigError):
+            cast(text)
