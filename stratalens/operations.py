@@ -27,6 +27,27 @@ class Step:
         return {k: v for k, v in vars(self).items() if v}
 
 
+def _whole_copy(source: Path, destination: Path) -> None:
+    """A copy under its final name only when all of it is on the disk; an existing file stays."""
+    temporary = destination.with_name(f".{uuid.uuid4().hex}")
+    try:
+        shutil.copy2(source, temporary)
+        with open(temporary, "rb") as file:
+            os.fsync(file.fileno())
+        os.link(temporary, destination)
+    finally:
+        temporary.unlink(missing_ok=True)
+
+
+def _moved(source: Path, destination: Path) -> None:
+    """A rename, or, across devices, a whole copy before the source goes."""
+    try:
+        os.rename(source, destination)
+    except OSError:
+        _whole_copy(source, destination)
+        source.unlink()
+
+
 class FileTransaction:
     """Use as a context: leaving it normally keeps everything, an exception rolls back."""
 
@@ -66,22 +87,13 @@ class FileTransaction:
         """By a temporary file in the destination's folder, so that a copy is there as a whole or not at all."""
         source, destination = Path(source), Path(destination)
         self._place(source, destination)
-        temporary = destination.with_name(f".{uuid.uuid4().hex}")
-        try:
-            shutil.copy2(source, temporary)
-            os.link(temporary, destination)
-        finally:
-            temporary.unlink(missing_ok=True)
+        _whole_copy(source, destination)
         self.log.append(Step("copy", str(source), str(destination)))
 
     def move(self, source: str | Path, destination: str | Path) -> None:
         source, destination = Path(source), Path(destination)
         self._place(source, destination)
-        try:
-            os.rename(source, destination)
-        except OSError:
-            shutil.copy2(source, destination)
-            source.unlink()
+        _moved(source, destination)
         self.log.append(Step("move", str(source), str(destination)))
 
     def delete(self, path: str | Path) -> None:
@@ -98,7 +110,7 @@ class FileTransaction:
             if step.status != "applied":
                 continue
             if step.operation == "move":
-                os.rename(step.destination, step.source)
+                _moved(Path(step.destination), Path(step.source))
             elif step.operation == "copy":
                 Path(step.destination).unlink(missing_ok=True)
             elif step.operation == "delete":
@@ -110,6 +122,72 @@ class FileTransaction:
             step.status = "rolled_back"
 
 
+#: Kinds of commands: what they do to their paths.
+COMMANDS = ("move_file", "copy_file", "delete_file", "create_directory")
+
+
+@dataclass
+class Command:
+    """A file operation that can be written down, executed once and reversed once."""
+
+    command: str
+    source: str | None = None
+    destination: str | None = None
+    log: list[Step] = field(default_factory=list)
+    status: str = "pending"
+
+    def __post_init__(self) -> None:
+        if self.command not in COMMANDS:
+            raise FileOperationError(f"no such command: {self.command}")
+        if (self.command != "create_directory" and not self.source) or (self.command != "delete_file" and not self.destination):
+            raise FileOperationError("the command lacks a path", operation=self.command)
+
+    def execute(self) -> None:
+        if self.status != "pending":
+            raise FileOperationError("the command ran already", operation=self.command)
+        work = FileTransaction()
+        try:
+            if self.command == "move_file":
+                work.move(self.source, self.destination)
+            elif self.command == "copy_file":
+                work.copy(self.source, self.destination)
+            elif self.command == "delete_file":
+                work.delete(self.source)
+            else:
+                work.mkdir(self.destination)
+        except BaseException:
+            work.rollback()
+            self.status = "failed"
+            raise
+        self.log, self.status = work.log, "done"
+
+    def undo(self) -> None:
+        if self.status != "done":
+            raise FileOperationError("only a command that ran can be undone", operation=self.command)
+        _logged(self.log).rollback()
+        self.status = "undone"
+
+    def discard(self) -> None:
+        """A deletion becomes final: what it set aside goes, and it can't be undone any more."""
+        if self.status == "done" and self.command == "delete_file":
+            FileTransaction.__exit__(_logged(self.log), None, None, None)
+            self.status = "final"
+
+    def as_dict(self) -> dict:
+        return {"command": self.command, "source": self.source, "destination": self.destination, "status": self.status, "log": [step.as_dict() for step in self.log]}
+
+    @classmethod
+    def from_dict(cls, values: dict) -> Command:
+        return cls(values["command"], values.get("source"), values.get("destination"), [Step(**step) for step in values.get("log", [])], values.get("status", "pending"))
+
+
+def _logged(log: list[Step]) -> FileTransaction:
+    work = FileTransaction()
+    work.log = log
+    return work
+
+
+
 def remove_empty_tree(root: str | Path, patterns: tuple[str, ...] = (), keep_root: bool = True) -> list[str]:
     """Remove directories without files below them, children first; excluded ones and links keep their parents."""
     from stratalens.operators.inventory import fnmatch_any

@@ -186,3 +186,33 @@ def test_casts_that_fail():
     for text in ("@json {", "@int x", "@format x"):
         with pytest.raises(ConfigError):
             cast(text)
+
+
+def test_commands_round_trip_and_run_once(tmp_path):
+    from stratalens.errors import FileOperationError
+    from stratalens.operations import Command
+
+    a, b = tmp_path / "a", tmp_path / "deep" / "b"
+    a.write_text("x")
+    for kind, source, destination in (("move_file", a, b), ("copy_file", a, b), ("delete_file", a, None), ("create_directory", None, tmp_path / "new" / "er")):
+        command = Command.from_dict(json.loads(json.dumps(Command(kind, source and str(source), destination and str(destination)).as_dict())))
+        with pytest.raises(FileOperationError):
+            command.undo()
+        command.execute()
+        again = Command.from_dict(json.loads(json.dumps(command.as_dict())))
+        with pytest.raises(FileOperationError):
+            again.execute()
+        assert a.exists() == (kind in ("copy_file", "create_directory")) and b.exists() == (kind in ("move_file", "copy_file")) and (tmp_path / "new" / "er").exists() == (kind == "create_directory")
+        again.undo()
+        assert again.status == "undone" and sorted(p.name for p in tmp_path.iterdir()) == ["a"]
+    gone = Command("delete_file", str(a))
+    gone.execute()
+    gone.discard()
+    assert list(tmp_path.iterdir()) == [] and gone.status == "final"
+    failing = Command("move_file", str(a), str(b))
+    with pytest.raises(FileOperationError):
+        failing.execute()
+    assert failing.status == "failed" and not b.parent.exists()
+    for bad in (("eat", "x", "y"), ("move_file", "x", None), ("delete_file", None, None)):
+        with pytest.raises(FileOperationError):
+            Command(*bad)
