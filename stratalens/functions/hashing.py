@@ -85,12 +85,6 @@ def similarity(distance: Column, bits: Column) -> Column:
     return F.when(bits <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - distance / bits))
 
 
-def band_key(word: Column, start: int, width: int) -> Column:
-    """Bits start .. start + width - 1 of a word; the shift is unsigned."""
-    mask = (1 << width) - 1
-    return F.call_function("shiftrightunsigned", word, F.lit(start)).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-
-
 def serialize_perceptual(algorithm: Column, side: Column, hexed: Column) -> Column:
     return F.concat_ws(":", algorithm, side.cast("string"), hexed)
 
@@ -102,6 +96,23 @@ def content_digest(content: Column, algorithm: str = "sha256") -> Column:
     return F.concat(F.lit(f"{algorithm}:"), F.md5(content) if algorithm == "md5" else F.sha2(content, 256))
 
 
+def hasher_from_config(config: dict):
+    """The function column -> digest that the setting hash_algorithm names (sha256 if unset); perceptual ones are refused."""
+    algorithm = str(config.get("hash_algorithm") or "sha256").lower()
+    if algorithm in PERCEPTUAL:
+        raise HashError(f"{algorithm} hashes pictures, not contents", operation="hasher_from_config")
+    if algorithm not in CONTENT_LENGTHS:
+        raise HashError(f"not a content hash algorithm: {algorithm}", operation="hasher_from_config")
+    return lambda content: content_digest(content, algorithm)
+
+
+def is_similar(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two digest_parts() differ in at most threshold bits; null where they can't be compared."""
+    if threshold < 0:
+        raise HashError("the threshold must not be negative", operation="is_similar")
+    return digest_distance(a, b)["distance"] <= threshold
+
+
 def valid_content_digest(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A(?:md5:[0-9a-f]{32}|sha256:[0-9a-f]{64})\z"), F.lit(False))
 

@@ -98,11 +98,13 @@ def run(steps: dict[str, Step], tables: dict[str, DataFrame], context: Context)
 
 
 def discovery(tables: dict[str, DataFrame], context: Context) -> dict[str, DataFrame]:
-    """listing -> files and issues, by the configured filters."""
-    from stratalens.operators.inventory import discover
+    """listing -> files and issues, by the configured filters; tells the progress at every hundredth file and the last one."""
+    from stratalens.operators.inventory import discover, progress
 
     c = context.config
     files, issues = discover(tables["listing"], c.get("paths", {}).get("exclude_patterns"), c.get("organize", {}).get("max_depth"), c.get("symlink_policy", "skip"))
     for row in issues.toLocalIterator():
         context.bus.publish(StepIssue("discovery", row["rel"], row["message"]))
+    for row in progress(files).orderBy("accepted").toLocalIterator():
+        context.bus.publish(StepProgress("discovery", row["accepted"]))
     return {"files": files, "issues": issues}

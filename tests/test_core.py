@@ -209,6 +209,20 @@ def test_raw_search_expressions_against_sqlite(spark):
     assert search.matches(df, "id", ["a"], " ").count() == 0
 
 
+def test_hasher_of_the_configuration(spark):
+    digest = lambda config: one(spark, hashing.hasher_from_config(config)(F.lit("x")))
+    assert digest({}).startswith("sha256:") and digest({"hash_algorithm": "MD5"}).startswith("md5:")
+    for name in ("phash", "crc"):
+        with pytest.raises(HashError):
+            hashing.hasher_from_config({"hash_algorithm": name})
+    part = lambda t: hashing.digest_parts(F.lit(t))
+    assert one(spark, hashing.is_similar(part("phash:2:f"), part("phash:2:e"), 1)) is True
+    assert one(spark, hashing.is_similar(part("phash:2:f"), part("phash:2:e"), 0)) is False
+    assert one(spark, hashing.is_similar(part("phash:2:f"), part("ahash:2:f"), 9)) is None
+    with pytest.raises(HashError):
+        hashing.is_similar(part("f"), part("f"), -1)
+
+
 def test_hash_cache_store(spark, tmp_path):
     kept = cache.HashCache(spark, f"file:{tmp_path}/cache")
     assert kept.show() == {"entries": 0, "paths": 0, "stored_bytes": 0} and kept.clear() == 0
