@@ -123,14 +123,22 @@ def _running_number(df: DataFrame, order: list[Column]) -> DataFrame:
     return parts.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("group_number", (F.col("__local") + F.col("__before")).cast("bigint")).drop("__part", "__local", "__before")
 
 
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """df with the place of every row among those of its key, from 1; keys must not be null.
+
+    Row numbers run over range partitions of (key, order), so a key with a third of all rows is spread over many tasks.
+    """
+    numbered = _running_number(df, [*[F.col(k).asc() for k in keys], *order])
+    first = numbered.groupBy(*keys).agg(F.min("group_number").alias("__first"))
+    return numbered.join(first, keys).withColumn(name, F.col("group_number") - F.col("__first") + 1).drop("group_number", "__first")
+
+
 def serialised(members: DataFrame, group: str, item: str, key: Column, size: int = 1000) -> DataFrame:
     """(group, part, n_files, files): the items of every group in order of key, in lists of at most `size`.
 
     Positions come from a running number over range partitions, so no group, however large, is gathered in one task.
     """
-    ordered = _running_number(members.select(F.col(group).alias("group"), F.col(item).alias("item"), key.alias("k")), [F.col("group").asc(), F.col("k").asc()])
-    ordered = ordered.select("group", "item", "k", F.col("group_number").alias("n"))
-    first = ordered.groupBy("group").agg(F.min("n").alias("first"))
-    parts = ordered.join(first, "group").withColumn("part", F.floor((F.col("n") - F.col("first")) / size))
+    rows = members.select(F.col(group).alias("group"), F.col(item).alias("item"), key.alias("k"))
+    parts = positions(rows, ["group"], [F.col("k").asc()]).withColumn("part", F.floor((F.col("n") - 1) / size))
     lists = parts.groupBy("group", "part").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("s"))
     return lists.select(F.col("group").alias(group), "part", "n_files", F.transform("s", lambda s: s["item"]).alias("files"))

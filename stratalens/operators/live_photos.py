@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import normalize_extension, normalize_identifier, parent, path_key, stem
+from stratalens.operators.hamming import positions
 from stratalens.operators.inventory import STILLS, VIDEOS
 
 PAIR = "still string, video string, identifier string, verified boolean"
@@ -22,7 +23,8 @@ def candidates(files: DataFrame, path: str, identifier: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(path_key(F.col("path")))))
+    """The place of every file, in path order, among those of its key; an identifier may be that of a third of all files."""
+    return positions(rows.withColumn("__k", path_key(F.col("path"))), keys, [F.col("__k").asc()]).drop("__k")
 
 
 def _zip(stills: DataFrame, videos: DataFrame, keys: list[str]) -> DataFrame:
