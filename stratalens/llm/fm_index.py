@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,18 +197,24 @@ def windows(items: list[tuple[int, list[int]]], least: int) -> tuple[np.ndarray,
     return patterns, pairs[:, 0], pairs[:, 1]
 
 
-def shard_row(words: list[list[str]]) -> tuple:
-    """(n, first, levels, marked, positions, vocabulary, starts) of the index of some documents, each given by its words."""
-    vocabulary: dict[str, int] = {}
-    number = vocabulary.setdefault
-    text: list[int] = []
-    starts: list[int] = []
-    for document in words:
-        starts.append(len(text))
-        text += [number(w, len(vocabulary) + 1) for w in document]
-        text.append(0)
-    index = FMIndex(np.array(text, np.int32), len(vocabulary) + 1)
-    return *index.row(), zlib.compress("\n".join(vocabulary).encode(), 1), np.array(starts, np.int32).tobytes()
+class Shard:
+    """Documents gathered for one index: their words as numbers of a vocabulary that grows with them."""
+
+    def __init__(self) -> None:
+        self.vocabulary: dict[str, int] = {}
+        self.text, self.starts, self.idents = array("i"), array("i"), []
+
+    def add(self, ident: str | None, words: list[str]) -> None:
+        number, known = self.vocabulary.setdefault, self.vocabulary
+        self.idents.append(ident)
+        self.starts.append(len(self.text))
+        self.text.extend([number(w, len(known) + 1) for w in words])
+        self.text.append(0)
+
+    def row(self) -> tuple:
+        """(n, first, levels, marked, positions, vocabulary, starts, idents) of its index."""
+        index = FMIndex(np.array(self.text, np.int32), len(self.vocabulary) + 1)
+        return *index.row(), zlib.compress("\n".join(self.vocabulary).encode(), 1), self.starts.tobytes(), self.idents
 
 
 def shard_spans(index: FMIndex, vocabulary: dict[str, int], starts: np.ndarray, names: list[str], patterns: np.ndarray, window: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -241,7 +248,7 @@ def shard_spans(index: FMIndex, vocabulary: dict[str, int], starts: np.ndarray,
 
 #: idents are kept as text, exact whatever else is in a batch; the column `like` is null and tells their type.
 SHARD = "n bigint, first binary, levels array<binary>, marked binary, positions binary, vocabulary binary, starts binary, idents array<string>"
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 
 def build_index(documents: DataFrame, ident: str, text: str, path: str, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -250,24 +257,17 @@ def build_index(documents: DataFrame, ident: str, text: str, path: str, shard_wo
     Each worker indexes what its partition holds, about shard_words words (or one document) at a time.
     """
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list = []
-        words: list[list[str]] = []
-        held = 0
-
-        def shard() -> pd.DataFrame:
-            return pd.DataFrame([(*shard_row(words), list(ids))], columns=[f.split()[0] for f in SHARD.split(", ")])
-
+        shard = Shard()
+        indexed = lambda: pd.DataFrame([shard.row()], columns=[f.split()[0] for f in SHARD.split(", ")])
         for batch in batches:
             for doc, value in zip(batch.ident, batch.text, strict=True):
-                if found := split_words(value):
-                    ids.append(doc)
-                    words.append(found)
-                    held += len(found) + 1
-                if held >= shard_words:
-                    yield shard()
-                    ids, words, held = [], [], 0
-        if ids:
-            yield shard()
+                if words := split_words(value):
+                    shard.add(doc, words)
+                if len(shard.text) >= shard_words:
+                    yield indexed()
+                    shard = Shard()
+        if shard.idents:
+            yield indexed()
 
     kind = documents.schema[ident].dataType
     corpus = documents.select(F.col(ident).cast("string").alias("ident"), F.col(text).alias("text")).where("text IS NOT NULL")
