@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,18 @@ _SQL: dict[str, str] = {}
 NEAR = 5
 
 
+#: Fixed values of the detectors in SQL, where @name stands for them.
+_VALUES = {
+    "@tools": ",".join(f"'{t}'" for t in classify.CAPTURE_TOOLS), "@ratios": ", ".join(f"{a}/{b}" for a, b in classify.DISPLAY_RATIOS),
+    "@generators": ",".join(f"'{g}'" for g in sorted(classify.GENERATORS)), "@names": "|".join(classify.SCREENSHOT_NAMES),
+}
+
+
 def query(sql: str | None = None):
     def register(function):
         _QUERIES[function.__name__] = function
         if sql:
-            _SQL[function.__name__] = sql
+            _SQL[function.__name__] = re.sub("|".join(_VALUES), lambda m: _VALUES[m[0]], sql)
         return function
 
     return register
@@ -344,9 +352,9 @@ _SIGNALS = f"""
   j AS (SELECT id, filename, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM files),
   s AS (SELECT id, filename, try_cast(json_extract_string(m, '$.width') AS BIGINT) AS w, try_cast(json_extract_string(m, '$.height') AS BIGINT) AS h, lower(json_extract_string(m, '$.software')) AS sw FROM j),
   g AS (
-    SELECT id, filename, sw, w, h, regexp_matches(filename, '(?i)screen[\\s_-]?shot|screen[\\s_-]?capture|scr(?:n|een)?cap\\b|\\bcapture[\\s_-]?d?[\\s_-]?ecran') AS n,
-      coalesce(list_bool_or([contains(sw, t) FOR t IN ['screenshot','screen shot','screencapture','screencap','snipping tool','snip & sketch','gnome-screenshot','spectacle','flameshot','greenshot','lightshot','shutter']]), false) AS t,
-      coalesce(w > 0 AND h > 0 AND least(w, h) >= 720 AND list_bool_or([abs(greatest(w, h) / nullif(least(w, h), 0) - r) <= r * 0.01 FOR r IN [5/4, 4/3, 3/2, 16/10, 16/9, 19/9, 13/6, 20/9, 43/18, 64/27]]), false) AS d
+    SELECT id, filename, sw, w, h, regexp_matches(filename, '(?i)@names') AS n,
+      coalesce(list_bool_or([contains(sw, t) FOR t IN [@tools]]), false) AS t,
+      coalesce(w > 0 AND h > 0 AND least(w, h) >= 720 AND list_bool_or([abs(greatest(w, h) / nullif(least(w, h), 0) - r) <= r * 0.01 FOR r IN [@ratios]]), false) AS d
     FROM s
   ),
   c AS (SELECT *, least(1.0::DOUBLE, CASE WHEN n THEN 0.6::DOUBLE ELSE 0.0 END + CASE WHEN t THEN 0.8::DOUBLE ELSE 0.0 END + CASE WHEN d THEN 0.3::DOUBLE ELSE 0.0 END) AS confidence FROM g)
@@ -368,7 +376,7 @@ def screenshot_score(spark, folder):
 
 @query("""
   WITH t AS (SELECT doc_id, lower(text) AS t, source FROM documents),
-  m AS (SELECT doc_id, [x FOR x IN ['adobe firefly','automatic1111','comfyui','dall-e','dall·e','flux.1','fooocus','google imagen','ideogram','leonardo.ai','midjourney','novelai','stable diffusion','stablediffusion'] IF contains(coalesce(t, ''), x)][1] AS marker, CASE WHEN source = 'screenshot_text' THEN 'prompt' END AS chunk FROM t),
+  m AS (SELECT doc_id, [x FOR x IN [@generators] IF contains(coalesce(t, ''), x)][1] AS marker, CASE WHEN source = 'screenshot_text' THEN 'prompt' END AS chunk FROM t),
   c AS (SELECT doc_id, marker, CASE WHEN chunk IS NOT NULL THEN 0.8::DOUBLE ELSE 0.0 END + CASE WHEN marker IS NOT NULL THEN 0.8::DOUBLE ELSE 0.0 END AS raw FROM m)
   SELECT doc_id, marker, least(1.0::DOUBLE, raw) >= 0.5 AS is_ai_generated, least(1.0::DOUBLE, raw) AS confidence FROM c
 """)
@@ -400,7 +408,7 @@ def photo_graphic_score(spark, folder):
     return _graphics(spark, folder).select("file_id", "pg.*")
 
 
-@query("WITH s AS (SELECT file_id, max(width) AS w, max(height) AS h FROM media_metadata GROUP BY 1) SELECT file_id, coalesce(w > 0 AND h > 0 AND least(w, h) >= 720 AND list_bool_or([abs(greatest(w, h) / nullif(least(w, h), 0) - r) <= r * 0.01 FOR r IN [5/4, 4/3, 3/2, 16/10, 16/9, 19/9, 13/6, 20/9, 43/18, 64/27]]), false) AS screen_like FROM s")
+@query("WITH s AS (SELECT file_id, max(width) AS w, max(height) AS h FROM media_metadata GROUP BY 1) SELECT file_id, coalesce(w > 0 AND h > 0 AND least(w, h) >= 720 AND list_bool_or([abs(greatest(w, h) / nullif(least(w, h), 0) - r) <= r * 0.01 FOR r IN [@ratios]]), false) AS screen_like FROM s")
 def aspect_ratio_match(spark, folder):
     sizes = table(spark, folder, "media_metadata", "file_id", "width", "height").groupBy("file_id").agg(F.max("width").alias("w"), F.max("height").alias("h"))
     return sizes.select("file_id", classify.screen_size(F.col("w"), F.col("h")).alias("screen_like"))
